@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, simhash, substring_dedup, topk, toxicity
+from . import decontamination, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, topk, toxicity
 from .common import table
 
 
@@ -16,11 +16,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(table(spark, sf_dir, "pages"), docs.select("doc_id", "source", "text"), docs.select("lang", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixing_probabilities(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(F.array_position(kinds, x["kind"]).alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return out.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        said(ordered).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.toxicity_scores(docs, docs, table(spark, sf_dir, "labels"))
@@ -33,6 +50,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["a"], x["b"])), ",")
@@ -49,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_mixing, op5_toxicity, op6_topk, op8_substring_dedup, op9_decontamination, op10_simhash)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_mixing, op4_pii, op5_toxicity, op6_topk, op7_html_text, op8_substring_dedup, op9_decontamination, op10_simhash)
 }
 
 #: Word lists of a text in DuckDB: A-Z lower-cased, then runs of anything but ASCII other than a-z and 0-9.

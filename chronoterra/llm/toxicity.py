@@ -113,7 +113,7 @@ def decode(stretch: str, model: CharModel) -> str:
             options += [("", JOIN_COST), (" ", GAP_COST), *((x, STAR_COST) for x in IMITATES.get(ch, ""))]
         else:
             options += [(x, LEET_COST) for x in IMITATES.get(ch, "")]
-            options.append((" ", GAP_COST))
+            options.append((" ", 2 * GAP_COST))
             if not ch.isdigit():
                 options.append(("", DROP_COST))
         fresh: dict[tuple[str, str], tuple[float, str]] = {}
