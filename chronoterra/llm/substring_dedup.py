@@ -74,38 +74,37 @@ def chunks(text: bytes, least: int = LEAST, most: int = MOST) -> list[int]:
 
 
 def chunk_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, k, n, a, b, digest): chunk n of the document, bytes a to b of its text."""
+    """(doc_id, k, a, b, d, e): a chunk, bytes a to b of the text; d and e are its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                row, num, at, to, dig = [], [], [], [], []
+                row, at, to, dig = [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
                     a = 0
-                    for n, b in enumerate(chunks(t or b"")):
+                    for b in chunks(t or b""):
                         row.append(i)
-                        num.append(n)
                         at.append(a)
                         to.append(b)
                         dig.append(xxhash.xxh128_digest(t[a:b]))
                         a = b
-                idx = pa.array(row, pa.int32())
+                idx, halves = pa.array(row, pa.int32()), np.frombuffer(b"".join(dig), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(idx), part.column(1).take(idx), pa.array(num, pa.int32()), pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(dig, pa.binary())],
-                    ["doc_id", "k", "n", "a", "b", "digest"],
+                    [part.column(0).take(idx), part.column(1).take(idx), pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    ["doc_id", "k", "a", "b", "d", "e"],
                 )
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
-    return keyed.mapInArrow(run, "doc_id long, k long, n int, a int, b int, digest binary")
+    return keyed.mapInArrow(run, "doc_id long, k long, a int, b int, d long, e long")
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, k, runs): the byte spans of each document that stand earlier in the corpus, in order."""
     own = chunk_table(docs, text)
-    at = F.struct("doc_id", "k", "n")
-    first = own.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").select("digest", "first")
-    later = own.join(first, "digest").filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "k", "n", "a", "b").distinct()
+    at = F.struct("doc_id", "k", "a")
+    first = own.groupBy("d", "e").agg(F.min(at).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d", "e", "first")
+    later = own.join(first, ["d", "e"]).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "k", "a", "b").distinct()
     spans = later.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     merged = F.aggregate(
         "s",
