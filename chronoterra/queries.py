@@ -1,4 +1,357 @@
+"""Registered queries of the versioned-geodata operators over the driver tables, with their SQL."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .functions.cql2 import to_column
+from .operators import history, merging, network, similarity, snapshot, spatial, statistics, trajectory
+from .plans.fixture import HEADS, ORACLE, branches, changesets, oracle_latest, place, table, versions
+from .streaming import change_feed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers the function under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def with_fixture(sql: str, *latest: tuple[int, str]) -> str:
+    return "WITH RECURSIVE " + ",\n".join([ORACLE.strip(), *(oracle_latest(h, n) for h, n in latest)]) + "\n" + sql
+
+
+def _snap(spark: SparkSession, sf: str, branch: str = "fork") -> DataFrame:
+    return snapshot.snapshot(versions(spark, sf), changesets(spark), HEADS[branch])
+
+
+_STATUS = "json_extract_string(properties, '$.status')"
+_XY = "round(lng, 6) AS lng, round(lat, 6) AS lat"
+
+
+def xy():
+    return F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat")
+
+
+FILTER = {"op": "and", "args": [{"op": "in", "args": [{"property": "status"}, ["F", "O"]]}, {"op": ">", "args": [{"property": "cust"}, 100]}, {"op": "not", "args": [{"op": "like", "args": [{"property": "priority"}, "1-%"]}]}]}
+
+
+# ---- snapshots -------------------------------------------------------------------------------
+
+
+@query(with_fixture(f"""SELECT {_STATUS} AS status, count(*) AS n, round(sum(lng), 4) AS sum_lng, round(avg(lat), 6) AS avg_lat FROM r
+WHERE operation <> 'delete' AND {_STATUS} IN ('F', 'O') AND json_extract_string(properties, '$.cust')::DOUBLE > 100 AND json_extract_string(properties, '$.priority') NOT LIKE '1-%' GROUP BY 1""", (5, "r")))
+def snapshot_stats(spark, sf):
+    rows = _snap(spark, sf).filter(to_column(FILTER)).withColumn("status", C.prop("status"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("lng"), 4).alias("sum_lng"), F.round(F.avg("lat"), 6).alias("avg_lat"))
+
+
+@query(with_fixture(f"SELECT feature_id, changeset_id, {_STATUS} AS status, {_XY} FROM r WHERE operation <> 'delete'", (3, "r")))
+def branch_snapshot(spark, sf):
+    return _snap(spark, sf, "main").select("feature_id", "changeset_id", C.prop("status").alias("status"), *xy())
+
+
+@query(with_fixture("SELECT 'main' AS branch, count(*) AS n, sum(feature_id)::BIGINT AS ids FROM m WHERE operation <> 'delete' UNION ALL SELECT 'fork', count(*), sum(feature_id)::BIGINT FROM k WHERE operation <> 'delete'", (3, "m"), (5, "k")))
+def all_branches_view(spark, sf):
+    rows = snapshot.all_branches(versions(spark, sf), changesets(spark), branches(spark))
+    return rows.groupBy("branch").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))
+
+
+@query(with_fixture(f"SELECT feature_id, {_XY} FROM r WHERE operation <> 'delete' AND feature_id > 500 ORDER BY feature_id LIMIT 100", (5, "r")))
+def keyset_page(spark, sf):
+    return snapshot.page(_snap(spark, sf), cursor=500, limit=100).select("feature_id", *xy())
+
+
+@query(with_fixture(f"SELECT feature_id, changeset_id, {_XY} FROM r WHERE operation <> 'delete'", (2, "r")))
+def time_travel(spark, sf):
+    return snapshot.time_travel(versions(spark, sf), changesets(spark), "main", 2).select("feature_id", "changeset_id", *xy())
+
+
+@query(with_fixture("SELECT feature_id, operation, changeset_id FROM r WHERE feature_id % 100 = 0", (4, "r")))
+def contents_at_changeset(spark, sf):
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("feature_id")).filter("feature_id % 100 = 0")
+    return snapshot.resolve(versions(spark, sf), changesets(spark), 4).join(ids, "feature_id", "left_semi").select("feature_id", "operation", "changeset_id")
+
+
+@query("SELECT * FROM (VALUES (5::BIGINT, 0), (4, 1), (2, 2), (1, 3)) t(id, depth)")
+def branch_history(spark, sf):
+    return history.log(changesets(spark), HEADS["fork"]).select("id", "depth")
+
+
+@query("SELECT 2::BIGINT AS id, 2::BIGINT AS created_at")
+def merge_base(spark, sf):
+    return history.merge_base(changesets(spark), HEADS["main"], HEADS["fork"])
+
+
+@query(with_fixture("SELECT count(*) AS n FROM r WHERE operation <> 'delete'", (5, "r")))
+def feature_count(spark, sf):
+    return _snap(spark, sf).agg(F.count("*").alias("n"))
+
+
+@query(with_fixture("""SELECT version_id, feature_id FROM fv WHERE version_id NOT IN (SELECT version_id FROM (SELECT version_id,
+row_number() OVER (PARTITION BY feature_id ORDER BY changeset_id DESC, version_id DESC) AS n FROM fv WHERE changeset_id IN (1, 2, 3)) WHERE n > 1)"""))
+def compaction(spark, sf):
+    own = changesets(spark).filter("branch = 'main'").select("id")
+    return snapshot.compact(versions(spark, sf), own, keep=1).select("version_id", "feature_id")
+
+
+# ---- diff and merge --------------------------------------------------------------------------
+
+
+@query(with_fixture(f"""SELECT feature_id, operation, {_XY} FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY changeset_id DESC, version_id DESC) AS n
+FROM fv WHERE changeset_id IN (4, 5)) WHERE n = 1"""))
+def branch_diff(spark, sf):
+    return merging.diff(versions(spark, sf), changesets(spark), HEADS["main"], HEADS["fork"]).select("feature_id", "operation", *xy())
+
+
+@query(with_fixture("""SELECT choice, count(*) AS n, sum(feature_id)::BIGINT AS ids FROM (
+SELECT b.feature_id, CASE WHEN t.op IS NULL THEN CASE WHEN o.op = 'delete' AND r.operation = 'delete' THEN 'nothing' ELSE 'ours' END
+  WHEN o.op IS NULL THEN 'theirs' WHEN o.op = 'delete' AND t.op = 'delete' THEN 'ours' ELSE 'delete_modify' END AS choice
+FROM (SELECT DISTINCT feature_id FROM fv WHERE changeset_id IN (3, 4, 5)) b
+LEFT JOIN (SELECT feature_id, 'delete' AS op FROM fv WHERE changeset_id = 3) o USING (feature_id)
+LEFT JOIN (SELECT feature_id, CASE WHEN max(changeset_id) = 5 THEN 'delete' ELSE 'update' END AS op FROM fv WHERE changeset_id IN (4, 5) GROUP BY 1) t USING (feature_id)
+LEFT JOIN r USING (feature_id)) GROUP BY 1""", (2, "r")))
+def merge_preview(spark, sf):
+    choices = merging.merge_choices(versions(spark, sf), changesets(spark), HEADS["main"], HEADS["fork"])
+    return choices.groupBy("choice").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))
+
+
+@query(with_fixture("""SELECT feature_id, CASE feature_id % 2 WHEN 0 THEN 'theirs' ELSE 'delete' END AS strategy, CASE WHEN feature_id % 2 = 1 THEN 'delete' ELSE t.op END AS operation
+FROM (SELECT feature_id FROM fv WHERE changeset_id = 3) o JOIN (SELECT feature_id, CASE WHEN max(changeset_id) = 5 THEN 'delete' ELSE 'update' END AS op FROM fv WHERE changeset_id IN (4, 5) GROUP BY 1) t USING (feature_id) WHERE t.op <> 'delete'"""))
+def resolved_conflicts(spark, sf):
+    v, c = versions(spark, sf), changesets(spark)
+    choices = merging.merge_choices(v, c, HEADS["main"], HEADS["fork"])
+    how = table(spark, sf, "orders").select(F.col("o_orderkey").alias("feature_id"), F.when(F.col("o_orderkey") % 2 == 0, "theirs").otherwise("delete").alias("strategy"))
+    ours, theirs = merging.diff(v, c, 2, HEADS["main"]), merging.diff(v, c, 2, HEADS["fork"])
+    return merging.resolve_conflicts(choices, how, ours, theirs).select("feature_id", "strategy", "operation")
+
+
+# ---- filters and statistics ------------------------------------------------------------------
+
+
+@query(with_fixture(f"SELECT feature_id, {_XY} FROM r WHERE operation <> 'delete' AND lng BETWEEN -60 AND 40 AND lat BETWEEN -10 AND 45.5", (3, "r")))
+def bbox_filter(spark, sf):
+    return spatial.bbox(_snap(spark, sf, "main"), -60.0, -10.0, 40.0, 45.5).select("feature_id", *xy())
+
+
+@query(with_fixture(f"SELECT feature_id, {_XY} FROM r WHERE operation <> 'delete' AND lat >= -20 AND lat < 60 AND lng > -80 AND lng < 80 AND lng + lat < 60", (3, "r")))
+def polygon_filter(spark, sf):
+    shape = {"type": "Polygon", "coordinates": [[[-80, -20], [80, -20], [0, 60], [-80, 60], [-80, -20]]]}
+    return _snap(spark, sf, "main").filter(to_column({"op": "s_within", "args": [{"property": "geometry"}, shape]})).select("feature_id", *xy())
+
+
+@query(with_fixture(f"SELECT {_STATUS} AS status, count(*) AS n, round(sum(lng), 4) AS sum_lng, round(stddev_samp(lat), 6) AS sd_lat, round(min(lng), 6) AS low, round(max(lng), 6) AS high FROM r WHERE operation <> 'delete' GROUP BY 1 HAVING count(*) > 10", (5, "r")))
+def grouped_statistics(spark, sf):
+    rows = _snap(spark, sf).withColumn("status", C.prop("status"))
+    out = statistics.out_statistics(rows, [("count", "feature_id", "n"), ("sum", "lng"), ("stddev", "lat", "sd_lat"), ("min", "lng", "low"), ("max", "lng", "high")], ["status"], having=F.col("n") > 10)
+    return out.select("status", "n", F.round("sum_lng", 4).alias("sum_lng"), *[F.round(c, 6).alias(c) for c in ("sd_lat", "low", "high")])
+
+
+@query(with_fixture(f"SELECT DISTINCT {_STATUS} AS status, json_extract_string(properties, '$.priority') AS priority FROM r WHERE operation <> 'delete'", (5, "r")))
+def distinct_values(spark, sf):
+    rows = _snap(spark, sf).select(C.prop("status").alias("status"), C.prop("priority").alias("priority"))
+    return statistics.distinct_values(rows, ["status", "priority"])
+
+
+@query(with_fixture("SELECT feature_id, (row_number() OVER (ORDER BY feature_id))::BIGINT AS oid FROM r WHERE operation <> 'delete'", (5, "r")))
+def object_ids(spark, sf):
+    return spatial.object_ids(_snap(spark, sf)).select("feature_id", F.col("oid").cast("long").alias("oid"))
+
+
+# ---- points ----------------------------------------------------------------------------------
+
+_CUST = "(SELECT c_custkey AS feature_id, ((c_nationkey * 7919 + c_custkey * 31) % 36000)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE AS lng, ((c_custkey * 104729) % 17000)::DOUBLE / 100.0::DOUBLE - 85.0::DOUBLE AS lat, c_mktsegment AS seg FROM customer)"
+_SUPP = "(SELECT s_suppkey AS feature_id, ((s_nationkey * 7919 + s_suppkey * 31) % 36000)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE AS lng, ((s_suppkey * 104729) % 17000)::DOUBLE / 100.0::DOUBLE - 85.0::DOUBLE AS lat FROM supplier)"
+
+
+def _points(spark: SparkSession, sf: str, name: str, p: str) -> DataFrame:
+    key = f"{p}_{'custkey' if p == 'c' else 'suppkey'}"
+    d = table(spark, sf, name)
+    lng = ((F.col(f"{p}_nationkey") * 7919 + F.col(key) * 31) % 36000).cast("double") / F.lit(100.0) - F.lit(180.0)
+    lat = place(key, key)[1]
+    return d.select(F.col(key).alias("feature_id"), lng.alias("lng"), lat.alias("lat"), *([F.col("c_mktsegment").alias("seg")] if p == "c" else []))
+
+
+def _hav(a: str, b: str, c: str, d: str) -> str:
+    return f"(12742000.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2)))))"
+
+
+@query(f"WITH p AS {_CUST}, q AS (SELECT * FROM p WHERE feature_id = 7) SELECT feature_id, metres FROM (SELECT p.feature_id, round({_hav('q.lng', 'q.lat', 'p.lng', 'p.lat')}, 3) AS metres, sqrt(pow(p.lng - q.lng, 2) + pow(p.lat - q.lat, 2)) AS d FROM p, q WHERE p.feature_id <> 7 ORDER BY d, p.feature_id LIMIT 5)")
+def nearest_neighbours(spark, sf):
+    return spatial.nearest(_points(spark, sf, "customer", "c"), 7, 5).select("feature_id", F.round("metres", 3).alias("metres"))
+
+
+@query(f"WITH a AS {_SUPP}, b AS {_CUST} SELECT a.feature_id AS a, b.feature_id AS b, round(sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)), 6) AS d FROM a JOIN b ON abs(a.lng - b.lng) <= 2.5 AND abs(a.lat - b.lat) <= 2.5 WHERE sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)) <= 2.5::DOUBLE")
+def proximity_join(spark, sf):
+    return spatial.within_distance(_points(spark, sf, "supplier", "s"), _points(spark, sf, "customer", "c"), 2.5).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH p AS {_CUST} SELECT seg AS key, count(*) AS n, round(avg(lng), 6) AS cx, round(avg(lat), 6) AS cy FROM p GROUP BY 1")
+def dissolve(spark, sf):
+    return spatial.dissolve(_points(spark, sf, "customer", "c"), F.col("seg")).select("key", "n", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@query(f"WITH p AS {_CUST} SELECT seg, round(min(lng), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lng), 6) AS xmax, round(max(lat), 6) AS ymax, count(*) AS n FROM p GROUP BY 1")
+def extent(spark, sf):
+    e = spatial.extent(_points(spark, sf, "customer", "c"), ("seg",))
+    return e.select("seg", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], "n")
+
+
+@query(f"WITH p AS {_CUST}, c AS (SELECT avg(lng) AS x, avg(lat) AS y FROM p), d AS (SELECT feature_id, sqrt(pow(lng - x, 2) + pow(lat - y, 2)) AS distance FROM p, c) SELECT feature_id, round(distance, 6) AS distance FROM d WHERE distance > 1.5 * (SELECT stddev_samp(distance) FROM d)")
+def anomalies(spark, sf):
+    return spatial.anomalies(_points(spark, sf, "customer", "c"), 1.5).select("feature_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH p AS {_CUST} SELECT (least(greatest(floor((lat + 90) / 180 * 128), 0), 127) * 128 + least(greatest(floor((lng + 180) / 360 * 128), 0), 127))::BIGINT AS cell, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, cell LIMIT 500")
+def grid_counts(spark, sf):
+    return spatial.grid_counts(_points(spark, sf, "customer", "c"), 7)
+
+
+@query(None)
+def dbscan(spark, sf):
+    return spatial.dbscan(_points(spark, sf, "customer", "c"), 1.5, 3)
+
+
+@query(f"WITH p AS {_SUPP} SELECT feature_id, round(6378137.0::DOUBLE * radians(lng), 3) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS y FROM p")
+def web_mercator(spark, sf):
+    x, y = C.mercator(F.col("lng"), F.col("lat"))
+    return _points(spark, sf, "supplier", "s").select("feature_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+# ---- networks --------------------------------------------------------------------------------
+
+_EDGES = "(SELECT c_nationkey::BIGINT AS from_id, s_nationkey::BIGINT AS to_id, round(avg(l_quantity), 4) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey AND s_nationkey - c_nationkey <= 3 GROUP BY 1, 2)"
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    l, o, c, s = (table(spark, sf, n) for n in ("lineitem", "orders", "customer", "supplier"))
+    rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
+    rows = rows.filter("c_nationkey < s_nationkey AND s_nationkey - c_nationkey <= 3")
+    return rows.groupBy(F.col("c_nationkey").cast("long").alias("from_id"), F.col("s_nationkey").cast("long").alias("to_id")).agg(F.round(F.avg("l_quantity"), 4).alias("cost"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id, cost FROM e UNION ALL SELECT to_id, from_id, cost FROM e),
+w(id, cost, hops) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION SELECT id, min(cost), hops + 1 FROM (SELECT to_id AS id, w.cost + b.cost AS cost, hops FROM w JOIN b ON b.from_id = w.id WHERE hops < 24) GROUP BY id, hops)
+SELECT id, round(min(cost), 4) AS cost FROM w GROUP BY 1""")
+def shortest_paths(spark, sf):
+    return network.costs_from(_edges(spark, sf), 0).select("id", F.round("cost", 4).alias("cost"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id, cost FROM e UNION ALL SELECT to_id, from_id, cost FROM e),
+w(id, cost, hops) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION SELECT id, min(cost), hops + 1 FROM (SELECT to_id AS id, w.cost + b.cost AS cost, hops FROM w JOIN b ON b.from_id = w.id WHERE hops < 24) GROUP BY id, hops)
+SELECT id, round(min(cost), 4) AS cost FROM w GROUP BY 1 HAVING min(cost) <= 60""")
+def service_area(spark, sf):
+    return network.costs_from(_edges(spark, sf), 0, max_cost=60.0).select("id", F.round("cost", 4).alias("cost"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id FROM e UNION SELECT to_id, from_id FROM e),
+w(id, root) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT b.to_id, w.root FROM w JOIN b ON b.from_id = w.id)
+SELECT id, min(root) AS component FROM w GROUP BY 1""")
+def network_components(spark, sf):
+    return network.components(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), _edges(spark, sf))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def isolated_junctions(spark, sf):
+    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("from_id"), F.col("o_custkey").alias("to_id"), F.lit(1.0).alias("cost"))
+    return network.isolated(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), edges)
+
+
+# ---- vectors, trajectories, verticals, feed ---------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query("WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE id = 3) SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM v, q WHERE list_cosine_similarity(v, q) > 0.2 ORDER BY id LIMIT 10")
+def similar_features(spark, sf):
+    v = _vectors(spark, sf)
+    return similarity.similar_to(v, v.filter("id = 3").first().vec, 0.2, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS a FROM v, range(1, 65) t(i) GROUP BY i)),
+d AS (SELECT id, round(1 - list_cosine_similarity(v, c), 9) AS d FROM v, m), b AS (SELECT id, ntile(5) OVER (ORDER BY d, id) AS bucket FROM d) SELECT bucket::INT AS bucket, count(*) AS n FROM b GROUP BY 1""")
+def embedding_buckets(spark, sf):
+    return similarity.ntile_buckets(_vectors(spark, sf), 64, 5).select("bucket", "n")
+
+
+def _fixes(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    return e.select(F.col("user_id").alias("traj"), ts.alias("ts"), F.col("event_id").alias("seq"), (F.col("event_id") % 3600).cast("double").alias("l0"), "value").select("traj", "ts", "seq", (F.col("l0") / F.lit(10.0) - F.lit(180.0)).alias("lng"), ((F.col("seq") * 7 % 1700).cast("double") / F.lit(10.0) - F.lit(85.0)).alias("lat"))
+
+
+_SEG = f"""WITH f AS (SELECT user_id AS traj, epoch_us(ts)::DOUBLE / 1e6 AS ts, event_id AS seq, (event_id % 3600)::DOUBLE / 10.0::DOUBLE - 180.0::DOUBLE AS lng, (event_id * 7 % 1700)::DOUBLE / 10.0::DOUBLE - 85.0::DOUBLE AS lat FROM events),
+s AS (SELECT *, lead(ts) OVER w AS ts2, lead(lng) OVER w AS lng2, lead(lat) OVER w AS lat2 FROM f WINDOW w AS (PARTITION BY traj ORDER BY ts, seq)),
+g AS (SELECT *, {_hav('lng', 'lat', 'lng2', 'lat2')} AS m, ts2 - ts AS sec FROM s WHERE ts2 IS NOT NULL) """
+
+
+@query(_SEG + "SELECT traj, round(sum(m), 1) AS metres, round(sum(m) / sum(sec), 4) AS mean_speed, round(max(CASE WHEN sec > 0 THEN m / sec END), 3) AS max_speed FROM g GROUP BY 1")
+def trajectory_summary(spark, sf):
+    return trajectory.summary(_fixes(spark, sf)).select("traj", F.round("metres", 1).alias("metres"), F.round("mean_speed", 4).alias("mean_speed"), F.round("max_speed", 3).alias("max_speed"))
+
+
+@query(_SEG + ", t AS (SELECT floor(avg(ts)) AS t FROM f) SELECT traj, round(lng + (t - ts) / sec * (lng2 - lng), 6) AS lng, round(lat + (t - ts) / sec * (lat2 - lat), 6) AS lat FROM g, t WHERE ts <= t AND ts2 > t")
+def trajectory_position(spark, sf):
+    f = _fixes(spark, sf)
+    return trajectory.position_at(f, f.agg(F.floor(F.avg("ts"))).first()[0]).select("traj", *xy())
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size IS NULL THEN 'no_data' WHEN p_size / 50.0 > 0.6 THEN 'healthy' WHEN p_size / 50.0 > 0.3 THEN 'moderate_stress' ELSE 'severe_stress' END AS ndvi,
+round(69.55 + 26.16 * log10(900 + p_size) - 13.82 * log10(30.0) + (44.9 - 6.55 * log10(30.0)) * log10(p_retailprice / 100), 6) AS loss FROM part""")
+def vertical_models(spark, sf):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return table(spark, sf, "part").select("p_partkey", C.ndvi_class(size / 50.0).alias("ndvi"), F.round(C.urban_path_loss(size + 900.0, F.lit(30.0), price / 100.0), 6).alias("loss"))
+
+
+@query("WITH f AS (SELECT event_id, event_type, (row_number() OVER (ORDER BY ts, event_id))::BIGINT AS sequence_id FROM events) SELECT sequence_id, event_id, event_type FROM f WHERE sequence_id > 100 AND sequence_id <= 400")
+def change_window(spark, sf):
+    order = F.struct(F.col("ts"), F.col("event_id"))
+    feed = table(spark, sf, "events").select("event_id", "event_type", order.alias("feature_id"))
+    return change_feed.window(spatial.object_ids(feed).withColumnRenamed("oid", "sequence_id"), 100, 400).select(F.col("sequence_id").cast("long").alias("sequence_id"), "event_id", "event_type")
+
+
+@query(f"""WITH w AS (SELECT lower(c_name) AS name, c_custkey FROM customer) SELECT c_custkey, upper(md5(name)) AS digest, {", ".join(f"round(('0x' || substr(sha256(name || '{i}'), {2 * (i % 32) + 1}, 2))::BIGINT / 255.0::DOUBLE, 9) AS v{i}" for i in (0, 1, 33))} FROM w""")
+def text_embeddings(spark, sf):
+    v = C.text_embedding(F.col("name"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.lower("c_name").alias("name"))
+    return rows.select("c_custkey", F.upper(F.md5(F.col("name").cast("binary"))).alias("digest"), *[F.round(v[i], 9).alias(f"v{i}") for i in (0, 1, 33)])
+
+
+@query("""SELECT n_nationkey::INT AS dataset, n_name AS name FROM nation WHERE n_regionkey = 1 OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 97 = 5)""")
+def visible_datasets(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("dataset"), F.col("n_name").alias("name"), "n_regionkey")
+    grants = table(spark, sf, "customer").filter("c_custkey % 97 = 5").select(F.col("c_nationkey").cast("int").alias("dataset"))
+    open_ones, closed = n.filter("n_regionkey = 1"), n.filter("n_regionkey <> 1")
+    return open_ones.union(closed.join(grants, "dataset", "left_semi").select(n.columns)).select("dataset", "name")
+
+
+@query("""SELECT c_custkey AS feature_id, 'forward' AS direction, o_orderkey AS related FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 40
+UNION ALL SELECT o_orderkey, 'backward', o_custkey FROM orders WHERE o_custkey <= 40 AND o_custkey IN (SELECT c_custkey FROM customer)""")
+def related_features(spark, sf):
+    links = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey")).filter("c_custkey <= 40")
+    out = links.select(F.col("c_custkey").alias("feature_id"), F.lit("forward").alias("direction"), F.col("o_orderkey").alias("related"))
+    return out.union(links.select("o_orderkey", F.lit("backward"), "c_custkey"))
+
+
+@query(f"""WITH p AS {_CUST}, q AS (SELECT p.*, c_acctbal AS price FROM p JOIN customer ON c_custkey = feature_id), d AS (SELECT *, {_hav('0.0::DOUBLE', '0.0::DOUBLE', 'lng', 'lat')} AS metres FROM q),
+t AS (SELECT * FROM d WHERE metres <= 3000000 ORDER BY metres, feature_id LIMIT 50) SELECT count(*) AS n, round(avg(price), 4) AS mean, (list(price ORDER BY price))[(count(*) // 2 + 1)::BIGINT] AS median, min(price) AS low, max(price) AS high FROM t""")
+def comparables(spark, sf):
+    price = table(spark, sf, "customer").select(F.col("c_custkey").alias("feature_id"), F.col("c_acctbal").alias("price"))
+    d = _points(spark, sf, "customer", "c").join(price, "feature_id").withColumn("metres", C.haversine(F.lit(0.0), F.lit(0.0), F.col("lng"), F.col("lat")))
+    near = d.filter("metres <= 3000000").orderBy("metres", "feature_id").limit(50)
+    prices = F.array_sort(F.collect_list("price"))
+    return near.agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.element_at(prices, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.min("price").alias("low"), F.max("price").alias("high"))
