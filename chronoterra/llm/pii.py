@@ -273,7 +273,7 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
 
 
 def train_tagger(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> Tagger | None:
-    """A tagger from at most ``max_train`` labelled windows, those whose digests come first."""
+    """A tagger from about ``max_train`` labelled windows, those whose digest is under a threshold set by their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,10 +290,12 @@ def train_tagger(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN
                     part = t[a:done]
                     win.append(part)
                     lab.append(tag_ids(len(part), spans, a).tolist())
-                    key.append(hashlib.md5(part.encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(win, pa.string()), pa.array(lab, pa.list_(pa.int32())), pa.array(key, pa.string())], ["win", "tags", "key"])
+                    key.append(int(hashlib.md5(part.encode("utf-8", "replace")).hexdigest()[:8], 16))
+            yield pa.RecordBatch.from_arrays([pa.array(win, pa.string()), pa.array(lab, pa.list_(pa.int32())), pa.array(key, pa.int64())], ["win", "tags", "key"])
 
-    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "win string, tags array<int>, key string").orderBy("key").limit(max_train).collect()
+    windows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "win string, tags array<int>, key long")
+    under = 2**32 * max_train // max(1, windows.agg(F.count("*")).first()[0])
+    rows = sorted(windows.filter(F.col("key") < under).collect(), key=lambda r: (r.key, r.win))  # about max_train rows
     if not rows:
         return None
     ids, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)

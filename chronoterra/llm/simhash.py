@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, scratch
+from .common import checkpoint, connected_components, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -79,8 +79,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """
     keep = 8 - bits
     sets = [c for c in combinations(range(8), keep)]
-    posting = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("set"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for n, c in enumerate(sets)])).alias("at"))
-    lists = posting.groupBy("at").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posting = fps.repartition(wide, "fp").select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("set"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for n, c in enumerate(sets)])).alias("at"))
+    lists = checkpoint(posting.groupBy("at").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1))
     pairs = (
         lists.filter(F.size("fps") <= SHORT).select("fps", F.explode("fps").alias("u"))
         .select("u", F.explode(F.filter("fps", lambda x: x < F.col("u"))).alias("v"))
