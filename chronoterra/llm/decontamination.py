@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 BLOCK = 3
 #: UTF-8 bytes of benchmark text held by one search; a larger benchmark is searched in several passes.
-PASS_BYTES = 32_000_000
+PASS_BYTES = 2_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # applied after A-Z are lower-cased
 
@@ -89,13 +89,18 @@ def covered(spans: list[tuple[int, int]]) -> int:
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
+def _passes(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
+    """The number of passes, and their items; one pass at a time is in the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).filter("item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-size // PASS_BYTES))
-    for i in range(n):  # each pass brings a bounded part of the benchmark to the driver
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else items
-        yield [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.toLocalIterator()]
+
+    def each() -> Iterator[list[tuple[str, bytes | None]]]:
+        for i in range(n):
+            part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else items
+            yield [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.toLocalIterator()]
+
+    return n, each()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = 1) -> DataFrame:
@@ -106,10 +111,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     spark = docs.sparkSession
     own = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     kind = dict(own.dtypes)["doc_id"]
-    passes = list(_passes(benchmark))
-    if len(passes) > 1:
+    n, passes = _passes(benchmark)
+    if n > 1:
         return _merged(own, passes, window, shortest, kind)
-    held = spark.sparkContext.broadcast(WuManber(passes[0], window, shortest))
+    held = spark.sparkContext.broadcast(WuManber(next(passes), window, shortest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = held.value
@@ -125,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return own.mapInArrow(run, f"doc_id {kind}, {_RESULT}")
 
 
-def _merged(own: DataFrame, passes: list[list[tuple[str, bytes | None]]], window: int, shortest: int, kind: str) -> DataFrame:
+def _merged(own: DataFrame, passes: Iterator[list[tuple[str, bytes | None]]], window: int, shortest: int, kind: str) -> DataFrame:
     spark = own.sparkSession
     keyed = own.withColumn("k", F.xxhash64("text"))
     parts = None
@@ -159,7 +164,7 @@ FILTER_SHORTEST = 5
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = FILTER_SHORTEST) -> DataFrame:
     """Documents in which no window occurs; all columns stay. A null doc_id is judged by its row's text."""
-    passes = list(_passes(benchmark))
+    _, passes = _passes(benchmark)
     clean = docs
     spark = docs.sparkSession
     for items in passes:

@@ -52,13 +52,13 @@ def tokens(text: Column) -> Column:
 
 
 def _categories(docs: DataFrame) -> DataFrame:
-    return docs.withColumns(
-        {
-            "_s": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_l": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "topic": topic(F.col("text")),
-            "n_tokens": tokens(F.col("text")),
-        }
+    """The input as one struct, so that its column names clash with none of ours, and what is raked."""
+    return docs.select(F.struct(*docs.columns).alias("_row")).select(
+        "_row",
+        F.coalesce(F.col("_row.source").cast("string"), F.lit("")).alias("_s"),
+        F.coalesce(F.col("_row.lang").cast("string"), F.lit("")).alias("_l"),
+        topic(F.col("_row.text")).alias("topic"),
+        tokens(F.col("_row.text")).alias("n_tokens"),
     )
 
 
@@ -102,9 +102,9 @@ def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUN
     )
     small = fitted.count() <= BROADCAST_CELLS
     out = pooled(d).join(F.broadcast(rate) if small else rate, ["_source", "_lang", "topic"], "left")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     fresh = {"topic": F.col("topic"), "n_tokens": F.col("n_tokens"), "probability": F.coalesce("_p", F.lit(keep)), "sampled": draw < F.coalesce("_p", F.lit(keep))}
-    return out.select(*[F.col(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
 
 
 def oracle(keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, min_share: float = MIN_SHARE) -> str:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 1500
-TILE, WINDOW, EMBED, HIDDEN, EPOCHS, BATCH, RATE, SEED = 48, 96, 12, 16, 6, 32, 0.01, 7
+TILE, WINDOW, EMBED, HIDDEN, BATCH, RATE, SEED = 48, 96, 12, 16, 32, 0.01, 7
+#: Batches the tagger is trained on, however few the windows are.
+STEPS = 280
 
 # Fixed patterns; each search starts where a leftmost search would, so that long runs cost no more than their length.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -182,11 +184,11 @@ class Tagger:
         np.add.at(g["e"], ids.T, dx)
         return float((z.sum() - gold) / b), g
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
-        """Adam over shuffled batches."""
+    def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Tagger:
+        """Adam over about ``steps`` shuffled batches, in whole epochs."""
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * BATCH / len(ids)))):
             order = r.permutation(len(ids))
             for i in range(0, len(order), BATCH):
                 _, g = self.gradient(ids[order[i : i + BATCH]], tags[order[i : i + BATCH]])
