@@ -44,9 +44,11 @@ SEPARATORS = " .-_*\t\n"
 LEET_COST, STAR_COST, REPEAT_COST, JOIN_COST, GAP_COST, DROP_COST = 1.0, 2.5, 0.3, 0.3, 1.5, 3.0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LEET = re.compile(r"(?<=[^\W\d_])[0-9@$!|€(*.\-_]+(?=[^\W\d_])|(?<![^\s])[0-9@$!|€(]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0-9$@!|]+(?![^\s])")
+_RUN = re.compile(r"[0-9@$!|€(*.\-_]+")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\W_])")
+#: Holds wherever _SPACED matches (its last two signs), and is found faster.
+_SPACED_END = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}[^\W_](?![^\W_])")
 
 
 # ---- character model -------------------------------------------------------------------------
@@ -137,25 +139,48 @@ def _run_end(text: str, at: int) -> int:
     return end
 
 
+def _is_letter(ch: str) -> bool:
+    return ch.isalnum() and not ch.isdecimal()
+
+
+def _odd_places(low: str) -> Iterator[int]:
+    """Places in tokens with leetspeak (signs within letters, before two or after two of them) or a letter three times over."""
+    end = len(low)
+    for m in _RUN.finditer(low):
+        a, b = m.span()
+        before, after = a > 0 and _is_letter(low[a - 1]), b < end and _is_letter(low[b])
+        if before and after:
+            yield a
+        elif after and not (set(m.group()) & set("*.-_")):
+            if (a == 0 or low[a - 1].isspace()) and b + 1 < end and _is_letter(low[b + 1]):
+                yield a
+        elif before and a > 1 and _is_letter(low[a - 2]) and (b == end or low[b].isspace()) and not (set(m.group()) & set("*.-_€(")):
+            yield a
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = codes[1:] == codes[:-1]
+    for i in np.flatnonzero(same[1:] & same[:-1]).tolist():
+        if _is_letter(low[i]):
+            yield i
+
+
 def restore(text: str, model: CharModel, cache: dict[str, str]) -> str:
     """Lower-cased ``text`` with its suspicious stretches replaced by their readings."""
     low = text.lower()
-    spans = [m.span() for m in _SPACED.finditer(low)]
-    reach = 0
-    for m in (m for r in (_LEET, _REPEAT) for m in r.finditer(low)):
-        if reach > m.start() and spans and spans[-1][0] <= m.start():
+    spans = {m.span() for m in _SPACED.finditer(low)} if _SPACED_END.search(low) else set()
+    first, reach = 0, 0
+    for at in _odd_places(low):
+        if first <= at < reach:
             continue  # in the token found last
-        a, b = m.start(), m.end()
-        while a and not low[a - 1].isspace():
-            a -= 1
-        while b < len(low) and not low[b].isspace():
-            b += 1
-        spans.append((a, b))
-        reach = b
+        first, reach = at, at + 1
+        while first and not low[first - 1].isspace():
+            first -= 1
+        while reach < len(low) and not low[reach].isspace():
+            reach += 1
+        spans.add((first, reach))
     if not spans:
         return low
     out, at = [], 0
-    for a, b in sorted(set(spans)):
+    for a, b in sorted(spans):
         if a < at:
             continue
         s = low[a:b]
