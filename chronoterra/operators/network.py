@@ -34,6 +34,21 @@ def costs_from(edges: DataFrame, start: int, max_cost: float | None = None, dire
     raise RuntimeError("costs did not settle")
 
 
+def trace(edges: DataFrame, start: int, max_depth: int = 1000, direction: str = "downstream") -> DataFrame:
+    """(id, depth): junctions within ``max_depth`` edges of ``start``, at least depth; upstream goes against the edges, both either way."""
+    ways = {"downstream": edges.select("from_id", "to_id"), "upstream": edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), "both": both_ways(edges).select("from_id", "to_id")}
+    links = checkpoint(ways[direction].distinct())
+    seen = checkpoint(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("depth")))
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        step = frontier.select(F.col("id").alias("from_id")).join(links, "from_id").select(F.col("to_id").cast("long").alias("id")).distinct()
+        frontier = checkpoint(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = checkpoint(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
+    return seen
+
+
 def path(best: DataFrame, goal: int) -> list[int]:
     """Junctions from the start to ``goal``, one lookup per step of the path; empty if it isn't reached."""
     out, at = [], goal

@@ -6,10 +6,12 @@ follows local density instead of the square of the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import grid_cell, haversine
+from ..functions.columns import METRES_PER_DEGREE, grid_cell, haversine
 from .history import checkpoint
 
 
@@ -34,6 +36,21 @@ def nearest(rows: DataFrame, feature_id: int, k: int = 5) -> DataFrame:
     return ranked.orderBy("d", "feature_id").limit(k).select("feature_id", "metres")
 
 
+def distance_matrix(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """(a, b, metres) of every unordered pair of the listed ids, which the caller bounds; absent ids have no pair."""
+    own = rows.filter(F.col("feature_id").isin(ids) & F.col("lng").isNotNull()).select("feature_id", "lng", "lat")
+    a, b = (own.toDF(n, f"{n}x", f"{n}y") for n in "ab")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("metres"))
+
+
+def circles(rows: DataFrame, metres: float, corners: int = 32) -> DataFrame:
+    """(feature_id, ring): a closed ring of ``corners`` + 1 positions around each point."""
+    r = metres / METRES_PER_DEGREE
+    turn = lambda i: i.cast("double") * (2 * math.pi / corners)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda i: F.struct((F.col("lng") + r * F.cos(turn(i))).alias("x"), (F.col("lat") + r * F.sin(turn(i))).alias("y")))
+    return rows.filter("lng is not null").select("feature_id", ring.alias("ring"))
+
+
 def _near(rows: DataFrame, eps: float) -> Column:
     """Cell of a point at cells of side eps."""
     return F.struct(F.floor(F.col("lng") / eps).alias("i"), F.floor(F.col("lat") / eps).alias("j"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions.cql2 import to_column
-from .operators import history, merging, network, similarity, snapshot, spatial, statistics, trajectory
+from .operators import governance, grids, history, linear, merging, network, similarity, snapshot, spatial, statistics, trajectory
 from .plans.fixture import HEADS, ORACLE, branches, changesets, oracle_latest, place, table, versions
 from .streaming import change_feed
 
@@ -355,3 +355,106 @@ def comparables(spark, sf):
     near = d.filter("metres <= 3000000").orderBy("metres", "feature_id").limit(50)
     prices = F.array_sort(F.collect_list("price"))
     return near.agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.element_at(prices, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.min("price").alias("low"), F.max("price").alias("high"))
+
+
+# ---- tiles, grids, rasters, routes ------------------------------------------------------------
+
+_TILE = f"""t AS (SELECT feature_id, (lng + 180.0::DOUBLE) / 360.0::DOUBLE * 64.0::DOUBLE AS x, (1.0::DOUBLE - ln(tan(phi) + 1.0::DOUBLE / cos(phi)) / pi()) / 2.0::DOUBLE * 64.0::DOUBLE AS y
+FROM (SELECT *, radians(least(greatest(lat, -{grids.MAX_LATITUDE}::DOUBLE), {grids.MAX_LATITUDE}::DOUBLE)) AS phi FROM p)), u AS (SELECT *, least(greatest(floor(x), 0), 63)::BIGINT AS tx, least(greatest(floor(y), 0), 63)::BIGINT AS ty FROM t)"""
+
+
+@query(f"WITH p AS {_CUST}, {_TILE} SELECT feature_id, tx, ty, floor((x - tx) * 4096)::BIGINT AS px, floor((y - ty) * 4096)::BIGINT AS py FROM u")
+def tile_points(spark, sf):
+    return grids.tile_points(_points(spark, sf, "customer", "c"), 6)
+
+
+@query(f"WITH p AS {_CUST}, {_TILE} SELECT tx, ty, count(*) AS n FROM u GROUP BY 1, 2")
+def tile_counts(spark, sf):
+    return grids.tile_counts(_points(spark, sf, "customer", "c"), 6)
+
+
+def _cell(zoom: int) -> str:
+    n = 1 << zoom
+    return f"(least(greatest(floor((lat + 90) / 180 * {n}), 0), {n - 1}) * {n} + least(greatest(floor((lng + 180) / 360 * {n}), 0), {n - 1}))::BIGINT"
+
+
+@query(f"WITH p AS {_SUPP}, c AS (SELECT DISTINCT {_cell(5)} AS cell FROM p) SELECT DISTINCT cell, ((cell // 32 + dy) * 32 + (cell % 32 + dx + 32) % 32)::BIGINT AS neighbour FROM c, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE cell // 32 + dy BETWEEN 0 AND 31")
+def grid_disk(spark, sf):
+    cells = _points(spark, sf, "supplier", "s").select(C.grid_cell(F.col("lng"), F.col("lat"), 5).alias("cell")).distinct()
+    return grids.grid_disk(cells, 5, 1)
+
+
+@query(f"""WITH p AS {_SUPP}, c AS {_CUST}, t AS ({" UNION ALL ".join(f"SELECT {z} AS zoom, {_cell(z)} AS cell, count(*) AS value FROM c GROUP BY 2" for z in (2, 4, 7))}),
+f AS ({" UNION ALL ".join(f"SELECT feature_id, t.zoom, value FROM p JOIN t ON t.zoom = {z} AND t.cell = {_cell(z)}" for z in (2, 4, 7))})
+SELECT p.feature_id, max(zoom)::INT AS zoom, arg_max(value, zoom) AS value FROM p LEFT JOIN f USING (feature_id) GROUP BY 1""")
+def raster_values(spark, sf):
+    c = _points(spark, sf, "customer", "c")
+    level = lambda z: c.groupBy(F.lit(z).alias("zoom"), C.grid_cell(F.col("lng"), F.col("lat"), z).alias("cell")).agg(F.count("*").alias("value"))
+    return grids.raster_values(_points(spark, sf, "supplier", "s"), level(2).union(level(4)).union(level(7)), [2, 4, 7])
+
+
+@query(f"WITH p AS {_CUST} SELECT a.feature_id AS a, b.feature_id AS b, round({_hav('a.lng', 'a.lat', 'b.lng', 'b.lat')}, 3) AS metres FROM p a JOIN p b ON a.feature_id < b.feature_id WHERE a.feature_id IN (3, 7, 11, 20) AND b.feature_id IN (3, 7, 11, 20)")
+def distance_matrix(spark, sf):
+    return spatial.distance_matrix(_points(spark, sf, "customer", "c"), [3, 7, 11, 20]).select("a", "b", F.round("metres", 3).alias("metres"))
+
+
+@query(f"WITH p AS {_SUPP} SELECT feature_id, i::INT AS i, round(lng + 5000 / 111320.0::DOUBLE * cos(i * 2 * pi() / 32), 8) AS x, round(lat + 5000 / 111320.0::DOUBLE * sin(i * 2 * pi() / 32), 8) AS y FROM p, range(0, 33) t(i)")
+def circle_rings(spark, sf):
+    rings = spatial.circles(_points(spark, sf, "supplier", "s"), 5000.0).select("feature_id", F.posexplode("ring").alias("i", "at"))
+    return rings.select("feature_id", "i", F.round("at.x", 8).alias("x"), F.round("at.y", 8).alias("y"))
+
+
+_ROUTE = f"""WITH p AS {_CUST}, v AS (SELECT feature_id % 50 AS route, feature_id AS seq, lng, lat FROM p), l AS (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM v WINDOW w AS (PARTITION BY route ORDER BY seq)),
+s AS (SELECT *, coalesce({_hav('x', 'y', 'lng', 'lat')}, 0) AS step FROM l), m AS (SELECT *, sum(step) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) AS measure FROM s) """
+
+
+def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    return _points(spark, sf, "customer", "c").select((F.col("feature_id") % 50).alias("route"), F.col("feature_id").alias("seq"), "lng", "lat")
+
+
+@query(_ROUTE + "SELECT route, count(*) AS n, round(max(measure), 1) AS total_length FROM m GROUP BY 1")
+def route_lengths(spark, sf):
+    return linear.route_lengths(_routes(spark, sf)).select("route", "n", F.round("total_length", 1).alias("total_length"))
+
+
+@query(_ROUTE + """, e AS (SELECT s_suppkey % 50 AS route, s_suppkey AS event, s_suppkey * 100003.5::DOUBLE AS goal FROM supplier),
+g AS (SELECT *, lead(measure) OVER w AS m2, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2 FROM m WINDOW w AS (PARTITION BY route ORDER BY seq))
+SELECT route, event, round(lng + (goal - measure) / (m2 - measure) * (x2 - lng), 6) AS lng, round(lat + (goal - measure) / (m2 - measure) * (y2 - lat), 6) AS lat FROM e JOIN g USING (route) WHERE measure <= goal AND m2 > goal""")
+def locate_along(spark, sf):
+    events = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("route"), F.col("s_suppkey").alias("event"), (F.col("s_suppkey") * F.lit(100003.5)).alias("measure"))
+    return linear.locate_along(_routes(spark, sf), events).select("route", "event", *xy())
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, w(id, depth) AS (SELECT 2::BIGINT, 0 UNION SELECT to_id, depth + 1 FROM w JOIN e ON from_id = id WHERE depth < 3) SELECT id, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def network_trace(spark, sf):
+    return network.trace(_edges(spark, sf), 2, 3)
+
+
+# ---- access, schemas, search -----------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT n_nationkey AS branch, n_regionkey AS dataset FROM nation), lv AS (SELECT * FROM (VALUES ('read', 1), ('write', 2), ('admin', 3)) t(permission, level)),
+dg AS (SELECT s_nationkey % 5 AS dataset, s_suppkey AS usr, CASE s_suppkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'admin' END AS permission FROM supplier),
+bg AS (SELECT c_nationkey AS branch, c_custkey AS usr, CASE c_custkey % 2 WHEN 0 THEN 'read' ELSE 'admin' END AS permission FROM customer WHERE c_custkey % 13 = 0 AND c_nationkey % 2 = 0),
+a AS (SELECT * FROM bg UNION ALL SELECT branch, usr, permission FROM b JOIN dg USING (dataset) WHERE branch NOT IN (SELECT branch FROM bg)) SELECT branch, usr AS "user", max(level)::INT AS level FROM a JOIN lv USING (permission) GROUP BY 1, 2""")
+def access_levels(spark, sf):
+    b = table(spark, sf, "nation").select(F.col("n_nationkey").alias("branch"), F.col("n_regionkey").alias("dataset"))
+    s, k = F.col("s_suppkey"), F.col("c_custkey")
+    grants = table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).alias("dataset"), s.alias("user"), F.when(s % 3 == 0, "read").when(s % 3 == 1, "write").otherwise("admin").alias("permission"))
+    own = table(spark, sf, "customer").filter("c_custkey % 13 = 0 AND c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("branch"), k.alias("user"), F.when(k % 2 == 0, "read").otherwise("admin").alias("permission"))
+    return governance.access_levels(b, grants, own)
+
+
+@query(with_fixture("""SELECT feature_id, 'status' AS field, 'allowed' AS error FROM fv WHERE operation <> 'delete' AND json_extract_string(properties, '$.status') NOT IN ('F', 'O')
+UNION ALL SELECT feature_id, 'cust', CASE WHEN json_extract_string(properties, '$.cust')::DOUBLE < 10 THEN 'min' ELSE 'max' END FROM fv WHERE operation <> 'delete' AND json_extract_string(properties, '$.cust')::DOUBLE NOT BETWEEN 10 AND 100
+UNION ALL SELECT feature_id, 'name', 'type' FROM fv WHERE operation <> 'delete' UNION ALL SELECT feature_id, 'owner', 'required' FROM fv WHERE operation <> 'delete' AND feature_id % 50 = 0"""))
+def schema_errors(spark, sf):
+    rows = versions(spark, sf).filter("operation <> 'delete'")
+    fields = [{"name": "status", "allowed": ["F", "O"]}, {"name": "cust", "type": "number", "min": 10, "max": 100}, {"name": "name", "type": "integer"}]
+    owner = governance.schema_errors(rows.filter("feature_id % 50 = 0"), [{"name": "owner", "required": True}])
+    return governance.schema_errors(rows, fields).union(owner)
+
+
+@query(with_fixture("SELECT feature_id FROM r WHERE operation <> 'delete' AND json_extract_string(properties, '$.priority') ILIKE '%urgent%'", (3, "r")))
+def property_search(spark, sf):
+    return governance.property_search(_snap(spark, sf, "main"), "priority", "uRGent").select("feature_id")
