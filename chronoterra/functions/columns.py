@@ -23,9 +23,9 @@ def number(text: Column) -> Column:
 
 
 def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH_RADIUS) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() skips nulls
 
 
 def mercator(lng: Column, lat: Column) -> tuple[Column, Column]:

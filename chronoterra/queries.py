@@ -405,7 +405,7 @@ def circle_rings(spark, sf):
 
 
 _ROUTE = f"""WITH p AS {_CUST}, v AS (SELECT feature_id % 50 AS route, feature_id AS seq, lng, lat FROM p), l AS (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM v WINDOW w AS (PARTITION BY route ORDER BY seq)),
-s AS (SELECT *, coalesce({_hav('x', 'y', 'lng', 'lat')}, 0) AS step FROM l), m AS (SELECT *, sum(step) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) AS measure FROM s) """
+s AS (SELECT *, CASE WHEN x IS NULL THEN 0 ELSE {_hav('x', 'y', 'lng', 'lat')} END AS step FROM l), m AS (SELECT *, sum(step) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) AS measure FROM s) """
 
 
 def _routes(spark: SparkSession, sf: str) -> DataFrame:

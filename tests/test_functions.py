@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoterra.functions import columns, cql2
+from chronoterra.operators import governance, grids, linear, network
 from chronoterra.sources import text_formats
 from chronoterra.streaming import change_feed
 
@@ -66,6 +67,43 @@ def test_mercator_and_back(spark):
     assert r[0] == pytest.approx(10.0) and r[1] == pytest.approx(50.0)
 
 
+def test_distance_to_nowhere_is_null(spark):
+    n = F.lit(None).cast("double")
+    assert spark.range(1).select(columns.haversine(n, F.lit(0.0), F.lit(1.0), F.lit(1.0))).first()[0] is None
+
+
+def test_events_along_a_route(spark):
+    route = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.0, 1.0), (1, 3, None, 5.0), (1, 4, 0.0, 1.0), (1, 5, 0.0, 3.0)], "route int, seq int, lng double, lat double")
+    degree = 2 * 3.141592653589793 * columns.EARTH_RADIUS / 360
+    assert [r.measure / degree for r in linear.measured(route).orderBy("seq").collect()] == pytest.approx([0, 1, 1, 3])
+    data = [(1, "start", 0.0), (1, "half", 0.5 * degree), (1, "late", 2.0 * degree), (1, "off", 9e9), (1, "below", -1.0), (1, "none", None), (2, "nowhere", 1.0)]
+    events = spark.createDataFrame(data, "route int, event string, measure double")
+    got = {r.event: r.lat for r in linear.locate_along(route, events).collect()}
+    assert got == {"start": pytest.approx(0), "half": pytest.approx(0.5), "late": pytest.approx(2.0)}
+
+
+def test_grids_at_their_edges(spark):
+    points = spark.createDataFrame([(1, 180.0, -90.0), (2, -180.0, 90.0), (3, None, 0.0)], "feature_id int, lng double, lat double")
+    assert sorted((r.feature_id, r.tx, r.ty) for r in grids.tile_points(points, 3).collect()) == [(1, 7, 7), (2, 0, 0)]
+    around = grids.grid_disk(spark.createDataFrame([(0,)], "cell long"), 2, 1).collect()
+    assert sorted(r.neighbour for r in around) == [0, 1, 3, 4, 5, 7]
+    values = grids.raster_values(points, spark.createDataFrame([(1, 2, 5.0)], "zoom int, cell long, value double"), [0, 1])
+    assert {r.feature_id: r.value for r in values.collect()} == {1: None, 2: 5.0, 3: None}
+
+
+def test_trace_access_and_schema(spark, rows):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0)], "from_id int, to_id int, cost double")
+    assert {r.id: r.depth for r in network.trace(edges, 1, 2).collect()} == {1: 0, 2: 1, 3: 2}
+    assert {r.id for r in network.trace(edges, 4, direction="upstream").collect()} == {1, 2, 3, 4}
+    branches = spark.createDataFrame([("a", "d"), ("b", "d")], "branch string, dataset string")
+    of = lambda k, *data: spark.createDataFrame(list(data), f"{k} string, user string, permission string")
+    got = governance.access_levels(branches, of("dataset", ("d", "u", "write"), ("d", "u", "read")), of("branch", ("b", "v", "admin"), ("b", "w", "odd")))
+    assert {(r.branch, r.user): r.level for r in got.collect()} == {("a", "u"): 2, ("b", "v"): 3, ("b", "w"): 0}
+    found = governance.schema_errors(rows.withColumnRenamed("id", "feature_id"), [{"name": "n", "type": "number", "max": 4, "required": True}, {"name": "s", "allowed": ["ab"]}])
+    assert sorted(map(tuple, found.collect())) == [(1, "n", "max"), (2, "n", "max"), (3, "n", "type"), (3, "s", "allowed"), (4, "n", "required")]
+    assert governance.property_search(rows, "s", "B%").count() == 1
+
+
 def test_text_formats_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", '{"k":"v"}', 1.5, 2.5)], "feature_id string, properties string, lng double, lat double")
     line = text_formats.geojson_lines(rows).first()[0]
