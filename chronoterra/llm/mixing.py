@@ -1,15 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 The contingency table source x language x topic holds tokens. Raking scales its weights in turn
-until the source, language and topic sums meet their targets; a document is then kept with a
-probability proportional to (calibrated weight / tokens) of its cell.
+until the source, language and topic sums meet their targets; a document's rate is proportional to (calibrated weight /
+tokens) of its cell. A rate over one can't be met by keeping a document once: ``copies`` says how often
+it is taken, the rate on average, so that the copies' tokens meet the targets. ``probability`` and
+``sampled`` are those of being taken at all.
 
 Targets are tempered shares, share ** power over its sum, so that rare categories gain weight; a
 category under ``min_share`` of the tokens is pooled as '*other*', so at most 1 / min_share named
 sources and languages exist, and the table that is raked has a proven bound.
 
 Defined cases: null source or language is the category ''; null text has no tokens; a cell without
-tokens has nothing to calibrate and its documents get probability ``keep``; an empty table gives an
+tokens has nothing to calibrate and its documents get the rate ``keep``; an empty table gives an
 empty table; repeated rows share one draw (it depends on doc_id alone); null doc_id draws as 'null'.
 Columns of the input pass through unless the result has a column of that name.
 """
@@ -80,7 +82,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWE
 
 
 def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability (six digits) and sampled."""
+    """``docs`` with topic, n_tokens, probability (six digits), sampled and copies."""
     d = _categories(docs)
     raw = checkpoint(d.groupBy("_s", "_l", "topic").agg(F.sum("n_tokens").alias("tokens")))
     total = raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -98,12 +100,14 @@ def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUN
     fitted = checkpoint(rake(cells.filter("tokens > 0"), rounds, powers))
     rate = fitted.select(
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
-        F.round(F.least(F.lit(1.0), F.lit(keep) * float(total) * F.col("w") / F.col("tokens")), 6).alias("_p"),
+        F.round(F.lit(keep) * float(total) * F.col("w") / F.col("tokens"), 6).alias("_rate"),
     )
     small = fitted.count() <= BROADCAST_CELLS
     out = pooled(d).join(F.broadcast(rate) if small else rate, ["_source", "_lang", "topic"], "left")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    fresh = {"topic": F.col("topic"), "n_tokens": F.col("n_tokens"), "probability": F.coalesce("_p", F.lit(keep)), "sampled": draw < F.coalesce("_p", F.lit(keep))}
+    times = F.coalesce("_rate", F.lit(keep))
+    once = F.least(F.lit(1.0), times)
+    fresh = {"topic": F.col("topic"), "n_tokens": F.col("n_tokens"), "probability": once, "sampled": draw < once, "copies": F.floor(times) + (draw < times - F.floor(times)).cast("long")}
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
 
 

@@ -26,6 +26,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
+def op3_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_mixing samples, with how often each document is taken; its SQL has no such column."""
+    out = mixing.mixing_probabilities(table(spark, sf_dir, "documents"))
+    return out.filter("sampled").select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
@@ -70,7 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_mixing, op4_pii, op5_toxicity, op6_topk, op7_html_text, op8_substring_dedup, op9_decontamination, op10_simhash)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_mixing, op4_pii, op5_toxicity, op6_topk, op7_html_text, op8_substring_dedup, op9_decontamination, op10_simhash, op3_mixing_copies)
 }
 
 #: Word lists of a text in DuckDB: A-Z lower-cased, then runs of anything but ASCII other than a-z and 0-9.
