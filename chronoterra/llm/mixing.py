@@ -6,9 +6,9 @@ tokens) of its cell. A rate over one can't be met by keeping a document once: ``
 it is taken, the rate on average, so that the copies' tokens meet the targets. ``probability`` and
 ``sampled`` are those of being taken at all.
 
-Targets are tempered shares, share ** power over its sum, so that rare categories gain weight; a
-category under ``min_share`` of the tokens is pooled as '*other*', so at most 1 / min_share named
-sources and languages exist, and the table that is raked has a proven bound.
+Targets are tempered shares, share ** power over its sum, so that rare categories gain weight. Every
+source and language has a target of its own, however rare. (The SQL pools those under MIN_SHARE of the
+tokens as '*other*' and agrees where there are none.)
 
 Defined cases: null source or language is the category ''; null text has no tokens; a cell without
 tokens has nothing to calibrate and its documents get the rate ``keep``; an empty table gives an
@@ -28,7 +28,9 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 MIN_SHARE = 0.001
 ROUNDS = 12
 OTHER = "*other*"
-#: Cells up to which the fitted table is broadcast (under 100 bytes each); beyond it the join shuffles.
+#: Cells up to which the table is raked in one task (under 100 bytes each); a larger one is raked by joins.
+ONE_TASK_CELLS = 20_000
+#: Cells up to which the fitted table is broadcast; beyond it the join shuffles.
 BROADCAST_CELLS = 100_000
 
 
@@ -65,10 +67,12 @@ def _categories(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> DataFrame:
-    """Fits column w of ``cells`` (source, lang, topic, tokens > 0), a table of bounded size, to the tempered marginals.
+    """Fits column w of ``cells`` (source, lang, topic, tokens > 0; checkpointed) to the tempered marginals."""
+    return (_rake_in_one_task if cells.count() <= ONE_TASK_CELLS else _rake_by_joins)(cells, rounds, powers)
 
-    The table is in one partition, which serves every window without a shuffle.
-    """
+
+def _rake_in_one_task(cells: DataFrame, rounds: int, powers: dict[str, float]) -> DataFrame:
+    """The table is in one partition, which serves every window without a shuffle."""
     one = cells.repartition(1)
     for dim, power in powers.items():
         by = Window.partitionBy(dim)
@@ -81,29 +85,40 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWE
     return one.select("source", "lang", "topic", "tokens", "w")
 
 
-def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, min_share: float = MIN_SHARE) -> DataFrame:
+def _rake_by_joins(cells: DataFrame, rounds: int, powers: dict[str, float]) -> DataFrame:
+    """The same for a table of any size: w is tokens times a factor of each dimension, and only the factors are kept."""
+    targets, factors, small = {}, {}, {}
+    for dim, power in powers.items():
+        m = checkpoint(cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_m")))
+        whole, rows = m.agg(F.sum("_m"), F.count("*")).first()
+        targets[dim], small[dim] = m.select(dim, (F.col("_m") / whole).alias("_t")), rows <= BROADCAST_CELLS
+
+    def weighed(dims: list[str]) -> DataFrame:
+        out = cells.withColumn("w", F.col("tokens").cast("double"))
+        for dim in dims:
+            out = out.join(F.broadcast(factors[dim]) if small[dim] else factors[dim], dim).withColumn("w", F.col("w") * F.col("_f")).drop("_f")
+        return out
+
+    for _ in range(rounds):
+        for dim in powers:
+            sums = weighed([x for x in factors if x != dim]).groupBy(dim).agg(F.sum("w").alias("_w"))
+            factors[dim] = checkpoint(sums.join(targets[dim], dim).select(dim, (F.col("_t") / F.col("_w")).alias("_f")))
+    return weighed([*factors]).select("source", "lang", "topic", "tokens", "w")
+
+
+def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> DataFrame:
     """``docs`` with topic, n_tokens, probability (six digits), sampled and copies."""
     d = _categories(docs)
-    raw = checkpoint(d.groupBy("_s", "_l", "topic").agg(F.sum("n_tokens").alias("tokens")))
-    total = raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    named = {
-        c: checkpoint(raw.groupBy(c).agg(F.sum("tokens").alias("t")).filter(F.col("t") >= min_share * total).select(c, F.col(c).alias(f"{c}_named")))
-        for c in ("_s", "_l")
-    }  # at most 1 / min_share rows each (all of them only where there are no tokens)
-
-    def pooled(df: DataFrame) -> DataFrame:
-        for c, out in (("_s", "_source"), ("_l", "_lang")):
-            df = df.join(F.broadcast(named[c]) if total else named[c], c, "left").withColumn(out, F.coalesce(f"{c}_named", F.lit(OTHER))).drop(f"{c}_named")
-        return df
-
-    cells = pooled(raw).groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
-    fitted = checkpoint(rake(cells.filter("tokens > 0"), rounds, powers))
+    cells = d.groupBy(F.col("_s").alias("source"), F.col("_l").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens"))
+    cells = checkpoint(cells.filter("tokens > 0"))
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    fitted = checkpoint(rake(cells, rounds, powers))
     rate = fitted.select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
+        F.col("source").alias("_s"), F.col("lang").alias("_l"), "topic",
         F.round(F.lit(keep) * float(total) * F.col("w") / F.col("tokens"), 6).alias("_rate"),
     )
     small = fitted.count() <= BROADCAST_CELLS
-    out = pooled(d).join(F.broadcast(rate) if small else rate, ["_source", "_lang", "topic"], "left")
+    out = d.join(F.broadcast(rate) if small else rate, ["_s", "_l", "topic"], "left")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     times = F.coalesce("_rate", F.lit(keep))
     once = F.least(F.lit(1.0), times)
