@@ -85,6 +85,12 @@ def contents_at_changeset(spark, sf):
     return snapshot.resolve(versions(spark, sf), changesets(spark), 4).join(ids, "feature_id", "left_semi").select("feature_id", "operation", "changeset_id")
 
 
+@query(with_fixture("SELECT feature_id, operation, changeset_id FROM r", (4, "r")))
+def contents_at_changeset_all(spark, sf):
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("feature_id"))
+    return snapshot.resolve(versions(spark, sf), changesets(spark), 4).join(ids, "feature_id", "left_semi").select("feature_id", "operation", "changeset_id")
+
+
 @query("SELECT * FROM (VALUES (5::BIGINT, 0), (4, 1), (2, 2), (1, 3)) t(id, depth)")
 def branch_history(spark, sf):
     return history.log(changesets(spark), HEADS["fork"]).select("id", "depth")
@@ -232,35 +238,37 @@ def web_mercator(spark, sf):
 
 # ---- networks --------------------------------------------------------------------------------
 
+#: A bound on edges; the _all queries at the end of this file do without.
+_NEAR = " AND s_nationkey - c_nationkey <= 3"
 _EDGES = "(SELECT c_nationkey::BIGINT AS from_id, s_nationkey::BIGINT AS to_id, round(avg(l_quantity), 4) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey AND s_nationkey - c_nationkey <= 3 GROUP BY 1, 2)"
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
+def _edges(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     l, o, c, s = (table(spark, sf, n) for n in ("lineitem", "orders", "customer", "supplier"))
     rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
-    rows = rows.filter("c_nationkey < s_nationkey AND s_nationkey - c_nationkey <= 3")
+    rows = rows.filter("c_nationkey < s_nationkey" + ("" if every else _NEAR))
     return rows.groupBy(F.col("c_nationkey").cast("long").alias("from_id"), F.col("s_nationkey").cast("long").alias("to_id")).agg(F.round(F.avg("l_quantity"), 4).alias("cost"))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id, cost FROM e UNION ALL SELECT to_id, from_id, cost FROM e),
 w(id, cost, hops) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION SELECT id, min(cost), hops + 1 FROM (SELECT to_id AS id, w.cost + b.cost AS cost, hops FROM w JOIN b ON b.from_id = w.id WHERE hops < 24) GROUP BY id, hops)
 SELECT id, round(min(cost), 4) AS cost FROM w GROUP BY 1""")
-def shortest_paths(spark, sf):
-    return network.costs_from(_edges(spark, sf), 0).select("id", F.round("cost", 4).alias("cost"))
+def shortest_paths(spark, sf, every=False):
+    return network.costs_from(_edges(spark, sf, every), 0).select("id", F.round("cost", 4).alias("cost"))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id, cost FROM e UNION ALL SELECT to_id, from_id, cost FROM e),
 w(id, cost, hops) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION SELECT id, min(cost), hops + 1 FROM (SELECT to_id AS id, w.cost + b.cost AS cost, hops FROM w JOIN b ON b.from_id = w.id WHERE hops < 24) GROUP BY id, hops)
 SELECT id, round(min(cost), 4) AS cost FROM w GROUP BY 1 HAVING min(cost) <= 60""")
-def service_area(spark, sf):
-    return network.costs_from(_edges(spark, sf), 0, max_cost=60.0).select("id", F.round("cost", 4).alias("cost"))
+def service_area(spark, sf, every=False):
+    return network.costs_from(_edges(spark, sf, every), 0, max_cost=60.0).select("id", F.round("cost", 4).alias("cost"))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, b AS (SELECT from_id, to_id FROM e UNION SELECT to_id, from_id FROM e),
 w(id, root) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT b.to_id, w.root FROM w JOIN b ON b.from_id = w.id)
 SELECT id, min(root) AS component FROM w GROUP BY 1""")
-def network_components(spark, sf):
-    return network.components(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), _edges(spark, sf))
+def network_components(spark, sf, every=False):
+    return network.components(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), _edges(spark, sf, every))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -332,9 +340,9 @@ def text_embeddings(spark, sf):
 
 
 @query("""SELECT n_nationkey::INT AS dataset, n_name AS name FROM nation WHERE n_regionkey = 1 OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 97 = 5)""")
-def visible_datasets(spark, sf):
+def visible_datasets(spark, sf, every=False):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("dataset"), F.col("n_name").alias("name"), "n_regionkey")
-    grants = table(spark, sf, "customer").filter("c_custkey % 97 = 5").select(F.col("c_nationkey").cast("int").alias("dataset"))
+    grants = table(spark, sf, "customer").filter("true" if every else "c_custkey % 97 = 5").select(F.col("c_nationkey").cast("int").alias("dataset"))
     open_ones, closed = n.filter("n_regionkey = 1"), n.filter("n_regionkey <> 1")
     return open_ones.union(closed.join(grants, "dataset", "left_semi").select(n.columns)).select("dataset", "name")
 
@@ -342,7 +350,17 @@ def visible_datasets(spark, sf):
 @query("""SELECT c_custkey AS feature_id, 'forward' AS direction, o_orderkey AS related FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 40
 UNION ALL SELECT o_orderkey, 'backward', o_custkey FROM orders WHERE o_custkey <= 40 AND o_custkey IN (SELECT c_custkey FROM customer)""")
 def related_features(spark, sf):
-    links = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey")).filter("c_custkey <= 40")
+    return _related(spark, sf, table(spark, sf, "customer").filter("c_custkey <= 40"))
+
+
+@query("""SELECT c_custkey AS feature_id, 'forward' AS direction, o_orderkey AS related FROM customer JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT o_orderkey, 'backward', o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def related_features_all(spark, sf):
+    return _related(spark, sf, table(spark, sf, "customer"))
+
+
+def _related(spark: SparkSession, sf: str, customers: DataFrame) -> DataFrame:
+    links = customers.join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     out = links.select(F.col("c_custkey").alias("feature_id"), F.lit("forward").alias("direction"), F.col("o_orderkey").alias("related"))
     return out.union(links.select("o_orderkey", F.lit("backward"), "c_custkey"))
 
@@ -426,8 +444,8 @@ def locate_along(spark, sf):
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, w(id, depth) AS (SELECT 2::BIGINT, 0 UNION SELECT to_id, depth + 1 FROM w JOIN e ON from_id = id WHERE depth < 3) SELECT id, min(depth)::INT AS depth FROM w GROUP BY 1""")
-def network_trace(spark, sf):
-    return network.trace(_edges(spark, sf), 2, 3)
+def network_trace(spark, sf, every=False):
+    return network.trace(_edges(spark, sf, every), 2, 3)
 
 
 # ---- access, schemas, search -----------------------------------------------------------------
@@ -437,11 +455,11 @@ def network_trace(spark, sf):
 dg AS (SELECT s_nationkey % 5 AS dataset, s_suppkey AS usr, CASE s_suppkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'admin' END AS permission FROM supplier),
 bg AS (SELECT c_nationkey AS branch, c_custkey AS usr, CASE c_custkey % 2 WHEN 0 THEN 'read' ELSE 'admin' END AS permission FROM customer WHERE c_custkey % 13 = 0 AND c_nationkey % 2 = 0),
 a AS (SELECT * FROM bg UNION ALL SELECT branch, usr, permission FROM b JOIN dg USING (dataset) WHERE branch NOT IN (SELECT branch FROM bg)) SELECT branch, usr AS "user", max(level)::INT AS level FROM a JOIN lv USING (permission) GROUP BY 1, 2""")
-def access_levels(spark, sf):
+def access_levels(spark, sf, every=False):
     b = table(spark, sf, "nation").select(F.col("n_nationkey").alias("branch"), F.col("n_regionkey").alias("dataset"))
     s, k = F.col("s_suppkey"), F.col("c_custkey")
     grants = table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).alias("dataset"), s.alias("user"), F.when(s % 3 == 0, "read").when(s % 3 == 1, "write").otherwise("admin").alias("permission"))
-    own = table(spark, sf, "customer").filter("c_custkey % 13 = 0 AND c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("branch"), k.alias("user"), F.when(k % 2 == 0, "read").otherwise("admin").alias("permission"))
+    own = table(spark, sf, "customer").filter("c_nationkey % 2 = 0" + ("" if every else " AND c_custkey % 13 = 0")).select(F.col("c_nationkey").alias("branch"), k.alias("user"), F.when(k % 2 == 0, "read").otherwise("admin").alias("permission"))
     return governance.access_levels(b, grants, own)
 
 
@@ -455,6 +473,29 @@ def schema_errors(spark, sf):
     return governance.schema_errors(rows, fields).union(owner)
 
 
+@query(with_fixture("""SELECT feature_id, 'status' AS field, 'allowed' AS error FROM fv WHERE operation <> 'delete' AND json_extract_string(properties, '$.status') NOT IN ('F', 'O')
+UNION ALL SELECT feature_id, 'cust', CASE WHEN json_extract_string(properties, '$.cust')::DOUBLE < 10 THEN 'min' ELSE 'max' END FROM fv WHERE operation <> 'delete' AND json_extract_string(properties, '$.cust')::DOUBLE NOT BETWEEN 10 AND 100
+UNION ALL SELECT feature_id, 'name', 'type' FROM fv WHERE operation <> 'delete' UNION ALL SELECT feature_id, 'owner', 'required' FROM fv WHERE operation <> 'delete'"""))
+def schema_errors_all(spark, sf):
+    fields = [{"name": "status", "allowed": ["F", "O"]}, {"name": "cust", "type": "number", "min": 10, "max": 100}, {"name": "name", "type": "integer"}, {"name": "owner", "required": True}]
+    return governance.schema_errors(versions(spark, sf).filter("operation <> 'delete'"), fields)
+
+
 @query(with_fixture("SELECT feature_id FROM r WHERE operation <> 'delete' AND json_extract_string(properties, '$.priority') ILIKE '%urgent%'", (3, "r")))
 def property_search(spark, sf):
     return governance.property_search(_snap(spark, sf, "main"), "priority", "uRGent").select("feature_id")
+
+
+# ---- the same over all edges and grants --------------------------------------------------------
+
+
+def _whole(f: Callable[..., DataFrame], bound: str) -> None:
+    """Registers f over every edge or grant as f_all; its SQL is that of f without the bound."""
+    QUERIES[f"{f.__name__}_all"] = lambda spark, sf: f(spark, sf, every=True)
+    ORACLE_SQL[f"{f.__name__}_all"] = ORACLE_SQL[f.__name__].replace(bound, "")
+
+
+for _f in (shortest_paths, service_area, network_components, network_trace):
+    _whole(_f, _NEAR)
+_whole(visible_datasets, " AND c_custkey % 97 = 5")
+_whole(access_levels, "c_custkey % 13 = 0 AND ")
