@@ -47,6 +47,8 @@ MAIN_NAMES = set("article content main post entry story articlebody".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^<]*\Z", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)|([^\s=/>\"']+)")
 _NAME = re.compile(r"[a-z0-9]+")
+_CODE = re.compile(r"[a-zA-Z]{2,3}")
+_CUT = re.compile(r"<html\b", re.I)
 
 
 class _Node:
@@ -73,10 +75,19 @@ def _kind(tag: str, raw: str, parent: _Node) -> tuple[bool, bool, bool]:
     return skip, article and not skip, main and not skip
 
 
-def read_page(page: str | None) -> list[tuple[str, list[int], bool, bool]]:
-    """Blocks of the page in order: text, hashes of the template-able subtrees around it, in an article, in a main part."""
+def _declared(attributes: str) -> str | None:
+    """The language code that the attributes of an html tag give."""
+    said = {(a or c).lower(): v.strip("\"' \t\r\n") for a, v, c in reversed(_ATTR.findall(attributes))}  # the first of its name counts
+    m = _CODE.match(said.get("lang") or said.get("xml:lang") or "")
+    return m[0].lower() if m else None
+
+
+def read_page(page: str | None) -> tuple[list[tuple[str, list[int], bool, bool]], str | None]:
+    """Blocks of the page in order: text, hashes of the template-able subtrees around it, in an article, in a main part;
+    and the language that its first html tag with one declares, wherever the tag is."""
     if not page:
-        return []
+        return [], None
+    declared = None
     root = _Node("", None, False, False, False)
     top, blocks, text, at, end = root, [], [], 0, len(page)
 
@@ -113,7 +124,11 @@ def read_page(page: str | None) -> list[tuple[str, list[int], bool, bool]]:
         at = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
+            if declared is None and (cut := _CUT.match(m.group(0))):  # the page ends within the tag
+                declared = _declared(m.group(0)[cut.end() :])
             continue
+        if tag == "html" and declared is None and not m.group(1):
+            declared = _declared(m.group(3))
         if m.group(1):  # an end tag closes the nearest such block (inline elements open no node)
             found = open_one(tag, set() if tag in ("html", "body", "article", "main", "table") else {"td", "th", "table"} - {tag})
             if found is not None:
@@ -157,7 +172,7 @@ def read_page(page: str | None) -> list[tuple[str, list[int], bool, bool]]:
                 hashes.append(n.hash)
             n = n.parent
         out.append((words, hashes, node.article, node.main))
-    return out
+    return out, declared
 
 
 _BLOCK = "array<struct<t:string,h:array<bigint>,a:boolean,m:boolean>>"
@@ -172,7 +187,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                read = [[{"t": t, "h": h, "a": a, "m": m} for t, h, a, m in read_page(x)] for x in b.column(3).to_pylist()]
+                read = [[{"t": t, "h": h, "a": a, "m": m} for t, h, a, m in read_page(x)[0]] for x in b.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(read, block)], ["page_id", "url", "host", "blocks"])
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))

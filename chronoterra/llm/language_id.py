@@ -7,7 +7,7 @@ For every item (a page, or a document) the posterior of language l is
 * The text likelihood is a character trigram model per language, counted over all ``documents`` with a
   language. Trigrams are hashed to 2**16 places; the log likelihood is a mean per character, scaled,
   as neighbouring trigrams are far from independent.
-* Declared is the markup language (<html lang>), suffix the top-level domain with a leading two-letter
+* Declared is the markup language (<html lang>, anywhere in the page but in comments and scripts), suffix the top-level domain with a leading two-letter
   path segment. Their tables are soft counts of the text posteriors, grouped over all items.
 * Host priors are smoothed hierarchically: host to registered domain to suffix to corpus, each level
   adding ``KAPPA`` pseudo-items of the one above.
@@ -19,7 +19,6 @@ return each; empty tables give an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,8 +35,6 @@ KAPPA = 5.0
 #: Trigrams a text counts for at most in the exponent, and the weight of each.
 EFFECTIVE, TEMPER = 60.0, 0.5
 
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
-
 
 def places(text: str) -> np.ndarray:
     """Hashed places of the trigrams of the lower-cased text."""
@@ -81,9 +78,9 @@ def _likelihoods(items: DataFrame, langs: list[str], table: np.ndarray, markup:
             said, out = [], np.zeros((b.num_rows, len(langs)))
             for i, body in enumerate(b.column(4).to_pylist()):
                 body = body or ""
-                m = _LANG.search(body, 0, 4096) if markup else None
-                said.append(m[1].lower() if m else None)
-                text = " ".join(x[0] for x in read_page(body)) if markup else body
+                blocks, declared = read_page(body) if markup else ([], None)
+                said.append(declared)
+                text = " ".join(x[0] for x in blocks) if markup else body
                 if text.strip():
                     at = places(text)
                     out[i] = held.value[at].mean(axis=0) * min(len(at) * TEMPER, EFFECTIVE)
