@@ -3,13 +3,14 @@
 A page is read once, token by token, into an element tree with implied end tags. Subtrees that are
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by
 their tag, role or class are left out. Every other subtree that holds text gets a hash; Spark counts
-per host on how many pages a hash occurs, and subtrees that recur on ``share`` of the host's pages
-(``min_pages`` at least) are template and are deleted. The article is content: its own element and
+per host with how many contents a hash occurs, and subtrees that recur with ``share`` of the host's
+contents (``min_pages`` at least) are template and are deleted. A page's content is the text of its
+article (else main part, else all of it); copies of it count once, so they make nothing a template. The article is content: its own element and
 its paragraphs, headings and list items are never template, only containers inside it are.
 
 Defined cases: null or empty html gives '' and 0; unclosed or stray tags and a page cut off anywhere
 are read as far as they go; without an article, the main element and then the body serves; null url
-is a host of its own (''); repeated rows are pages of their own; an empty table gives an empty table.
+is a host of its own (''); repeated rows are one content and return each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -194,12 +195,21 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kind}, url string, host string, blocks {_BLOCK}")
 
 
+def _content(blocks: Column) -> Column:
+    """The blocks in an article; without any, those in a main part; without any, all."""
+    of = lambda flag: F.filter(blocks, lambda b: b[flag])
+    return F.when(F.exists(blocks, lambda b: b["a"]), of("a")).when(F.exists(blocks, lambda b: b["m"]), of("m")).otherwise(blocks)
+
+
 def templates(blocks: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hashes): subtrees that recur on many pages of the host; at most mean subtrees per page / share of them."""
-    seen = blocks.select("host", F.explode(F.array_distinct(F.flatten("blocks.h"))).alias("h"))
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    totals = blocks.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(totals, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("hashes"))
+    """(host, hashes): subtrees that recur with many contents of the host; at most mean subtrees per page / share of them."""
+    content = F.xxhash64(F.transform(_content(F.col("blocks")), lambda b: b["t"]))
+    hashes = F.array_distinct(F.flatten("blocks.h"))
+    every = F.concat(hashes, F.array(F.lit(None).cast("long")))  # null stands for the page as such
+    seen = blocks.select("host", content.alias("content"), F.explode(every).alias("h")).distinct()
+    counts = checkpoint(seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pages) | F.col("h").isNull()))
+    totals = counts.filter("h is null").select("host", F.col("n").alias("pages"))
+    return counts.filter("h is not null").join(totals, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("hashes"))
 
 
 def main_text(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -209,7 +219,6 @@ def main_text(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES
     size = rules.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     joined = blocks.join(F.broadcast(rules) if size <= BROADCAST_HASHES else rules, "host", "left")
     own = F.when(F.col("hashes").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["h"], F.col("hashes"))))
-    of = lambda flag: F.filter("own", lambda b: b[flag])
-    best = F.when(F.exists("own", lambda b: b["a"]), of("a")).when(F.exists("own", lambda b: b["m"]), of("m")).otherwise(F.col("own"))
+    best = _content(F.col("own"))
     text = F.array_join(F.transform("best", lambda b: b["t"]), "\n")
     return joined.withColumn("own", own).withColumn("best", best).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
