@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import checkpoint
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -27,9 +29,19 @@ def mean_vector(vectors: DataFrame, size: int) -> list[float]:
 
 
 def ntile_buckets(vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
-    """Counts per ntile of the cosine distance to the mean vector (ties by id)."""
+    """Counts per ntile of the cosine distance to the mean vector (ties by id), numbered by ranges: no task has all rows."""
     centre = mean_vector(vectors, size)
     d = vectors.select("id", (1 - cosine(F.col("vec"), F.array(*[F.lit(x) for x in centre]))).alias("d"))
-    placed = d.withColumn("bucket", F.ntile(k).over(Window.orderBy(F.round("d", 9), "id")))
+    ranges = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(d.select("id", F.round("d", 9).alias("d")).repartitionByRange(ranges, "d", "id").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least, longer = divmod(total, k)  # the first ``longer`` buckets have one more
+    at = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("d", "id")) - 1
+    numbered = dealt.join(F.broadcast(before), "part").select("id", at.alias("at"))
+    first = F.floor(F.col("at") / (least + 1))
+    bucket = F.when(F.col("at") < longer * (least + 1), first).otherwise(F.floor((F.col("at") - longer) / max(least, 1))) + 1
+    placed = numbered.select("id", bucket.cast("int").alias("bucket"))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
