@@ -158,23 +158,28 @@ def _merged(own: DataFrame, passes: Iterator[list[tuple[str, bytes | None]]], wi
     return both.select("doc_id", "n_words", union_size("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-#: Words that an item must have for the filter to act on it; a lone common word is no leak.
+#: Words that an item must have for the filter to act on it within a text; a lone common word is no leak.
 FILTER_SHORTEST = 5
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = FILTER_SHORTEST) -> DataFrame:
-    """Documents in which no window occurs; all columns stay. A null doc_id is judged by its row's text."""
+    """Documents in which no window occurs; all columns stay. A null doc_id is judged by its row's text.
+
+    An item of fewer words than ``shortest`` counts where it is the whole document.
+    """
     _, passes = _passes(benchmark)
     clean = docs
     spark = docs.sparkSession
     for items in passes:
-        held = spark.sparkContext.broadcast(WuManber(items, window, shortest))
+        short = {tuple(w) for _, t in items if 0 < len(w := words(t)) < shortest}
+        held = spark.sparkContext.broadcast((WuManber(items, window, shortest), short))
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(at).cast(pa.binary()).to_pylist()
-                yield b.filter(pa.array([not held.value.search(words(t))[0] for t in texts], pa.bool_()))
+                engine, whole = held.value
+                found = [words(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array([not engine.search(w)[0] and tuple(w[:shortest]) not in whole for w in found], pa.bool_()))
 
         clean = clean.mapInArrow(run, docs.schema)
     return clean
