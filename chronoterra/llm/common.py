@@ -43,6 +43,21 @@ def with_name(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Links of one node from which its rows are not sent to one task.
+HEAVY = 50_000
+
+
+def _with_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """``both`` joined with ``least`` (u, m, n links) on u. Nodes with over HEAVY links (so few, as they
+    number the links / HEAVY at most) meet their rows by a broadcast, the others by a shuffle on u."""
+    least = checkpoint(least)
+    hot = least.filter(F.col("n") > HEAVY).select("u", "m")
+    if not hot.count():
+        return both.join(least.select("u", "m"), "u")
+    rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= HEAVY).select("u", "m"), "u")
+    return both.join(F.broadcast(hot), "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (u, v); root is the smallest node reachable.
 
@@ -58,13 +73,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = checkpoint(_with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # every remaining link runs from the larger u to the smaller v
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )
         e = checkpoint(small.select("x.u", "x.v").filter("u != v").distinct())

@@ -36,6 +36,8 @@ MAX_FEATURES = 50_000
 #: Expected number of features that pass by chance.
 CHANCE = 0.1
 PREFIXES = (3, 4, 5, 6)
+#: Readings and word scores that a task remembers; the others are worked out anew.
+CACHE = 50_000
 
 #: Letters that a digit or sign imitates.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou"}
@@ -186,7 +188,7 @@ def restore(text: str, model: CharModel, cache: dict[str, str]) -> str:
         s = low[a:b]
         if (fresh := cache.get(s)) is None:
             fresh = decode(s, model)
-            if len(cache) < 200_000:
+            if len(cache) < CACHE:
                 cache[s] = fresh
         out += [low[at:a], fresh]
         at = b
@@ -280,7 +282,7 @@ def raw_score(text: str | None, model: CharModel, weights: dict[str, float], bas
     for w in set(_WORD.findall(restore(text or "", model, restored))):
         if (p := words.get(w)) is None:
             p = word_score(w, weights)
-            if len(words) < 1_000_000:
+            if len(words) < CACHE:
                 words[w] = p
         if p >= 0.5:
             more += 1

@@ -77,6 +77,35 @@ def test_simhash_query(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f:016x}", root.get(i, i)) for i, f in fp.items()}
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_keep_one_is_exact_per_row(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    long = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    a, b, c = map(long, range(3))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, b + " more", "x"), (None, c, "y"), (None, long(3), "n"), (None, long(3), "n"), (8, c, "z"), (9, long(4), "p"), (9, long(4), "q"), (10, None, "e"), (11, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    fps = [(i, t, slow_fingerprint(t)) for i, t, _ in rows]
+    links = [(u, v) for u, v in combinations({f for *_, f in fps}, 2) if (u ^ v).bit_count() <= 2]
+    root, groups = components(links), {}
+    for i, t, f in fps:
+        groups.setdefault(root.get(f, f), set()).add((i, t))
+    assert len(got) == len(groups)
+    for members in groups.values():
+        known = {i for i, _ in members if i is not None}
+        kept = [x for x in got if x in members]
+        assert len(kept) == 1 and kept[0][0] == (min(known) if known else None)
+
+
+@pytest.mark.parametrize("heavy", [50_000, 3])
+def test_components_with_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    r = random.Random(4)
+    edges = [(0, i) for i in range(1, 80)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(120)] + [(5, 300)]
+    got = {x.node: x.root for x in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == components(edges)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     chain = list(range(n))
