@@ -47,13 +47,13 @@ def with_name(df: DataFrame, base: str) -> str:
 HEAVY = 50_000
 
 
-def _with_least(both: DataFrame, least: DataFrame) -> DataFrame:
+def _with_least(both: DataFrame, least: DataFrame, links: int) -> DataFrame:
     """``both`` joined with ``least`` (u, m, n links) on u. Nodes with over HEAVY links (so few, as they
     number the links / HEAVY at most) meet their rows by a broadcast, the others by a shuffle on u."""
+    if links <= HEAVY:  # then no node has more
+        return both.join(least.select("u", "m"), "u")
     least = checkpoint(least)
     hot = least.filter(F.col("n") > HEAVY).select("u", "m")
-    if not hot.count():
-        return both.join(least.select("u", "m"), "u")
     rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= HEAVY).select("u", "m"), "u")
     return both.join(F.broadcast(hot), "u").unionByName(rest)
 
@@ -74,10 +74,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = checkpoint(_with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        links = 2 * before[0]
+        large = _with_least(both.filter("v > u"), low, links).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if links <= HEAVY else checkpoint(large)
         # every remaining link runs from the larger u to the smaller v
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low).select(
+        small = _with_least(large, low, links).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )
         e = checkpoint(small.select("x.u", "x.v").filter("u != v").distinct())

@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         engine = held.value
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                w = words(text)
+            for text in b.column(1):
+                w = words(text.as_py())
                 spans, found = engine.search(w)
                 out.append((len(w), covered(spans), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(spans)))
             cols = [*zip(*out, strict=True)] or [()] * 5
@@ -139,7 +139,7 @@ def _merged(own: DataFrame, passes: Iterator[list[tuple[str, bytes | None]]], wi
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(len(w), *held.value.search(w)) for w in map(words, b.column(1).to_pylist())]
+                found = [(len(w), *held.value.search(w)) for w in (words(t.as_py()) for t in b.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([[i for a, e in x[1] for i in (a, e)] for x in found], pa.list_(pa.int64())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))],
                     ["doc_id", "k", "n_words", "spans", "items"],
@@ -178,8 +178,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 engine, whole = held.value
-                found = [words(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
-                yield b.filter(pa.array([not engine.search(w)[0] and tuple(w[:shortest]) not in whole for w in found], pa.bool_()))
+                keep = []
+                for t in b.column(at).cast(pa.binary()):  # the words of one text at a time
+                    w = words(t.as_py())
+                    keep.append(not engine.search(w)[0] and tuple(w[:shortest]) not in whole)
+                yield b.filter(pa.array(keep, pa.bool_()))
 
         clean = clean.mapInArrow(run, docs.schema)
     return clean

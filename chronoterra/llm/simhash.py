@@ -63,11 +63,9 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, digest:
     more = [] if digest is None else ["digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                fps = pa.array([fingerprint(x, k) for x in b.column(1).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["doc_id", "fp", *more])
+        for b in batches:
+            fps = pa.array([fingerprint(x.as_py(), k) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["doc_id", "fp", *more])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"), *([] if digest is None else [digest.alias("digest")]))
     return own.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))

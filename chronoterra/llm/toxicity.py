@@ -1,6 +1,6 @@
 """Toxicity by noisy-channel deobfuscation.
 
-1. A character trigram model is counted over every text of the corpus.
+1. A character trigram model is counted over every text of the corpus, at hashed places.
 2. Stretches written with leetspeak, separators or repeated letters become lattices: each character
    may stand for itself, a letter it imitates, nothing, or a word gap, at a channel cost. Viterbi
    decoding under the model picks the cheapest reading; the rest of the text is read as it is.
@@ -11,9 +11,11 @@
 Training uses labelled rows with crc32(doc_id) mod 5 != 0, at most about ``max_train`` of them taken
 by hash (documented bound); the language model, decoding and scoring cover all documents whole.
 
-Defined cases: null or empty texts score the base rate; a null doc_id is scored but never labelled and
+Defined cases: null or empty texts score the base rate; very long texts are counted and read whole;
+equal texts score alike, so ties stay ties; a null doc_id is scored but never labelled and
 counts as not held out; contradicting labels of one doc_id count as toxic; without toxic training
-rows every score is 0; repeated rows are scored each; an empty table gives an empty table.
+rows every score is 0; repeated rows are scored each; other columns pass
+through whatever their names, but for ``score``, which is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import checkpoint
 
 MAX_TRAIN = 12_000
-MAX_FEATURES = 50_000
 #: Expected number of features that pass by chance.
 CHANCE = 0.1
 PREFIXES = (3, 4, 5, 6)
@@ -55,52 +56,66 @@ _SPACED_END = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}[^\W_](?![^\W_])")
 
 # ---- character model -------------------------------------------------------------------------
 
-_LETTER = np.array([0] * 65536, np.uint16)
+#: Hashed places of trigrams, bigrams and letters: what is counted, collected and broadcast is bounded by them.
+TRI, BI, ONE = 1 << 18, 1 << 16, 1 << 14
+#: Characters counted at once.
+STRIDE = 500_000
+_K = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+
+_letter_codes: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    if not _LETTER[ord("a")]:
-        _LETTER[:] = [i if chr(i).isalpha() else 32 for i in range(65536)]
-    return _LETTER
-
-
-def trigram_counts(text: str) -> Counter:
-    """Counts of the letter trigrams of lower-cased ``text``; anything but a letter is a gap."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    codes = _letters()[np.where(codes < 65536, codes, 32)]
-    if len(codes) < 3:
-        return Counter()
-    used = np.flatnonzero(np.bincount(codes, minlength=65536))
-    rank = np.zeros(65536, np.int64)
-    rank[used] = np.arange(len(used))
-    r, k = rank[codes], len(used)
-    ids = (r[:-2] * k + r[1:-1]) * k + r[2:]
-    if k**3 <= 20_000_000:
-        counts = np.bincount(ids, minlength=k**3)
-        at = np.flatnonzero(counts)
-        counts = counts[at]
-    else:
-        at, counts = np.unique(ids, return_counts=True)
-    return Counter({chr(used[i // k // k]) + chr(used[i // k % k]) + chr(used[i % k]): int(c) for i, c in zip(at.tolist(), counts.tolist(), strict=True)})
+    """For every code point itself if it is a letter, else the gap's."""
+    if not _letter_codes:
+        _letter_codes.append(np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000))
+    return _letter_codes[0]
+
+
+def _place(n: int, a: int, b: int = 0, c: int = 0) -> int:
+    h = (a * _K[0] ^ b * _K[1] ^ c * _K[2]) & 0xFFFFFFFF
+    return (h ^ h >> 15) & n - 1
+
+
+def _places(n: int, *codes: np.ndarray) -> np.ndarray:
+    """_place of whole arrays."""
+    h = codes[0] * np.uint32(_K[0])
+    for x, k in zip(codes[1:], _K[1:], strict=False):
+        h = h ^ x * np.uint32(k)
+    return (h ^ h >> np.uint32(15)) & np.uint32(n - 1)
+
+
+def trigram_counts(text: str) -> np.ndarray:
+    """Counts of the letter trigrams, bigrams and letters of lower-cased ``text`` at their places; anything but a letter is a gap."""
+    out = np.zeros(TRI + BI + ONE, np.int64)
+    for lo in range(0, len(text), STRIDE):
+        codes = _letters()[np.frombuffer(text[max(0, lo - 2) : lo + STRIDE].lower().encode("utf-32-le", "replace"), np.uint32)]
+        if len(codes) > 2:
+            a, b, c = codes[:-2], codes[1:-1], codes[2:]
+            out[:TRI] += np.bincount(_places(TRI, a, b, c), minlength=TRI)
+            out[TRI : TRI + BI] += np.bincount(_places(BI, b, c), minlength=BI)
+            out[TRI + BI :] += np.bincount(_places(ONE, c), minlength=ONE)
+    return out
 
 
 class CharModel:
-    """Trigram model with add-one backing off to bigrams; ``counts`` from the whole corpus."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.tri, self.bi, self.uni = counts, Counter(), Counter()
-        for g, n in counts.items():
-            self.bi[g[:2]] += n
-            self.uni[g[1:]] += n
-        self.letters = Counter()
-        for g, n in counts.items():
-            self.letters[g[2]] += n
-        self.total = sum(self.letters.values()) or 1
+    """Trigram model that backs off to bigrams and letters; ``counts`` from the whole corpus."""
+
+    def __init__(self, counts: np.ndarray):
+        self.tri, self.bi, self.one = counts[:TRI], counts[TRI : TRI + BI], counts[TRI + BI :]
+        self.total = int(self.one.sum()) or 1
+        self.known: dict[str, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
-        one = (self.letters[c] + 0.5) / (self.total + 30)
-        two = (self.uni[b + c] + 5 * one) / (self.letters[b] + 5)
-        return -math.log((self.tri.get(a + b + c, 0) + 5 * two) / (self.bi[a + b] + 5))
+        if (known := self.known.get(a + b + c)) is not None:
+            return known
+        i, j, k = ord(a), ord(b), ord(c)
+        one = (int(self.one[_place(ONE, k)]) + 0.5) / (self.total + 30)
+        two = (int(self.bi[_place(BI, j, k)]) + 5 * one) / (int(self.one[_place(ONE, j)]) + 5)
+        fresh = -math.log((int(self.tri[_place(TRI, i, j, k)]) + 5 * two) / (int(self.bi[_place(BI, i, j)]) + 5))
+        if len(self.known) < CACHE:
+            self.known[a + b + c] = fresh
+        return fresh
 
 
 def decode(stretch: str, model: CharModel) -> str:
@@ -199,18 +214,25 @@ def restore(text: str, model: CharModel, cache: dict[str, str]) -> str:
 
 
 def character_model(docs: DataFrame, text: str = "text") -> CharModel:
-    """Counted over every text; what returns is bounded by the trigrams of the alphabet."""
+    """Counted over every text; what is shuffled and collected is bounded by the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, held, size = np.zeros(TRI + BI + ONE, np.int64), [], 0
         for b in batches:
-            values = [x for x in b.column(0).to_pylist() if x]
-            for i in range(0, len(values), 500):
-                total.update(trigram_counts(" ".join(values[i : i + 500])))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
-
-    counts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return CharModel({r.g: r.n for r in counts.toLocalIterator()})
+            for x in b.column(0):
+                held.append(x.as_py() or "")
+                size += len(held[-1]) + 1
+                if size > STRIDE:
+                    total += trigram_counts(" ".join(held))
+                    held, size = [], 0
+        total += trigram_counts(" ".join(held))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["place", "n"])
+
+    counts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(TRI + BI + ONE, np.int64)
+    total[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+    return CharModel(total)
 
 
 def evidence(words: set[str]) -> set[str]:
@@ -234,13 +256,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 
 def toxic_evidence(train: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
-    """Precision of each significant feature (at most MAX_FEATURES), and the base rate."""
+    """Precision of each significant feature, and the base rate. The features are those of the training sample, so its bound is theirs."""
     held = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad, sizes, cache = Counter(), Counter(), [0, 0], {}
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(map(pa.Scalar.as_py, b.column(0)), b.column(1).to_pylist(), strict=True):
                 (bad if toxic else good).update(evidence(set(_WORD.findall(restore(text or "", held.value, cache)))))
                 sizes[bool(toxic)] += 1
         names = ["", *(bad.keys() | good.keys())]
@@ -259,14 +281,14 @@ def toxic_evidence(train: DataFrame, model: CharModel) -> tuple[dict[str, float]
     kl = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base + 1e-9))).otherwise(0.0)
     strength = (F.col("pos") + F.col("neg")) * kl
     kept = counts.filter((F.col("f") != "") & (F.col("pos") >= 3) & (p > min(1.0, 2 * base)) & (strength > math.log(tried / CHANCE)))
-    top = {r.f: (r.pos + 2 * base) / (r.pos + r.neg + 2) for r in kept.orderBy(F.desc(strength), "f").limit(MAX_FEATURES).select("f", "pos", "neg").collect()}
+    precision = ((F.col("pos") + 2 * base) / (F.col("pos") + F.col("neg") + 2)).alias("p")
+    kept = checkpoint(kept.select("f", precision))
     # a whole word seen often enough speaks for itself, whatever its beginning says
-    begins = F.lit(False)
-    for n in PREFIXES:
-        if known := [f for f in top if f[0] == "p" and len(f) == n + 1]:
-            begins |= F.concat(F.lit("p"), F.substring("f", 2, n)).isin(known)
-    common = counts.filter(F.col("f").startswith("w") & (F.col("pos") + F.col("neg") >= 5) & begins).orderBy(F.desc(F.col("pos") + F.col("neg")), "f").limit(MAX_FEATURES)
-    return {r.f: (r.pos + 2 * base) / (r.pos + r.neg + 2) for r in common.select("f", "pos", "neg").collect()} | top, base
+    words = counts.filter(F.col("f").startswith("w") & (F.col("pos") + F.col("neg") >= 5)).withColumn("word", F.substring("f", 2, 1_000_000))
+    begins = F.explode(F.array(*[F.concat(F.lit("p"), F.substring("word", 1, n)) for n in PREFIXES]))
+    common = words.select("f", precision, begins.alias("begin")).join(kept.select(F.col("f").alias("begin")), "begin", "left_semi").select("f", "p").distinct()
+    found = {r.f: r.p for r in common.collect()}
+    return found | {r.f: r.p for r in kept.collect()}, base
 
 
 def word_score(word: str, weights: dict[str, float]) -> float:
@@ -297,7 +319,7 @@ def best_cut(train: DataFrame, model: CharModel, weights: dict[str, float], base
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, words = {}, {}
         for b in batches:
-            s = [int(1000 * raw_score(t, *held.value, restored, words)) for t in b.column(0).to_pylist()]
+            s = [int(1000 * raw_score(t.as_py(), *held.value, restored, words)) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), b.column(1)], ["s", "toxic"])
 
     rows = sorted(train.mapInArrow(run, "s int, toxic int").groupBy("s").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect(), reverse=True)
@@ -328,7 +350,7 @@ def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text:
         restored: dict[str, str] = {}
         words: dict[str, float] = {}
         for b in batches:
-            s = [score(raw_score(t, *held.value, restored, words), cut) for t in b.column(at).to_pylist()]
+            s = [score(raw_score(t.as_py(), *held.value, restored, words), cut) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
