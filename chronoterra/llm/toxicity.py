@@ -262,7 +262,7 @@ def toxic_evidence(train: DataFrame, model: CharModel) -> tuple[dict[str, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad, sizes, cache = Counter(), Counter(), [0, 0], {}
         for b in batches:
-            for text, toxic in zip(map(pa.Scalar.as_py, b.column(0)), b.column(1).to_pylist(), strict=True):
+            for text, toxic in zip((x.as_py() for x in b.column(0)), b.column(1).to_pylist(), strict=True):
                 (bad if toxic else good).update(evidence(set(_WORD.findall(restore(text or "", held.value, cache)))))
                 sizes[bool(toxic)] += 1
         names = ["", *(bad.keys() | good.keys())]
