@@ -17,6 +17,26 @@ def prop(name: str, properties: str = "properties") -> Column:
     return F.get_json_object(properties, f"$.{name}")
 
 
+def json_entries(properties: Column) -> Column:
+    """Key to raw JSON value: numbers, booleans, nested values and JSON null keep their type."""
+    values = F.from_json(properties, "map<string,variant>")
+    return F.transform_values(values, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def json_object(entries: Column) -> Column:
+    """A JSON object from keys and raw values."""
+    key = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    parts = F.transform(F.map_entries(entries), lambda e: F.concat(key(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def keep_properties(properties: Column, names: list[str]) -> Column:
+    """The listed keys of a JSON object, in its own order; no names keep all."""
+    if not names:
+        return properties
+    return json_object(F.map_filter(json_entries(properties), lambda k, _: k.isin(names)))
+
+
 def number(text: Column) -> Column:
     """Guarded cast: null unless the text is a plain number ('NaN' or ' 5 ' are not)."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
@@ -60,6 +80,16 @@ def urban_path_loss(mhz: Column, height_m: Column, km: Column) -> Column:
     return 69.55 + 26.16 * F.log10(mhz) - 13.82 * F.log10(height_m) + (44.9 - 6.55 * F.log10(height_m)) * F.log10(km)
 
 
+def whole(value: Column) -> Column:
+    """A float read back as an integer: null unless it is whole."""
+    return F.when(value == F.floor(value), value.cast("long"))
+
+
+def age_days(day: Column, today: Column) -> Column:
+    """Whole days since an ISO date; null if it can't be read."""
+    return F.datediff(today.cast("date"), F.substring(day, 1, 10).try_cast("date"))
+
+
 def text_embedding(text: Column, size: int = 256) -> Column:
     """Deterministic vector: component i is byte i mod 32 of SHA-256(text, i), over 255."""
     return F.transform(

@@ -52,3 +52,34 @@ def raster_values(points: DataFrame, tiles: DataFrame, zooms: list[int]) -> Data
     asked = points.filter("lng is not null and lat is not null").select("feature_id", levels.alias("at")).select("feature_id", "at.*")
     found = asked.join(tiles.select("zoom", "cell", "value"), ["zoom", "cell"]).groupBy("feature_id").agg(F.max("zoom").alias("zoom"), F.max_by("value", "zoom").alias("value"))
     return points.select("feature_id").join(found, "feature_id", "left")
+
+
+def band_stats(tiles: DataFrame) -> DataFrame:
+    """(tiles, min_zoom, max_zoom) of a raster."""
+    return tiles.agg(F.count("*").alias("tiles"), F.min("zoom").alias("min_zoom"), F.max("zoom").alias("max_zoom"))
+
+
+def compact(cells: DataFrame, zoom: int) -> DataFrame:
+    """(zoom, cell): four cells that make up their parent are replaced by it, level by level."""
+    out, level = None, cells.select("cell").distinct()
+    for z in range(zoom, 0, -1):
+        n = 1 << z
+        parent = (F.floor(F.floor(F.col("cell") / n) / 2) * (n // 2) + F.floor(F.col("cell") % n / 2)).cast("long")
+        told = level.withColumn("parent", parent)
+        full = told.groupBy("parent").agg(F.count("*").alias("n")).filter("n = 4").select("parent")
+        rest = told.join(full, "parent", "left_anti").select(F.lit(z).alias("zoom"), "cell")
+        out = rest if out is None else out.union(rest)
+        level = full.select(F.col("parent").alias("cell"))
+    return out.union(level.select(F.lit(0).alias("zoom"), "cell")) if out is not None else level.select(F.lit(0).alias("zoom"), "cell")
+
+
+def cell_boundary(cells: DataFrame, zoom: int) -> DataFrame:
+    """(cell, xmin, ymin, xmax, ymax) in degrees."""
+    n = 1 << zoom
+    row, col = F.floor(F.col("cell") / n), F.col("cell") % n
+    return cells.select("cell", (col * 360.0 / n - 180.0).alias("xmin"), (row * 180.0 / n - 90.0).alias("ymin"), ((col + 1) * 360.0 / n - 180.0).alias("xmax"), ((row + 1) * 180.0 / n - 90.0).alias("ymax"))
+
+
+def indexed(rows: DataFrame, zoom: int) -> DataFrame:
+    """Rows with the cell of their point at ``zoom``; null without a point."""
+    return rows.withColumn("cell", grid_cell(F.col("lng"), F.col("lat"), zoom))

@@ -39,3 +39,46 @@ def locate_along(vertices: DataFrame, events: DataFrame) -> DataFrame:
     met = met.filter(F.col("b").isNotNull() | (F.col("a.measure") == F.col("measure"))).withColumn("b", F.coalesce("b", "a"))
     share = F.when(F.col("b.measure") > F.col("a.measure"), (F.col("measure") - F.col("a.measure")) / (F.col("b.measure") - F.col("a.measure"))).otherwise(0.0)
     return met.select("route", "event", *[(F.col(f"a.{c}") + share * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in ("lng", "lat")])
+
+
+def linear_events(vertices: DataFrame, events: DataFrame) -> DataFrame:
+    """(route, event, x1, y1, x2, y2) of events (route, event, start, end) whose both ends lie on the route."""
+    ends = [locate_along(vertices, events.select("route", "event", F.col(c).alias("measure"))).select("route", "event", F.col("lng").alias(f"x{i}"), F.col("lat").alias(f"y{i}")) for i, c in ((1, "start"), (2, "end"))]
+    return ends[0].join(ends[1], ["route", "event"])
+
+
+def _pieces(vertices: DataFrame) -> DataFrame:
+    """Segments of the measured routes: from (lng, lat, measure) to (lng2, lat2, measure2)."""
+    along = Window.partitionBy("route").orderBy("seq")
+    return measured(vertices).withColumns({f"{c}2": F.lead(c).over(along) for c in ("lng", "lat", "measure")}).filter("measure2 is not null")
+
+
+def locate_points(vertices: DataFrame, points: DataFrame) -> DataFrame:
+    """(route, point, fraction, measure) of points (route, point, lng, lat): the nearest place on their route.
+
+    The fraction is by measure, the first place wins where several are as near; a route without length gives measure 1 x fraction.
+    """
+    s = _pieces(vertices).join(points.select("route", "point", F.col("lng").alias("px"), F.col("lat").alias("py")), "route")
+    dx, dy = F.col("lng2") - F.col("lng"), F.col("lat2") - F.col("lat")
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("lng")) * dx + (F.col("py") - F.col("lat")) * dy) / size))).otherwise(0.0)
+    off = F.pow(F.col("lng") + t * dx - F.col("px"), 2) + F.pow(F.col("lat") + t * dy - F.col("py"), 2)
+    best = s.select("route", "point", off.alias("off"), (F.col("measure") + t * (F.col("measure2") - F.col("measure"))).alias("at")).groupBy("route", "point").agg(F.min(F.struct("off", "at")).alias("b"))
+    total = route_lengths(vertices).select("route", "total_length")
+    fraction = F.when(F.col("total_length") > 0, F.col("b.at") / F.col("total_length")).otherwise(0.0)
+    return best.join(total, "route").select("route", "point", fraction.alias("fraction"), (fraction * F.when(F.col("total_length") > 0, F.col("total_length")).otherwise(1.0)).alias("measure"))
+
+
+def sublines(vertices: DataFrame, spans: DataFrame) -> DataFrame:
+    """(route, span, path): the part of a route between two measures of spans (route, span, start, end).
+
+    Measures are cut to the length of the route; the path holds the place of the start, the vertices
+    between, and the place of the end. A span that begins after its end has no row.
+    """
+    total = route_lengths(vertices).select("route", "total_length")
+    asked = spans.join(total, "route").select("route", "span", *[F.least(F.greatest(F.col(c), F.lit(0.0)), F.col("total_length")).alias(c) for c in ("start", "end")]).filter(F.col("start") <= F.col("end"))
+    ends = [locate_along(vertices, asked.select("route", F.col("span").alias("event"), F.col(c).alias("measure"))).join(asked.select("route", F.col("span").alias("event"), F.col(c).alias("measure")), ["route", "event"]).select("route", F.col("event").alias("span"), "measure", F.lit(k).alias("k"), F.lit(0).cast("long").alias("seq"), "lng", "lat") for k, c in ((0, "start"), (2, "end"))]
+    inside = measured(vertices).join(asked, "route").filter((F.col("measure") > F.col("start")) & (F.col("measure") < F.col("end"))).select("route", "span", "measure", F.lit(1).alias("k"), F.col("seq").cast("long").alias("seq"), "lng", "lat")
+    rows = ends[0].union(inside).union(ends[1])
+    ordered = F.array_sort(F.collect_list(F.struct("k", "measure", "seq", F.col("lng").alias("x"), F.col("lat").alias("y"))))
+    return rows.groupBy("route", "span").agg(F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("path"))

@@ -10,50 +10,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .history import ancestors, merge_base
-from .snapshot import latest, of_changesets, resolve
+from ..functions.columns import json_entries, json_object
+from .commits import appended
+from .history import ancestors, checkpoint, is_reachable, merge_base, reached, small
+from .snapshot import latest, of_changesets
 
 CONTENT = ("operation", "properties", "lng", "lat")
 
 
 def diff(versions: DataFrame, changesets: DataFrame, start: int | None, end: int) -> DataFrame:
     """(feature_id, operation, properties, lng, lat) of what ``end`` has and ``start`` lacks; the latest row's operation counts."""
-    new = ancestors(changesets, end).select("id")
-    if start is not None:
-        new = new.join(ancestors(changesets, start).select("id"), "id", "left_anti")
-    return latest(of_changesets(versions, new)).select("feature_id", *CONTENT)
-
-
-def _entries(properties: Column) -> Column:
-    return F.from_json(properties, "map<string,string>")
+    new = ancestors(changesets, end) if start is None else reached(changesets, start, end).filter("not in_a")
+    return latest(of_changesets(versions, checkpoint(new.select("id")))).select("feature_id", *CONTENT)
 
 
 def merged_properties(base: Column, ours: Column, theirs: Column) -> tuple[Column, Column]:
     """(merged JSON, whether a key conflicts): per key, the side that changed wins; equal changes agree; a missing key is a removal."""
-    b, o, t = (F.coalesce(_entries(c), F.create_map().cast("map<string,string>")) for c in (base, ours, theirs))
+    b, o, t = (F.coalesce(json_entries(c), F.create_map().cast("map<string,string>")) for c in (base, ours, theirs))
     keys = F.array_sort(F.array_union(F.array_union(F.map_keys(b), F.map_keys(o)), F.map_keys(t)))
     pick = lambda k: F.when(t[k].eqNullSafe(b[k]), o[k]).otherwise(t[k])
     clash = F.exists(keys, lambda k: ~o[k].eqNullSafe(b[k]) & ~t[k].eqNullSafe(b[k]) & ~o[k].eqNullSafe(t[k]))
     merged = F.map_filter(F.map_from_arrays(keys, F.transform(keys, pick)), lambda _, v: v.isNotNull())
-    return F.to_json(merged), clash
+    return json_object(merged), clash
+
+
+def filled_properties(first: Column, second: Column) -> Column:
+    """All keys of ``first``, and those of ``second`` that it lacks."""
+    a, b = (F.coalesce(json_entries(c), F.create_map().cast("map<string,string>")) for c in (first, second))
+    return json_object(F.map_concat(a, F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))))
+
+
+def _sides(changesets: DataFrame, target: int, source: int) -> DataFrame:
+    """(changeset_id, ours, theirs, base): to which side of the merge a changeset belongs.
+
+    ours and theirs are what each head reaches and the merge base doesn't; base is the base's parent chain.
+    """
+    flags = checkpoint(reached(changesets, target, source).withColumnsRenamed({"in_a": "ours", "in_b": "theirs"}))
+    base = changesets.join(flags.filter("ours and theirs").select("id"), "id").agg(F.max(F.struct("created_at", "id")).alias("b")).first().b
+    if base is None:
+        return flags.select(F.col("id").alias("changeset_id"), "ours", "theirs", F.lit(False).alias("base"))
+    known = ancestors(changesets, base.id).select("id", F.lit(True).alias("known"))
+    chain = ancestors(changesets, base.id, both=False).select("id", F.lit(True).alias("base"))
+    marked = flags.join(known, "id", "left").join(chain, "id", "full_outer")
+    fresh = F.col("known").isNull()
+    out = marked.select(F.col("id").alias("changeset_id"), *[(F.coalesce(c, F.lit(False)) & fresh).alias(c) for c in ("ours", "theirs")], F.coalesce("base", F.lit(False)).alias("base"))
+    return checkpoint(out.filter("ours or theirs or base"))
 
 
 def merge_choices(versions: DataFrame, changesets: DataFrame, target: int, source: int) -> DataFrame:
     """One row per feature changed on either side since the merge base: choice, and the content to write.
 
     choice: nothing, ours, theirs, merged, or one of delete_modify, geometry_conflict,
-    property_conflict, full_conflict.
+    property_conflict, full_conflict. The log is read once: the newest version of ours, of theirs and of
+    the base are three conditional aggregates.
     """
-    base_row = merge_base(changesets, target, source).first()
-    base_id = base_row and base_row.id
-    side = lambda d, n: d.select("feature_id", F.struct(*CONTENT).alias(n))
-    ours = side(diff(versions, changesets, base_id, target), "o")
-    theirs = side(diff(versions, changesets, base_id, source), "t")
-    both = ours.join(theirs, "feature_id", "full_outer")
-    if base_id is not None:
-        both = both.join(side(resolve(versions, changesets, base_id), "b"), "feature_id", "left")
-    else:
-        both = both.withColumn("b", F.lit(None).cast(both.schema["o"].dataType))
+    at = F.struct("created_at", "version_id")
+    content = F.struct(*CONTENT)
+    rows = versions.join(small(_sides(changesets, target, source)), "changeset_id")
+    newest = lambda side: F.max_by(F.when(F.col(side), content), F.when(F.col(side), at))
+    both = rows.groupBy("feature_id").agg(newest("ours").alias("o"), newest("theirs").alias("t"), newest("base").alias("b")).filter("o is not null or t is not null")
     gone = lambda c: F.col(c).isNull() | (F.col(f"{c}.operation") == "delete")
     place = lambda c: F.struct(f"{c}.lng", f"{c}.lat")
     same_place = lambda x, y: place(x).eqNullSafe(place(y))
@@ -71,30 +86,64 @@ def merge_choices(versions: DataFrame, changesets: DataFrame, target: int, sourc
         .when(clash, "property_conflict")
         .otherwise("merged")
     )
-    at = lambda f: F.when(same_place("t", "b"), F.col(f"o.{f}")).otherwise(F.col(f"t.{f}"))
-    merged = F.struct(F.lit("update").alias("operation"), props.alias("properties"), at("lng").alias("lng"), at("lat").alias("lat"))
+    there = lambda f: F.when(same_place("t", "b"), F.col(f"o.{f}")).otherwise(F.col(f"t.{f}"))
+    merged = F.struct(F.lit("update").alias("operation"), props.alias("properties"), there("lng").alias("lng"), there("lat").alias("lat"))
     picked = both.withColumn("choice", choice)
-    content = F.when(F.col("choice") == "ours", F.col("o")).when(F.col("choice") == "theirs", F.col("t")).when(F.col("choice") == "merged", merged)
-    return picked.withColumn("c", content).select("feature_id", "choice", *[F.col(f"c.{x}").alias(x) for x in CONTENT])
+    kept = F.when(F.col("choice") == "ours", F.col("o")).when(F.col("choice") == "theirs", F.col("t")).when(F.col("choice") == "merged", merged)
+    return picked.withColumn("c", kept).select("feature_id", "choice", *[F.col(f"c.{x}").alias(x) for x in CONTENT])
+
+
+def conflicts(choices: DataFrame) -> DataFrame:
+    """(feature_id, choice, suggestion) of the features that need a decision."""
+    hint = F.when(F.col("choice") == "delete_modify", "review").when(F.col("choice") == "full_conflict", "custom").otherwise("auto_merge")
+    return choices.filter(F.col("choice").isin(*CONFLICTS)).select("feature_id", "choice", hint.alias("suggestion"))
 
 
 CONFLICTS = ("delete_modify", "full_conflict", "geometry_conflict", "property_conflict")
 
 
 def merge(versions: DataFrame, changesets: DataFrame, target: int, source: int, changeset_id: int, created_at: int) -> DataFrame:
-    """Version rows that the merge appends to the target; raises if any feature conflicts, and then nothing is to be written."""
-    choices = merge_choices(versions, changesets, target, source)
+    """Version rows that the merge appends to the target, in the columns of ``versions``; raises if any feature conflicts.
+
+    A source that the target already reaches has nothing to merge. Version ids go on from the highest one.
+    """
+    if is_reachable(changesets, target, source):
+        return versions.limit(0)
+    choices = checkpoint(merge_choices(versions, changesets, target, source))
     if n := choices.filter(F.col("choice").isin(*CONFLICTS)).count():
         raise ValueError(f"{n} features conflict")
-    rows = choices.filter(F.col("choice").isin("theirs", "merged"))
-    return rows.select((F.col("feature_id") * 1000 + changeset_id).alias("version_id"), "feature_id", F.lit(changeset_id).cast("long").alias("changeset_id"), *CONTENT, F.lit(created_at).cast("long").alias("created_at"))
+    return appended(versions, choices.filter(F.col("choice").isin("theirs", "merged")), changeset_id, created_at)
 
 
 def resolve_conflicts(choices: DataFrame, strategies: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Content for conflicting features by their strategy (feature_id, strategy): ours, theirs, delete; an unknown one is ours."""
-    bad = choices.filter(F.col("choice").isin(*CONFLICTS)).select("feature_id").join(strategies, "feature_id")
+    """Content for conflicting features by their strategy (feature_id, strategy and, for custom ones, properties, lng, lat).
+
+    ours, theirs, delete; auto_merge takes the place of theirs and fills the attributes of ours with
+    those of theirs; custom takes the given content; an unknown strategy is ours.
+    """
+    given = [c for c in ("properties", "lng", "lat") if c in strategies.columns]
+    how = strategies.select("feature_id", "strategy", F.struct(*given).alias("g")) if given else strategies
+    bad = choices.filter(F.col("choice").isin(*CONFLICTS)).select("feature_id").join(how, "feature_id")
     side = lambda d, n: d.select("feature_id", F.struct(*CONTENT).alias(n))
-    empty = F.struct(F.lit("delete").alias("operation"), F.lit("{}").alias("properties"), F.lit(None).cast("double").alias("lng"), F.lit(None).cast("double").alias("lat"))
+    none = F.lit(None).cast("double")
+    pack = lambda op, p, x, y: F.struct(op.alias("operation"), p.alias("properties"), x.alias("lng"), y.alias("lat"))
     joined = bad.join(side(ours, "o"), "feature_id", "left").join(side(theirs, "t"), "feature_id", "left")
-    pick = F.when(F.col("strategy") == "theirs", F.col("t")).when(F.col("strategy") == "delete", empty).otherwise(F.col("o"))
-    return joined.withColumn("c", pick).select("feature_id", "strategy", *[F.col(f"c.{x}").alias(x) for x in CONTENT])
+    update, auto = F.lit("update"), filled_properties(F.col("o.properties"), F.col("t.properties"))
+    pick = F.when(F.col("strategy") == "theirs", F.col("t")).when(F.col("strategy") == "delete", pack(F.lit("delete"), F.lit("{}"), none, none))
+    pick = pick.when(F.col("strategy") == "auto_merge", pack(update, auto, F.col("t.lng"), F.col("t.lat")))
+    if given:
+        of = lambda c, kind: F.col(f"g.{c}").cast(kind) if c in given else F.lit(None).cast(kind)
+        pick = pick.when(F.col("strategy") == "custom", pack(update, of("properties", "string"), of("lng", "double"), of("lat", "double")))
+    return joined.withColumn("c", pick.otherwise(F.col("o"))).select("feature_id", "strategy", *[F.col(f"c.{x}").alias(x) for x in CONTENT])
+
+
+def resolve_and_merge(versions: DataFrame, changesets: DataFrame, target: int, source: int, strategies: DataFrame, changeset_id: int, created_at: int) -> DataFrame:
+    """As merge(), with every conflict settled by its strategy; a conflict without one raises."""
+    choices = checkpoint(merge_choices(versions, changesets, target, source))
+    bad = choices.filter(F.col("choice").isin(*CONFLICTS)).select("feature_id")
+    if n := bad.join(strategies.select("feature_id"), "feature_id", "left_anti").count():
+        raise ValueError(f"{n} conflicts have no strategy")
+    base = merge_base(changesets, target, source).first()
+    settled = resolve_conflicts(choices, strategies, *(diff(versions, changesets, base and base.id, head) for head in (target, source)))
+    clear = choices.filter(F.col("choice").isin("theirs", "merged"))
+    return appended(versions, clear.select("feature_id", *CONTENT).union(settled.select("feature_id", *CONTENT)), changeset_id, created_at)

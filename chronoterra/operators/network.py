@@ -76,3 +76,29 @@ def components(junctions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def isolated(junctions: DataFrame, edges: DataFrame) -> DataFrame:
     return junctions.join(both_ways(edges).select(F.col("from_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def connectivity(junctions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(junctions, edges, components, isolated): one row of counts."""
+    found = components(junctions, edges).agg(F.count("*").alias("junctions"), F.count_distinct("component").alias("components"))
+    n, alone = edges.agg(F.count("*").alias("edges")), isolated(junctions, edges).agg(F.count("*").alias("isolated"))
+    return found.crossJoin(n).crossJoin(alone).select("junctions", "edges", "components", "isolated")  # one row of each
+
+
+def tour(edges: DataFrame, stops: list[int]) -> list[tuple[int, float]]:
+    """(stop, cost so far) of a round trip: from the first stop always on to the nearest unseen one, and back.
+
+    Costs between the listed stops come from Spark, one search per stop; the caller bounds the list. Fewer
+    than two stops that can be reached give an empty tour.
+    """
+    costs = {a: {r.id: r.cost for r in costs_from(edges, a).filter(F.col("id").isin(stops)).collect()} for a in stops}
+    left = [b for b in dict.fromkeys(stops[1:]) if b != stops[0] and b in costs[stops[0]]] if stops else []
+    if not left:
+        return []
+    out, at = [(stops[0], 0.0)], stops[0]
+    while left:
+        nearest = min(left, key=lambda b: (costs[at][b], b))
+        out.append((nearest, out[-1][1] + costs[at][nearest]))
+        left.remove(nearest)
+        at = nearest
+    return [*out, (stops[0], out[-1][1] + costs[at][stops[0]])]

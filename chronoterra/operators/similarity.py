@@ -45,3 +45,19 @@ def ntile_buckets(vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
     placed = numbered.select("id", bucket.cast("int").alias("bucket"))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
+
+
+def duplicates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.95, block: int = 256) -> DataFrame:
+    """(a, b, score): vectors more alike to an asked one than the threshold (strict), each unordered pair once.
+
+    ``asked`` is a stated set of vectors, up to 20,000 of them; it is packed into blocks of ``block`` rows
+    and broadcast, so that each task reads it against its own rows and no vector is shuffled.
+    """
+    if asked.count() > 20_000:
+        raise ValueError("ask for 20,000 vectors at most")
+    unit = lambda d, i, v: d.select(F.col("id").alias(i), F.col("vec").cast("array<double>").alias(v), F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias(f"{v}_n")).filter(F.col(f"{v}_n") > 0)
+    q = unit(asked, "q", "w").withColumn("block", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.hash("q"), F.lit(64))).orderBy("q")) / block))
+    packed = q.groupBy(F.pmod(F.hash("q"), F.lit(64)).alias("part"), "block").agg(F.collect_list(F.struct("q", "w", "w_n")).alias("qs"))
+    met = unit(vectors, "id", "v").join(F.broadcast(packed)).select("id", "v", "v_n", F.explode("qs").alias("x")).filter("id <> x.q")
+    score = _dot(F.col("v"), F.col("x.w")) / (F.col("v_n") * F.col("x.w_n"))
+    return met.select(F.least("id", "x.q").alias("a"), F.greatest("id", "x.q").alias("b"), score.alias("score")).filter(F.col("score") > threshold).groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -1,24 +1,35 @@
 """Branch snapshots of the append-only version log.
 
-The latest version of a feature, by (created_at, version_id), wins before deletes are removed. The
-winner is an aggregate (max_by), so one shuffle with map-side combining gives the snapshot.
+The latest version of a feature, by (created_at, version_id), wins before deletes are removed. Winners
+are found on the three id columns alone, by a hash aggregate with map-side combining; the wide columns
+are then joined by version. A filter on them (a window on the coordinates, say) so reaches the scan of
+the log, and wide rows are never sorted to be aggregated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import ancestors, closure
+from ..functions.columns import valid_at
+from .history import ancestors, closure, small
 
 ORDER = ("created_at", "version_id")
+_STEP = Decimal(10**19)
+
 
+def rank(order: tuple[str, str] = ORDER) -> Column:
+    """Both order columns as one decimal: unlike a struct, it lets max() run in a hash aggregate."""
+    most, least = (F.col(c).cast("decimal(19,0)") for c in order)
+    return most * F.lit(_STEP) + least
 
-def latest(versions: DataFrame, keys: tuple[str, ...] = ("feature_id",), order: tuple[str, ...] = ORDER) -> DataFrame:
-    """The newest row per key, deletes included."""
-    rest = [c for c in versions.columns if c not in keys]
-    best = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
-    return best.select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest])
+
+def latest(versions: DataFrame, keys: tuple[str, ...] = ("feature_id",), order: tuple[str, str] = ORDER) -> DataFrame:
+    """The newest row per key, deletes included. ``order`` are two whole-number columns, the last of them unique per key."""
+    best = versions.groupBy(*keys).agg(F.max(rank(order)).alias("_rank"))
+    return versions.withColumn("_rank", rank(order)).join(best, [*keys, "_rank"]).drop("_rank")
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -26,8 +37,8 @@ def live(rows: DataFrame) -> DataFrame:
 
 
 def of_changesets(versions: DataFrame, chain: DataFrame) -> DataFrame:
-    """Versions of the changesets in ``chain`` (id)."""
-    return versions.join(chain.select(F.col("id").alias("changeset_id")), "changeset_id", "left_semi")
+    """Versions of the changesets in ``chain`` (id). The chain is the side that is broadcast, if its count allows it."""
+    return versions.join(small(chain.select(F.col("id").alias("changeset_id"))), "changeset_id", "left_semi")
 
 
 def resolve(versions: DataFrame, changesets: DataFrame, head: int) -> DataFrame:
@@ -43,13 +54,22 @@ def all_branches(versions: DataFrame, changesets: DataFrame, branches: DataFrame
     """Live features of every branch at once, with column branch."""
     chains = closure(changesets, branches.select(F.col("head").alias("id"))).select("start", F.col("id").alias("changeset_id"))
     own = branches.select(F.col("name").alias("branch"), F.col("head").alias("start"))
-    rows = versions.join(chains, "changeset_id").join(own, "start").drop("start")
+    rows = versions.join(small(chains), "changeset_id").join(small(own), "start").drop("start")
     return live(latest(rows, ("branch", "feature_id")))
 
 
-def page(rows: DataFrame, cursor: int | None = None, limit: int = 100, where: Column | None = None) -> DataFrame:
-    """Keyset page by feature_id; the limit is held between 1 and 10,000."""
+def feature_at(versions: DataFrame, changesets: DataFrame, changeset: int, feature_id: int) -> DataFrame:
+    """One feature as it stood at a changeset; no row if it wasn't there. The id reaches the scan of the log."""
+    return snapshot(versions.filter(F.col("feature_id") == feature_id), changesets, changeset)
+
+
+def page(rows: DataFrame, cursor: int | None = None, limit: int = 100, where: Column | None = None, valid: Column | None = None) -> DataFrame:
+    """Keyset page by feature_id; the limit is held between 1 and 10,000.
+
+    With an instant ``valid``, only rows valid then: from valid_from on and before valid_to, either open if null.
+    """
     rows = rows if where is None else rows.filter(where)
+    rows = rows if valid is None else rows.filter(valid_at(valid, F.col("valid_from"), F.col("valid_to")))
     rows = rows if cursor is None else rows.filter(F.col("feature_id") > cursor)
     return rows.orderBy("feature_id").limit(max(1, min(limit, 10_000)))
 
@@ -64,8 +84,6 @@ def time_travel(versions: DataFrame, changesets: DataFrame, branch: str, at: int
 
 def compact(versions: DataFrame, branch_changesets: DataFrame, keep: int) -> DataFrame:
     """The log without all but the newest ``keep`` versions per feature among the branch's own changesets."""
-    from pyspark.sql import Window
-
     own = of_changesets(versions, branch_changesets)
     newest = Window.partitionBy("feature_id").orderBy(*[F.desc(c) for c in ORDER])
     gone = own.withColumn("n", F.row_number().over(newest)).filter(F.col("n") > keep).select("version_id")

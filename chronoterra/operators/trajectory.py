@@ -29,3 +29,45 @@ def position_at(fixes: DataFrame, ts: float) -> DataFrame:
     s = segments(fixes).filter((F.col("ts") <= ts) & (F.col("ts2") > ts))
     f = (F.lit(float(ts)) - F.col("ts")) / F.col("seconds")
     return s.select("traj", (F.col("lng") + f * (F.col("lng2") - F.col("lng"))).alias("lng"), (F.col("lat") + f * (F.col("lat2") - F.col("lat"))).alias("lat"))
+
+
+def periods(fixes: DataFrame) -> DataFrame:
+    """(traj, n, start, end): number of fixes and period."""
+    return fixes.groupBy("traj").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
+def simplify(fixes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(traj, before, after, path): each trajectory's path by Douglas-Peucker."""
+    from .geometry import simplify as simplify_paths
+
+    path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("x"), p["lat"].alias("y")))
+    paths = fixes.filter("lng is not null and lat is not null").groupBy(F.col("traj").alias("feature_id")).agg(path.alias("path"))
+    return simplify_paths(paths, tolerance).withColumnRenamed("feature_id", "traj")
+
+
+def nearest_approach(fixes: DataFrame, a: int, b: int) -> DataFrame:
+    """(ts, metres) when two trajectories are nearest at one time, the first such instant; no row if they share no time.
+
+    Both are placed at every fix of either; between two such instants both move straight, so the nearest
+    point of the relative motion is the projection of the origin, held to the interval.
+    """
+    s = segments(fixes.filter(F.col("traj").isin(a, b))).filter("seconds > 0")
+    first, last, n = s.agg(F.min("ts"), F.max("ts2"), F.count("*")).first()
+    if not n:
+        return fixes.select("ts", F.lit(0.0).alias("metres")).limit(0)
+    width = max((last - first) / n, 1e-6)  # pieces meet in slots of time of about their length
+    slot = lambda t: F.floor((t - first) / width).cast("long")
+    named = lambda i, n: s.filter(F.col("traj") == i).select(*[F.col(c).alias(f"{n}_{c}") for c in ("ts", "ts2", "lng", "lat", "lng2", "lat2")], F.explode(F.sequence(slot(F.col("ts")), slot(F.col("ts2")))).alias("slot"))
+    met = named(a, "a").join(named(b, "b"), "slot").filter((F.col("a_ts") < F.col("b_ts2")) & (F.col("b_ts") < F.col("a_ts2")) & (F.col("slot") == slot(F.greatest("a_ts", "b_ts"))))
+    lo, hi = F.greatest("a_ts", "b_ts"), F.least("a_ts2", "b_ts2")
+    at = lambda n, c, t: F.col(f"{n}_{c}") + (t - F.col(f"{n}_ts")) / (F.col(f"{n}_ts2") - F.col(f"{n}_ts")) * (F.col(f"{n}_{c}2") - F.col(f"{n}_{c}"))
+    gap = lambda c, t: at("a", c, t) - at("b", c, t)
+    met = met.select("*", lo.alias("lo"), hi.alias("hi"))
+    d0, d1 = ({c: gap(c, F.col(t)) for c in ("lng", "lat")} for t in ("lo", "hi"))
+    move = {c: d1[c] - d0[c] for c in d0}
+    size = move["lng"] * move["lng"] + move["lat"] * move["lat"]
+    f = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(d0["lng"] * move["lng"] + d0["lat"] * move["lat"]) / size))).otherwise(0.0)
+    when = met.select("*", (F.col("lo") + f * (F.col("hi") - F.col("lo"))).alias("ts"))
+    placed = when.select("ts", *[at(n, c, F.col("ts")).alias(f"{n}{c}") for n in "ab" for c in ("lng", "lat")])
+    metres = haversine(F.col("alng"), F.col("alat"), F.col("blng"), F.col("blat"))
+    return placed.select("ts", metres.alias("metres")).orderBy("metres", "ts").limit(1)

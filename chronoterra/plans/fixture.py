@@ -33,25 +33,22 @@ def place(key: str, other: str) -> tuple:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan of the orders: each is exploded into its versions, so that changeset_id is a column of data."""
     o = table(spark, sf_dir, "orders")
     lng, lat = place("o_orderkey", "o_custkey")
     text = lambda c: F.col(c).cast("string")
-    props = lambda status: F.to_json(F.struct(F.concat(F.lit("o"), text("o_orderkey")).alias("name"), status.alias("status"), text("o_custkey").alias("cust"), F.col("o_orderpriority").alias("priority")))
-    base = o.select(F.col("o_orderkey").alias("feature_id"), "o_orderstatus", props(F.col("o_orderstatus")).alias("properties"), lng.alias("lng"), lat.alias("lat"))
-    k = F.col("feature_id")
-    none = F.lit(None).cast("double")
-
-    def part(n: int, op: str, when, p, x, y) -> DataFrame:
-        return base.filter(when).select((k * 10 + n).alias("version_id"), k, F.lit(n).cast("long").alias("changeset_id"), F.lit(op).alias("operation"), p.alias("properties"), x.alias("lng"), y.alias("lat"), F.lit(n).cast("long").alias("created_at"))
-
-    p, x, y, empty = F.col("properties"), F.col("lng"), F.col("lat"), F.lit("{}")
-    return (
-        part(1, "insert", F.lit(True), p, x, y)
-        .union(part(2, "update", k % 5 == 0, p, x + 0.5, y))
-        .union(part(3, "delete", k % 7 == 0, empty, none, none))
-        .union(part(4, "update", k % 3 == 0, p, x, y + 0.25))
-        .union(part(5, "delete", k % 11 == 0, empty, none, none))
-    )
+    props = F.to_json(F.struct(F.concat(F.lit("o"), text("o_orderkey")).alias("name"), F.col("o_orderstatus").alias("status"), text("o_custkey").alias("cust"), F.col("o_orderpriority").alias("priority")))
+    base = o.select(F.col("o_orderkey").alias("feature_id"), props.alias("properties"), lng.alias("lng"), lat.alias("lat"))
+    k, p, x, y, none = F.col("feature_id"), F.col("properties"), F.col("lng"), F.col("lat"), F.lit(None).cast("double")
+
+    def part(n: int, op: str, p, x, y):
+        return F.struct(F.lit(n).cast("long").alias("changeset_id"), F.lit(op).alias("operation"), p.alias("properties"), x.alias("lng"), y.alias("lat"))
+
+    all_of = F.array(part(1, "insert", p, x, y), part(2, "update", p, x + 0.5, y), part(3, "delete", F.lit("{}"), none, none), part(4, "update", p, x, y + 0.25), part(5, "delete", F.lit("{}"), none, none))
+    n = F.col("v.changeset_id")
+    wanted = (n == 1) | ((n == 2) & (k % 5 == 0)) | ((n == 3) & (k % 7 == 0)) | ((n == 4) & (k % 3 == 0)) | ((n == 5) & (k % 11 == 0))
+    rows = base.select("feature_id", F.explode(all_of).alias("v")).filter(wanted)
+    return rows.select((k * 10 + n).alias("version_id"), "feature_id", "v.*", n.alias("created_at"))
 
 
 #: The same projection in DuckDB.

@@ -19,16 +19,17 @@ def geojson_lines(rows: DataFrame) -> DataFrame:
     """One GeoJSON feature per row, as text."""
     shape = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("lng").cast("string"), F.col("lat").cast("string"))
     shape = F.when(F.col("lng").isNull(), "null").otherwise(shape)
-    return rows.select(F.format_string('{"type":"Feature","id":"%s","geometry":%s,"properties":%s}', F.col("feature_id").cast("string"), shape, F.coalesce("properties", F.lit("{}"))).alias("value"))
+    name = F.regexp_extract(F.to_json(F.array(F.col("feature_id").cast("string"))), r"(?s)^\[(.*)\]$", 1)
+    return rows.select(F.format_string('{"type":"Feature","id":%s,"geometry":%s,"properties":%s}', name, shape, F.coalesce("properties", F.lit("{}"))).alias("value"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A plain comma split (quotes don't protect commas); rows without numeric coordinates are left out."""
+    """A plain comma split (quotes don't protect commas); rows without numeric coordinates are left out, and so is the header by its names."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     names = [c.strip().strip('"') for c in lines.first().value.split(",")]
     find = lambda known: next(i for i, n in enumerate(names) if n.lower() in known)
     cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
-    rows = lines.filter(F.col("value") != ",".join(lines.first().value.split(","))).select(cells.alias("c"))
+    rows = lines.select(cells.alias("c"))  # the header's own cells aren't numbers
     x, y = F.try_element_at("c", F.lit(find(LNG_NAMES) + 1)).try_cast("double"), F.try_element_at("c", F.lit(find(LAT_NAMES) + 1)).try_cast("double")
     props = F.to_json(F.struct(*[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names) if n.lower() not in LNG_NAMES + LAT_NAMES]))
     return rows.select(props.alias("properties"), x.alias("lng"), y.alias("lat")).filter("lng is not null and lat is not null")
