@@ -1,10 +1,13 @@
 """PII: pattern spans, and a character-level bidirectional LSTM with CRF transitions that adds more.
 
 Base spans come from four patterns over the whole text. The tagger is trained in numpy on labelled
-spans: windows of a bounded sample of texts, labelled by the patterns. It then reads every stretch of
-text that can hold personal data of these kinds (tiles with a digit or an '@', and their neighbours):
-overlapping windows are scored, their emissions are averaged by the distance to the window's edge, and
-one Viterbi pass over the whole stretch reconciles them. Spans that overlap no base span are added.
+spans: windows of a bounded sample of texts, labelled by the patterns, and the same windows with their
+spans rewritten as people write them to avoid patterns (``varied``: "name at host dot org", "00" for
+"+", other signs between the digits), which the patterns don't match. It then reads every stretch of
+text that can hold personal data of these kinds (tiles with a digit, an '@' or a spelled-out one, and
+their neighbours): overlapping windows are scored, their emissions are averaged by the distance to the
+window's edge, and one Viterbi pass over the whole stretch reconciles them. Spans that overlap no base
+span are added.
 
 Spans are (kind, start, end) in code points. Defined cases: null text is empty; a null doc_id is
 returned as null; repeated rows are read each; an empty table trains no tagger and gives an empty
@@ -14,7 +17,9 @@ table; texts of any length are read whole, in time linear in their length.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 1500
 TILE, WINDOW, EMBED, HIDDEN, BATCH, RATE, SEED = 48, 96, 12, 16, 32, 0.01, 7
 #: Batches the tagger is trained on, however few the windows are.
-STEPS = 280
+STEPS = 320
 
 # Fixed patterns; each search starts where a leftmost search would, so that long runs cost no more than their length.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,6 +40,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+#: What the tagger reads around: a hint, or an address spelled out.
+_CUE = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]| at [^ \n]{1,40} dot ")
 
 Span = tuple[int, int]
 
@@ -214,9 +221,9 @@ class Tagger:
 
 
 def stretches(text: str) -> list[Span]:
-    """Joined runs of tiles that hold a digit or an '@', each with the tile before and after."""
+    """Joined runs of tiles that hold a cue, each with the tile before and after."""
     out: list[list[int]] = []
-    for t in sorted({m.start() // TILE for m in _HINT.finditer(text)}):
+    for t in sorted({m.start() // TILE for m in _CUE.finditer(text)}):
         a, b = max(0, (t - 1) * TILE), min(len(text), (t + 2) * TILE)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -265,7 +272,7 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
                 while end < len(tags) and tags[end] == 2 + 2 * kind:
                     end += 1
                 span = texts[i][a + at : a + end]
-                if tags[at] % 2 == 1 and len(span) >= 6 and _HINT.search(span):  # begins with a begin tag
+                if tags[at] % 2 == 1 and len(span) >= 6 and _CUE.search(span):  # begins with a begin tag
                     out[i].append((KINDS[kind], a + at, a + end))
                 at = end
     return out
@@ -274,39 +281,91 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
 # ---- Spark jobs ------------------------------------------------------------------------------
 
 
-def train_tagger(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> Tagger | None:
-    """A tagger from about ``max_train`` labelled windows, those whose digest is under a threshold set by their number."""
+def varied(text: str, tags: list[int], r: random.Random) -> tuple[str, list[int]]:
+    """A labelled window with each of its spans rewritten so that its pattern doesn't match, cut to WINDOW characters."""
+    out, labels, at = [], [], 0
+    while at < len(text):
+        kind = (tags[at] - 1) // 2
+        if tags[at] == 0 or tags[at] % 2 == 0:
+            out.append(text[at])
+            labels.append(0)
+            at += 1
+            continue
+        end = at + 1
+        while end < len(text) and tags[end] == 2 + 2 * kind:
+            end += 1
+        span, name = text[at:end], KINDS[kind]
+        if name == "email":
+            dot = r.choice([" dot ", ".", " dot "])
+            user, _, host = span.partition("@")
+            span = user + r.choice([" at ", " at ", " [at] ", "(at)", " (at) "]) + host.replace(".", dot)
+        elif name == "ip":
+            span = span.replace(".", r.choice([" . ", "[.]", " dot ", ". "]))
+        elif name == "card":
+            digits, sign = re.sub("[^0-9]", "", span), r.choice([".", "_", "/", " . "])
+            span = sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        else:
+            span = r.choice(["00", "(0)", "tel "]) + re.sub(r"[ ().-]+", r.choice([".", "/", "-", " "]), span[1:])
+        out.append(span)
+        labels += [1 + 2 * kind] + [2 + 2 * kind] * (len(span) - 1)
+        at = end
+    return "".join(out)[:WINDOW], labels[:WINDOW]
+
+
+def training_windows(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> list[tuple[str, list[int]]]:
+    """The ``max_train`` distinct labelled windows of the corpus with the least digests: a sample that copies of a window don't sway.
+
+    A task keeps and hands on no more than that many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[str, list[int]]] = {}
+        most = 1 << 62
         for b in batches:
-            win, lab, key = [], [], []
-            for t in b.column(0).to_pylist():
+            for value in b.column(0):
+                t = value.as_py()
                 if not t or not _HINT.search(t):
                     continue
-                spans, done = base_spans(t), -1
+                spans, done = None, -1
                 for m in _HINT.finditer(t):
                     if m.start() <= done:
                         continue
-                    a = max(0, m.start() - 16 - int(hashlib.md5(t[m.start() : m.start() + 40].encode("utf-8", "replace")).hexdigest()[:2], 16) % 48)
+                    a = max(0, m.start() - 16 - zlib.crc32(t[m.start() : m.start() + 40].encode("utf-8", "replace")) % 48)
                     done = a + WINDOW
                     part = t[a:done]
-                    win.append(part)
-                    lab.append(tag_ids(len(part), spans, a).tolist())
-                    key.append(int(hashlib.md5(part.encode("utf-8", "replace")).hexdigest()[:8], 16))
-            yield pa.RecordBatch.from_arrays([pa.array(win, pa.string()), pa.array(lab, pa.list_(pa.int32())), pa.array(key, pa.int64())], ["win", "tags", "key"])
+                    key = int(hashlib.md5(part.encode("utf-8", "replace")).hexdigest()[:15], 16)
+                    if key >= most or key in kept:
+                        continue
+                    spans = spans or base_spans(t)
+                    kept[key] = part, tag_ids(len(part), spans, a).tolist()
+                    if len(kept) >= 2 * max_train:
+                        kept = dict(sorted(kept.items())[:max_train])
+                        most = max(kept)
+        kept = dict(sorted(kept.items())[:max_train])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0].encode("utf-8", "replace").decode() for x in kept.values()], pa.string()), pa.array([x[1] for x in kept.values()], pa.list_(pa.int32())), pa.array(list(kept), pa.int64())], ["win", "tags", "key"])
 
     windows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "win string, tags array<int>, key long")
-    under = 2**32 * max_train // max(1, windows.agg(F.count("*")).first()[0])
-    rows = sorted(windows.filter(F.col("key") < under).collect(), key=lambda r: (r.key, r.win))  # about max_train rows
-    if not rows:
+    least = windows.groupBy("key").agg(F.min(F.struct("win", "tags")).alias("x")).orderBy("key").limit(max_train)
+    return [(r.x.win, list(r.x.tags)) for r in least.collect()]
+
+
+def fit_windows(windows: list[tuple[str, list[int]]], seed: int = SEED) -> Tagger | None:
+    """A tagger from labelled windows and one rewriting of each that has spans."""
+    if not windows:
         return None
-    ids, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
-    for i, r in enumerate(rows):
-        n = len(r.win)
-        ids[i, :n], tags[i, :n] = char_ids(r.win), r.tags[:n]
+    r = random.Random(seed)
+    every = windows + [varied(w, t, r) for w, t in windows if any(t)]
+    ids, tags = np.zeros((len(every), WINDOW), np.int64), np.zeros((len(every), WINDOW), np.int64)
+    for i, (w, t) in enumerate(every):
+        n = min(len(w), len(t))
+        ids[i, :n], tags[i, :n] = char_ids(w[:n]), t[:n]
     return Tagger().fit(ids, tags)
 
 
+def train_tagger(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> Tagger | None:
+    return fit_windows(training_windows(docs, text, max_train))
+
+
 def find_pii(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, base, added): base and added spans as arrays of (kind, start, end), in order of kind and start."""
     tagger = train_tagger(docs, text, max_train)
@@ -316,8 +375,8 @@ def find_pii(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 base = [[(k, s, e) for k, x in base_spans(t).items() for s, e in x] for t in texts]
                 extra = tagged_spans(texts, held.value) if held.value else [[] for _ in texts]

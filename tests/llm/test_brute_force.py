@@ -280,3 +280,28 @@ def test_language_of_documents(spark):
     got = language_id.identify(None, docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 5 != 0").select("lang", "text"))
     right = got.join(docs.select("doc_id", F.col("lang").alias("said")), "doc_id").select(F.avg((F.col("lang") == F.col("said")).cast("int"))).first()[0]
     assert right >= 0.9
+
+
+def test_tagger_finds_rewritten_spans_that_the_patterns_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    tagger = pii.train_tagger(docs.filter("doc_id % 2 = 0"))
+    held = [w for w in pii.training_windows(docs.filter("doc_id % 2 = 1")) if any(w[1])]
+    rewritten = [pii.varied(*w, random.Random(i)) for i, w in enumerate(held)]
+
+    def spans(tags):
+        starts = [i for i, t in enumerate(tags) if t % 2]
+        ends = [next((j for j in range(i + 1, len(tags)) if tags[j] != tags[i] + 1), len(tags)) for i in starts]
+        return {(pii.KINDS[tags[i] // 2], i, e) for i, e in zip(starts, ends) if e < len(tags)}
+
+    gold = {(n, *s) for n, (_, tags) in enumerate(rewritten) for s in spans(tags)}
+    base = {(n, k, *s) for n, (w, _) in enumerate(rewritten) for k, found in pii.base_spans(w).items() for s in found}
+    got = {(n, *s) for n, found in enumerate(pii.tagged_spans([w for w, _ in rewritten], tagger)) for s in found}
+    assert len(gold) > 100 and len(base & gold) < 0.1 * len(gold)
+    assert len(gold & got) >= 0.8 * len(gold) and len(gold & got) >= 0.8 * len(got)
+
+
+def test_training_windows_are_distinct_and_bounded(spark):
+    docs = spark.createDataFrame([(i, f"call +49 30 {1000000 + i % 7} now") for i in range(300)], "doc_id long, text string").repartition(3)
+    assert len(pii.training_windows(docs)) == 7
+    one = pii.training_windows(docs, max_train=3)
+    assert len(one) == 3 and one == pii.training_windows(docs.repartition(2), max_train=3)
