@@ -8,7 +8,8 @@ bucket gives the patterns ending in it, and a comparison of all words confirms t
 
 Defined cases: null texts and texts without words have no hits; empty benchmark gives zero hits
 throughout; items without words or without an id never count; two rows with one item_id are one item;
-repeated documents keep their rows; very long texts are searched whole.
+repeated documents keep their rows; very long texts are searched whole; extra columns, whatever their
+names, don't matter to the counts and pass through the filter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,9 +150,9 @@ def _merged(own: DataFrame, passes: Iterator[list[tuple[str, bytes | None]]], wi
         one = keyed.mapInArrow(run, f"doc_id {kind}, k long, n_words long, spans array<long>, items array<string>")
         parts = one if parts is None else parts.union(one)
 
-    @F.udf("long")
-    def union_size(flat):
-        return covered([*zip(flat[::2], flat[1::2], strict=True)])
+    @F.pandas_udf("long")
+    def union_size(flat: pd.Series) -> pd.Series:
+        return flat.map(lambda x: covered([*zip(x[::2].tolist(), x[1::2].tolist(), strict=True)]))
 
     rows = own.groupBy("doc_id", F.xxhash64("text").alias("k")).agg(F.count("*").alias("copies"))
     once = parts.groupBy("doc_id", "k").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -14,7 +14,8 @@ For every item (a page, or a document) the posterior of language l is
 
 Defined cases: null or empty text leaves the other evidence; null url, host or markup is a value of
 its own; without any language in ``documents`` the result has null languages; repeated rows count and
-return each; empty tables give an empty table.
+return each; very long texts are counted whole; of equally probable languages the first by name is
+taken; extra columns, whatever their names, don't matter; empty tables give an empty table.
 """
 
 from __future__ import annotations

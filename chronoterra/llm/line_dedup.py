@@ -6,7 +6,8 @@ repeats there.
 
 Defined cases: null text stays null and has no lines; null host is the host ''; blank lines are
 layout and are never dropped; repeated rows are pages of their own; an empty table gives an empty
-table; other columns pass through. A line must be on ``min_pages`` pages at least, so a host with
+table; other columns, whatever their names, pass through; very long texts are split whole; a line at the
+ratio exactly stays. A line must be on ``min_pages`` pages at least, so a host with
 two pages has no boilerplate. A document may end up with an empty text, it is never removed.
 """
 

@@ -7,13 +7,13 @@ it is taken, the rate on average, so that the copies' tokens meet the targets. `
 ``sampled`` are those of being taken at all.
 
 Targets are tempered shares, share ** power over its sum, so that rare categories gain weight. Every
-source and language has a target of its own, however rare. (The SQL pools those under MIN_SHARE of the
-tokens as '*other*' and agrees where there are none.)
+source and language has a target of its own, however rare.
 
 Defined cases: null source or language is the category ''; null text has no tokens; a cell without
 tokens has nothing to calibrate and its documents get the rate ``keep``; an empty table gives an
-empty table; repeated rows share one draw (it depends on doc_id alone); null doc_id draws as 'null'.
-Columns of the input pass through unless the result has a column of that name.
+empty table; repeated rows share one draw (it depends on doc_id alone); null doc_id draws as 'null';
+very long texts are counted whole. Columns of the input, whatever their names, pass through unless the
+result has a column of that name.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ from .common import checkpoint
 
 KEEP = 0.75
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-MIN_SHARE = 0.001
 ROUNDS = 12
-OTHER = "*other*"
 #: Cells up to which the table is raked in one task (under 100 bytes each); a larger one is raked by joins.
 ONE_TASK_CELLS = 20_000
 #: Cells up to which the fitted table is broadcast; beyond it the join shuffles.
@@ -126,7 +124,7 @@ def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUN
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
 
 
-def oracle(keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, min_share: float = MIN_SHARE) -> str:
+def oracle(keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> str:
     """The same computation as DuckDB SQL over documents."""
     of = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
     steps = [
@@ -135,10 +133,7 @@ c AS (SELECT doc_id, s, l, len(regexp_extract_all(t, '[^ \\t\\n\\r]+'))::BIGINT
   CASE WHEN length(t) = 0 THEN 'empty' WHEN {of('|')} * 50 >= length(t) THEN 'table' WHEN {of('%*#$&')} * 20 >= length(t) THEN 'noisy'
   WHEN {of('0123456789@')} * 100 >= length(t) THEN 'records' WHEN length(t) < 400 THEN 'note' ELSE 'prose' END AS topic FROM d),
 tot AS (SELECT coalesce(sum(n_tokens), 0)::DOUBLE AS total FROM c),
-ns AS (SELECT s FROM c GROUP BY s HAVING sum(n_tokens) >= {min_share} * (SELECT total FROM tot)),
-nl AS (SELECT l FROM c GROUP BY l HAVING sum(n_tokens) >= {min_share} * (SELECT total FROM tot)),
-p AS (SELECT doc_id, s AS source0, l AS lang0, topic, n_tokens, CASE WHEN s IN (FROM ns) THEN s ELSE '{OTHER}' END AS source,
-  CASE WHEN l IN (FROM nl) THEN l ELSE '{OTHER}' END AS lang FROM c),
+p AS (SELECT doc_id, s AS source0, l AS lang0, topic, n_tokens, s AS source, l AS lang FROM c),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM p GROUP BY ALL HAVING sum(n_tokens) > 0)"""
     ]
     last = "cells"

@@ -99,38 +99,46 @@ def chunk_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, k long, a int, b int, d long, e long")
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, k, runs): the byte spans of each document that stand earlier in the corpus, in order."""
+def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, k, spans): the chunks of each document that stand earlier in the corpus, in order."""
     own = chunk_table(docs, text)
     at = F.struct("doc_id", "k", "a")
     first = own.groupBy("d", "e").agg(F.min(at).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d", "e", "first")
     later = own.join(first, ["d", "e"]).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "k", "a", "b").distinct()
-    spans = later.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    merged = F.aggregate(
-        "s",
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] == x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), x["b"].alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return spans.select("doc_id", "k", F.filter(merged, lambda x: x["b"] - x["a"] >= min_run).alias("runs")).filter(F.size("runs") > 0)
+    return later.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+
+def joined_runs(spans: list[dict[str, int]], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
+    """Neighbouring chunks (in order) as runs; those of ``min_run`` bytes at least."""
+    runs: list[tuple[int, int]] = []
+    for s in spans:
+        if runs and runs[-1][1] == s["a"]:
+            runs[-1] = runs[-1][0], s["b"]
+        else:
+            runs.append((s["a"], s["b"]))
+    return [r for r in runs if r[1] - r[0] >= min_run]
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, text): the text without its repeated passages; removed lists byte spans."""
-    runs = repeated_runs(docs, text, min_run)
+    again = repeated_chunks(docs, text).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "spans")
+    removed = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, gone = [], []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, a, size = [], 0, 0
-                for s in spans or ():
-                    kept.append(t[a : s["a"]])
-                    a, size = s["b"], size + s["b"] - s["a"]
-                out.append(t if not spans else b"".join([*kept, t[a:]]))
-                gone.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in batch.column(1).to_pylist()], pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_bytes", "n_removed", "removed", "text"])
+            out, gone, sizes, cut = [], [], [], []
+            for value, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                t, kept, a = value.as_py(), [], 0
+                runs = joined_runs(spans or [], min_run)
+                for lo, hi in runs:
+                    kept.append(t[a:lo])
+                    a = hi
+                out.append(t if not runs else b"".join([*kept, t[a:]]))
+                sizes.append(len(t or b""))
+                gone.append(sum(hi - lo for lo, hi in runs))
+                cut.append([{"a": lo, "b": hi} for lo, hi in runs] or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, removed), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_bytes", "n_removed", "removed", "text"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
-    runs = runs.select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "runs")
-    joined = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["r_id"]) & (keyed["k"] == runs["r_k"]), "left")
-    return joined.select("doc_id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<a:int,b:int>>, text string")
+    joined = keyed.join(again, keyed["doc_id"].eqNullSafe(again["r_id"]) & (keyed["k"] == again["r_k"]), "left")
+    return joined.select("doc_id", "t", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<a:int,b:int>>, text string")
