@@ -360,6 +360,16 @@ def buffer_shapes(spark, sf):
     return geometry.buffers(_points(spark, sf, "supplier", "s"), 5000.0).filter("area > 0").select("feature_id", F.round(F.abs(shapes.twice_area(F.col("ring"))) / 2, 9).alias("area"))
 
 
+@query(f"WITH b AS (SELECT feature_id, floor(lng)::INT AS x0, floor(lat)::INT AS y0 FROM {_CUST}), c AS (SELECT c_mktsegment AS key, x, y, feature_id FROM b JOIN customer ON c_custkey = feature_id, LATERAL (SELECT unnest(range(x0, (x0 + 1 + feature_id % 4)::INT)) AS x), LATERAL (SELECT unnest(range(y0, (y0 + 1 + feature_id % 3)::INT)) AS y)) SELECT key, count(DISTINCT feature_id) AS n, count(DISTINCT (x, y))::DOUBLE AS planar FROM c GROUP BY 1")
+def union_shapes(spark, sf):
+    p = _points(spark, sf, "customer", "c")
+    k, x, y = F.col("feature_id"), F.floor("lng").cast("double"), F.floor("lat").cast("double")
+    w, h = x + 1 + k % 4, y + 1 + k % 3
+    ring = F.array(*[shapes.point(a, b) for a, b in ((x, y), (w, y), (w, h), (x, h), (x, y))])
+    out = geometry.union_area(p.select("feature_id", "seg", ring.alias("ring")), 4.0, by="seg")
+    return out.select("key", "n", F.round("planar", 6).alias("planar"))
+
+
 @query(None)
 def convex_hull(spark, sf):
     return geometry.convex_hull(_points(spark, sf, "customer", "c"))
@@ -479,6 +489,21 @@ def vector_duplicates(spark, sf):
     return similarity.duplicates(v, v.filter("id % 100 = 0"), 0.5).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS a FROM v, range(1, 65) t(i) GROUP BY i)),
+d AS (SELECT id, round(1 - list_cosine_similarity(v, c), 9) AS d FROM v, m), b AS (SELECT id, ntile(5) OVER (ORDER BY d, id) AS bucket, (row_number() OVER (ORDER BY d, id) - 1) // 100 AS block FROM d)
+SELECT bucket::INT AS bucket, block::BIGINT AS block, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM b GROUP BY 1, 2""")
+def bucket_members(spark, sf):
+    out = similarity.bucket_members(_vectors(spark, sf), 64, 5, block=100)
+    return out.select("bucket", "block", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH p AS {_SUPP} SELECT feature_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM p WHERE lng BETWEEN -100 AND 100 AND lat BETWEEN -40 AND 60")
+def native_window(spark, sf):
+    x, y = C.mercator(F.col("lng"), F.col("lat"))
+    stored = _points(spark, sf, "supplier", "s").select("feature_id", x.alias("x"), y.alias("y"))
+    return requests.native_window(stored, (-100.0, -40.0, 100.0, 60.0), 3857).select("feature_id", *xy())
+
+
 # ---- verticals ------------------------------------------------------------------------------------
 
 
@@ -524,6 +549,14 @@ def survey_compare(spark, sf):
     return out.select("count_a", "count_b", *[F.round(c, 4).alias(c) for c in ("mean_diff", "max_cut", "max_fill", "volume")])
 
 
+@query(f"""WITH p AS {_SUPP} SELECT feature_id AS tower, round(43 - (69.55 + 26.16 * log10(900 + feature_id) - 13.82 * log10(30.0) + (44.9 - 6.55 * log10(30.0)) * log10(4.0)), 6) AS edge_dbm, round(16 * pi(), 6) AS area_km2,
+round(lng + 4000 / 111320.0::DOUBLE, 8) AS east FROM p""")
+def tower_coverage(spark, sf):
+    t = _points(spark, sf, "supplier", "s").select(F.col("feature_id").alias("tower"), "lng", "lat", F.lit(30.0).alias("height_m"), (F.col("feature_id") + 900.0).alias("mhz"), F.lit(43.0).alias("dbm"), F.lit(4000.0).alias("radius_m"))
+    out = records.coverage(t)
+    return out.select("tower", F.round("edge_dbm", 6).alias("edge_dbm"), F.round("area_km2", 6).alias("area_km2"), F.round(F.col("ring")[0]["x"], 8).alias("east"))
+
+
 @query(f"WITH p AS {_SUPP} SELECT feature_id AS id, round({_hav('10.0::DOUBLE', '20.0::DOUBLE', 'lng', 'lat')}, 3) AS metres, round({_hav('10.0::DOUBLE', '20.0::DOUBLE', 'lng', 'lat')} / (5000.0 / 60), 3) AS minutes FROM p")
 def evacuation(spark, sf):
     p = _points(spark, sf, "supplier", "s").select(F.col("feature_id").alias("id"), "lng", "lat")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import connected_components
 from .history import checkpoint
 
 
@@ -63,15 +64,9 @@ def path(best: DataFrame, goal: int) -> list[int]:
 
 def components(junctions: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest junction id connected to each; isolated ones are their own."""
-    links = checkpoint(both_ways(edges).select("from_id", "to_id").distinct())
-    label = checkpoint(junctions.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("component")))
-    while True:
-        around = links.join(label.select(F.col("id").alias("to_id"), "component"), "to_id").groupBy(F.col("from_id").cast("long").alias("id")).agg(F.min("component").alias("m"))
-        step = label.join(around, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        fresh = checkpoint(step.join(step.select(F.col("id").alias("component"), F.col("component").alias("far")), "component").select("id", F.least("component", "far").alias("component")))
-        if fresh.join(label.withColumnRenamed("component", "old"), "id").filter("component <> old").isEmpty():
-            return fresh
-        label = fresh
+    links = edges.select(F.col("from_id").cast("long").alias("u"), F.col("to_id").cast("long").alias("v"))
+    own = junctions.select(F.col("id").cast("long").alias("id"))
+    return own.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def isolated(junctions: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ the page is taken first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import METRES_PER_DEGREE, age_days, haversine, number, prop
+from ..functions.columns import METRES_PER_DEGREE, age_days, haversine, number, prop, urban_path_loss
 from .spatial import bbox
 
 #: Walking speed in metres a minute.
@@ -39,6 +41,15 @@ def survey_compare(rows: DataFrame, a: int, b: int) -> DataFrame:
     )  # one row of each
 
 
+def coverage(towers: DataFrame) -> DataFrame:
+    """Towers (tower, lng, lat, height_m, mhz, dbm, radius_m) with signal at the edge, area in square kilometres and the circle as a ring of 33 positions."""
+    km = F.col("radius_m") / 1000.0
+    loss = urban_path_loss(F.col("mhz"), F.greatest(F.col("height_m"), F.lit(1.0)), km)
+    r = F.col("radius_m") / METRES_PER_DEGREE
+    ring = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.struct((F.col("lng") + r * F.cos(i * (2 * math.pi / 32))).alias("x"), (F.col("lat") + r * F.sin(i * (2 * math.pi / 32))).alias("y")))
+    return towers.select("*", (F.col("dbm") - loss).alias("edge_dbm"), (km * km * math.pi).alias("area_km2"), ring.alias("ring"))
+
+
 def assembly_points(points: DataFrame, lng: float, lat: float) -> DataFrame:
     """Points (id, lng, lat, capacity) with metres and walking minutes from a place, nearest first."""
     metres = haversine(F.lit(lng), F.lit(lat), F.col("lng"), F.col("lat"))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MERCATOR_RADIUS, mercator
+from ..functions.columns import MERCATOR_RADIUS, inverse_mercator, mercator
 from ..functions.cql2 import FilterError, to_column
 from .spatial import bbox
 
@@ -39,6 +39,24 @@ def window_in_degrees(window: tuple[float, float, float, float], code: int) -> t
     return x[0], y[0], x[1], y[1]
 
 
+def native_window(rows: DataFrame, window: tuple[float, float, float, float], code: int, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of a table stored in the projection ``code`` within a window in degrees, with lng and lat.
+
+    The window is brought to the table's own projection, so that it is compared with stored columns and
+    reaches their scan; only rows within it are projected back.
+    """
+    if code == DEGREES:
+        low, high = window[:2], window[2:]
+    elif code in MERCATOR_CODES:
+        metres = lambda lng, lat: (math.radians(lng) * MERCATOR_RADIUS, math.asinh(math.tan(math.radians(lat))) * MERCATOR_RADIUS)
+        low, high = metres(*window[:2]), metres(*window[2:])
+    else:
+        raise ValueError(f"no projection {code}")
+    inside = rows.filter(F.col(x).between(low[0], high[0]) & F.col(y).between(low[1], high[1]))
+    lng, lat = (F.col(x), F.col(y)) if code == DEGREES else inverse_mercator(F.col(x), F.col(y))
+    return inside.withColumn("lng", lng).withColumn("lat", lat)
+
+
 def projected(rows: DataFrame, code: int) -> DataFrame:
     """Coordinates as x and y of the projection ``code``."""
     if code != DEGREES and code not in MERCATOR_CODES:

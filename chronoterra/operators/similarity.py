@@ -28,8 +28,8 @@ def mean_vector(vectors: DataFrame, size: int) -> list[float]:
     return [row[i] for i in range(size)]
 
 
-def ntile_buckets(vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
-    """Counts per ntile of the cosine distance to the mean vector (ties by id), numbered by ranges: no task has all rows."""
+def _placed(vectors: DataFrame, size: int, k: int) -> DataFrame:
+    """(id, at, bucket) by the cosine distance to the mean vector (ties by id), numbered by ranges: no task has all rows."""
     centre = mean_vector(vectors, size)
     d = vectors.select("id", (1 - cosine(F.col("vec"), F.array(*[F.lit(x) for x in centre]))).alias("d"))
     ranges = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -42,9 +42,18 @@ def ntile_buckets(vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
     numbered = dealt.join(F.broadcast(before), "part").select("id", at.alias("at"))
     first = F.floor(F.col("at") / (least + 1))
     bucket = F.when(F.col("at") < longer * (least + 1), first).otherwise(F.floor((F.col("at") - longer) / max(least, 1))) + 1
-    placed = numbered.select("id", bucket.cast("int").alias("bucket"))
-    return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return numbered.select("id", "at", bucket.cast("int").alias("bucket"))
+
+
+def ntile_buckets(vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
+    """Counts per ntile of the cosine distance to the mean vector."""
+    return _placed(vectors, size, k).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
 
+def bucket_members(vectors: DataFrame, size: int, k: int = 5, block: int = 1000) -> DataFrame:
+    """(bucket, block, ids): the ids of each ntile, sorted, in arrays of ``block`` neighbours at most."""
+    placed = _placed(vectors, size, k)
+    return placed.groupBy("bucket", F.floor(F.col("at") / block).alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def duplicates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.95, block: int = 256) -> DataFrame:

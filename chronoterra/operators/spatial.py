@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import METRES_PER_DEGREE, grid_cell, haversine
+from .clusters import connected_components
 from .history import checkpoint
 
 
@@ -70,18 +71,10 @@ def dbscan(rows: DataFrame, eps: float, min_points: int = 3) -> DataFrame:
     pairs = checkpoint(within_distance(rows, rows, eps))  # a point is its own neighbour
     core = checkpoint(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select("a"))
     among = checkpoint(pairs.join(core, "a").select("a", "b"))
-    links = among.join(core.withColumnRenamed("a", "b"), "b")
-    label = core.select(F.col("a").alias("id"), F.col("a").alias("cluster"))
-    while True:  # the smallest label spreads, and labels jump to their label's label
-        around = links.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
-        step = label.join(around, "id", "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-        jump = step.join(step.select(F.col("id").alias("cluster"), F.col("cluster").alias("far")), "cluster").select("id", F.least("cluster", "far").alias("cluster"), )
-        fresh = checkpoint(jump)
-        moved = fresh.join(label.withColumnRenamed("cluster", "old"), "id").filter("cluster <> old").isEmpty()
-        label = fresh
-        if moved:
-            break
-    return among.join(label.select(F.col("id").alias("a"), "cluster"), "a").groupBy(F.col("b").alias("feature_id")).agg(F.min("cluster").alias("cluster"))
+    links = among.join(core.withColumnRenamed("a", "b"), "b").filter("a < b")
+    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("a"), "root")
+    label = core.join(roots, "a", "left").select("a", F.coalesce("root", "a").alias("cluster"))
+    return among.join(label, "a").groupBy(F.col("b").alias("feature_id")).agg(F.min("cluster").alias("cluster"))
 
 
 def anomalies(rows: DataFrame, sigmas: float = 3.0) -> DataFrame:

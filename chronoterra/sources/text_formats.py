@@ -15,6 +15,12 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("f.geometry.type = 'Point'").select("f.id", F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates")[0].alias("lng"), F.col("f.geometry.coordinates")[1].alias("lat"))
 
 
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """Features of FeatureCollections with any geometry: (id, properties JSON, geometry as GeoJSON text); features without one are left out."""
+    rows = spark.read.schema("features array<struct<id:string,geometry:string,properties:string>>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    return rows.filter("f.geometry is not null").select("f.id", F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
+
+
 def geojson_lines(rows: DataFrame) -> DataFrame:
     """One GeoJSON feature per row, as text."""
     shape = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("lng").cast("string"), F.col("lat").cast("string"))

@@ -246,3 +246,24 @@ def test_geojson_ids_and_csv_headers_survive(spark, tmp_path):
     assert json.loads(text_formats.geojson_lines(rows).first()[0])["id"] == 'a"b\\'
     (tmp_path / "f.csv").write_text("name,x,y\nq,1,2\n")
     assert text_formats.read_csv(spark, str(tmp_path / "f.csv")).count() == 1
+
+
+def test_shapes_of_any_kind_are_read(spark, tmp_path):
+    features = [{"type": "Feature", "id": str(i), "geometry": g, "properties": {"n": i}} for i, g in enumerate([*SHAPES, None])]
+    (tmp_path / "f.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = text_formats.read_shapes(spark, str(tmp_path / "f.json"))
+    got = {r.id: r for r in rows.select("id", "geometry", geometry.geojson_bounds(F.col("geometry")).alias("b")).collect()}
+    assert len(got) == len(SHAPES) and all(json.loads(got[str(i)].geometry) == g for i, g in enumerate(SHAPES))
+    assert tuple(got["0"].b) == (1.5, -2.25, 1.5, -2.25) and tuple(got["5"].b) == (0, 0, 6, 6)
+
+
+def test_union_of_convex_rings(spark):
+    tilted = [(0, 0), (2, 0), (3, 2), (1, 3), (0, 0)]
+    rows = [(1, [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]), (2, tilted), (3, [(10, 10), (11, 10), (11, 11), (10, 11), (10, 10)]), (4, [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)])]
+    d = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in r]) for i, r in rows], "feature_id long, ring array<struct<x:double,y:double>>")
+    r = random.Random(6)
+    inside = lambda ring, x, y: all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for (ax, ay), (bx, by) in zip(ring, ring[1:]))
+    hit = sum(any(inside(ring, *p) for _, ring in rows[:2]) for p in ((3 * r.random(), 3 * r.random()) for _ in range(40_000)))
+    got = geometry.union_area(d, 1.0).first()
+    assert got.n == 4 and got.planar == pytest.approx(1 + 9 * hit / 40_000, rel=0.02)
+    assert geometry.union_area(d.limit(0), 1.0).first().planar == 0
