@@ -50,54 +50,3 @@ def with_name(df: DataFrame, base: str) -> str:
     while name.lower() in names:
         name += "_"
     return name
-
-
-#: Links of one node from which its rows are not sent to one task.
-HEAVY = 50_000
-
-
-def _with_least(both: DataFrame, least: DataFrame, links: int) -> DataFrame:
-    """``both`` joined with ``least`` (u, m, n links) on u. Nodes with over HEAVY links (so few, as they
-    number the links / HEAVY at most) meet their rows by a broadcast, the others by a shuffle on u."""
-    if links <= HEAVY:  # then no node has more
-        return both.join(least.select("u", "m"), "u")
-    least = checkpoint(least)
-    hot = least.filter(F.col("n") > HEAVY).select("u", "m")
-    rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= HEAVY).select("u", "m"), "u")
-    return both.join(F.broadcast(hot), "u").unionByName(rest)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the undirected ``edges`` (u, v); root is the smallest node reachable.
-
-    Alternates large-star and small-star steps: each is one grouped minimum and one join, so no
-    neighbourhood is ever gathered in one place. Self links are ignored; no links give no rows.
-    """
-    e = checkpoint(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    )
-    mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    before = mark(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        links = 2 * before[0]
-        large = _with_least(both.filter("v > u"), low, links).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large if links <= HEAVY else checkpoint(large)
-        # every remaining link runs from the larger u to the smaller v
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, links).select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
-        )
-        e = checkpoint(small.select("x.u", "x.v").filter("u != v").distinct())
-        after = mark(e)
-        if tuple(after) == tuple(before):
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )

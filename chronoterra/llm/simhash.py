@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, scratch
+from ..operators.clusters import connected_components
+from .common import checkpoint, scratch
 
 SHINGLE = 3
 SEED = 42

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoterra.llm import common, decontamination, language_id, pii, queries, simhash, substring_dedup, toxicity
+from chronoterra.llm import decontamination, language_id, pii, queries, simhash, substring_dedup, toxicity
+from chronoterra.operators import clusters
 
 from ..oracle import SMALL
 
@@ -99,10 +100,10 @@ def test_keep_one_is_exact_per_row(spark, monkeypatch, broadcast):
 
 @pytest.mark.parametrize("heavy", [50_000, 3])
 def test_components_with_hubs(spark, monkeypatch, heavy):
-    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(clusters, "HEAVY", heavy)
     r = random.Random(4)
     edges = [(0, i) for i in range(1, 80)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(120)] + [(5, 300)]
-    got = {x.node: x.root for x in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {x.node: x.root for x in clusters.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == components(edges)
 
 
@@ -111,7 +112,7 @@ def test_components_of_a_long_chain(spark):
     chain = list(range(n))
     random.Random(1).shuffle(chain)
     edges = spark.createDataFrame(list(zip(chain, chain[1:])), "u long, v long")
-    assert {r.root for r in common.connected_components(edges).collect()} == {0}
+    assert {r.root for r in clusters.connected_components(edges).collect()} == {0}
 
 
 # ---- decontamination -------------------------------------------------------------------------
