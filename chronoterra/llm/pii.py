@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, scratch
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 1500
 TILE, WINDOW, EMBED, HIDDEN, BATCH, RATE, SEED = 48, 96, 12, 16, 32, 0.01, 7
@@ -345,8 +347,11 @@ def training_windows(docs: DataFrame, text: str = "text", max_train: int = MAX_T
         yield pa.RecordBatch.from_arrays([pa.array([x[0].encode("utf-8", "replace").decode() for x in kept.values()], pa.string()), pa.array([x[1] for x in kept.values()], pa.list_(pa.int32())), pa.array(list(kept), pa.int64())], ["win", "tags", "key"])
 
     windows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "win string, tags array<int>, key long")
-    least = windows.groupBy("key").agg(F.min(F.struct("win", "tags")).alias("x")).orderBy("key").limit(max_train)
-    return [(r.x.win, list(r.x.tags)) for r in least.collect()]
+    kept = scratch(windows.groupBy("key").agg(F.min(F.struct("win", "tags")).alias("x")), "windows")
+    bound = kept.select("key").orderBy("key").limit(max_train).agg(F.max("key")).first()[0]
+    rows = kept.filter(F.col("key") <= F.lit(bound)).orderBy("key").collect()  # max_train of them at most
+    discard(kept)
+    return [(r.x.win, list(r.x.tags)) for r in rows]
 
 
 def fit_windows(windows: list[tuple[str, list[int]]], seed: int = SEED) -> Tagger | None:
