@@ -225,7 +225,9 @@ def grid_counts(spark, sf):
     return spatial.grid_counts(_points(spark, sf, "customer", "c"), 7)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE p AS {_CUST}, n AS (SELECT a.feature_id AS a, b.feature_id AS b FROM p a JOIN p b ON abs(a.lng - b.lng) <= 1.5 AND abs(a.lat - b.lat) <= 1.5 WHERE sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)) <= 1.5::DOUBLE),
+c AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 3), l AS (SELECT n.a, n.b FROM n WHERE n.a IN (FROM c) AND n.b IN (FROM c)), w(id, root) AS (SELECT a, a FROM c UNION SELECT l.b, w.root FROM w JOIN l ON l.a = w.id),
+r AS (SELECT id, min(root) AS cluster FROM w GROUP BY 1) SELECT n.b AS feature_id, min(cluster) AS cluster FROM n JOIN r ON n.a = r.id GROUP BY 1""")
 def dbscan(spark, sf):
     return spatial.dbscan(_points(spark, sf, "customer", "c"), 1.5, 3)
 
