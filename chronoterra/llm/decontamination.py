@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 10
 BLOCK = 3
 #: UTF-8 bytes of benchmark text held by one search; a larger benchmark is searched in several passes.
@@ -178,8 +180,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                engine, whole = held.value
+            engine, whole = held.value
+            for b in (part for batch in batches for part in slices(batch)):
                 keep = []
                 for t in b.column(at).cast(pa.binary()):  # the words of one text at a time
                     w = words(t.as_py())

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LEAST = 16
 MOST = 256
 #: Five mask bits: a border every 32 bytes beyond the least size.
@@ -125,7 +127,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) ->
     removed = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out, gone, sizes, cut = [], [], [], []
             for value, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t, kept, a = value.as_py(), [], 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpoint
+from .common import checkpoint, slices
 
 MAX_TRAIN = 12_000
 #: Expected number of features that pass by chance.
@@ -336,21 +336,23 @@ def score(raw: float, cut: float) -> float:
     return 0.5 * raw / cut if raw < cut else 0.5 + 0.5 * (raw - cut) / (1 - cut)
 
 
-def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Columns of ``docs`` and ``score``. The models come from ``corpus`` and ``labels``; ``score`` replaces a column of that name."""
+def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, columns: list[str] | None = None) -> DataFrame:
+    """Columns of ``docs`` (or the listed ``columns``) and ``score``. The models come from ``corpus`` and ``labels``; ``score`` replaces a column of that name."""
     model = character_model(corpus, text)
     train = training_rows(corpus, labels, max_train, text)
     weights, base = toxic_evidence(train, model)
     cut = best_cut(train, model, weights, base) if weights else 1.0
     held = docs.sparkSession.sparkContext.broadcast((model, weights, base))
-    docs = docs.drop("score") if text != "score" else docs
-    at = docs.columns.index(text)
+    kept = [c for c in (docs.columns if columns is None else columns) if c != "score" or text == "score"]
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text in kept else [F.col(f"`{text}`")]))
+    at = own.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored: dict[str, str] = {}
         words: dict[str, float] = {}
         for b in batches:
-            s = [score(raw_score(t.as_py(), *held.value, restored, words), cut) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+            for part in slices(b):
+                s = [score(raw_score(t.as_py(), *held.value, restored, words), cut) for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s, pa.float64())], [*kept, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return own.mapInArrow(run, StructType([*own.schema.fields[: len(kept)], StructField("score", DoubleType())]))
