@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,26 +122,38 @@ def joined_runs(spans: list[dict[str, int]], min_run: int = MIN_RUN) -> list[tup
     return [r for r in runs if r[1] - r[0] >= min_run]
 
 
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, k, runs): the byte spans of each document that stand earlier in the corpus, in order; no row without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = pa.array([[{"a": lo, "b": hi} for lo, hi in joined_runs(s.as_py(), min_run)] for s in b.column(2)], _RUNS)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), runs], ["doc_id", "k", "runs"])
+            yield out.filter(pc.greater(pc.list_value_length(runs), 0))
+
+    return repeated_chunks(docs, text).mapInArrow(run, "doc_id long, k long, runs array<struct<a:int,b:int>>")
+
+
 def drop_repeats(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, text): the text without its repeated passages; removed lists byte spans."""
-    again = repeated_chunks(docs, text).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "spans")
-    removed = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    again = repeated_runs(docs, text, min_run).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            out, gone, sizes, cut = [], [], [], []
-            for value, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                t, kept, a = value.as_py(), [], 0
-                runs = joined_runs(spans or [], min_run)
-                for lo, hi in runs:
-                    kept.append(t[a:lo])
-                    a = hi
-                out.append(t if not runs else b"".join([*kept, t[a:]]))
+            out, gone, sizes = [], [], []
+            for value, runs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                t, kept, at = value.as_py(), [], 0
+                for r in runs or ():
+                    kept.append(t[at : r["a"]])
+                    at = r["b"]
+                out.append(t if not runs else b"".join([*kept, t[at:]]))
                 sizes.append(len(t or b""))
-                gone.append(sum(hi - lo for lo, hi in runs))
-                cut.append([{"a": lo, "b": hi} for lo, hi in runs] or None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, removed), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_bytes", "n_removed", "removed", "text"])
+                gone.append(sum(r["b"] - r["a"] for r in runs or ()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_bytes", "n_removed", "removed", "text"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
     joined = keyed.join(again, keyed["doc_id"].eqNullSafe(again["r_id"]) & (keyed["k"] == again["r_k"]), "left")
-    return joined.select("doc_id", "t", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<a:int,b:int>>, text string")
+    return joined.select("doc_id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<a:int,b:int>>, text string")
