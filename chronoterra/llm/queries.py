@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, topk, toxicity
+from . import collocations, decontamination, fill_in_middle, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, token_files, topk, toxicity
 from .common import table
 
 
@@ -75,8 +75,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = fill_in_middle.restore(made)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return out.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), sha("output"), sha("text"),
+    ).withColumnRenamed("text_sha256", "restored_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_files.token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_mixing, op4_pii, op5_toxicity, op6_topk, op7_html_text, op8_substring_dedup, op9_decontamination, op10_simhash, op3_mixing_copies)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_mixing, op4_pii, op5_toxicity, op6_topk, op7_html_text, op8_substring_dedup, op9_decontamination, op10_simhash, op3_mixing_copies, op11_fill_in_middle, op12_collocations, op13_token_files)
 }
 
 #: Word lists of a text in DuckDB: A-Z lower-cased, then runs of anything but ASCII other than a-z and 0-9.
@@ -111,4 +131,29 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_fill_in_middle": f"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_in_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_in_middle.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {fill_in_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
+    "op12_collocations": f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '{collocations.UNKNOWN}') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM d),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, m, w[i:i + m - 1] AS ph FROM o, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, ph, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= {collocations.LEAST}),
+k AS (SELECT lang, m, ph, f, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.m, k.ph, k.f AS a, k.k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.f * k.f) // (x.f * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.ph = k.ph[1:k.k] JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.ph = k.ph[k.k + 1:k.m]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM s),
+z AS (SELECT lang, ph, max(f) AS f FROM (SELECT lang, ph[1:2] AS ph, f FROM c WHERE m = 3 UNION ALL SELECT lang, ph[2:3], f FROM c WHERE m = 3) GROUP BY ALL),
+q AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN z ON z.lang = b.lang AND z.ph = b.ph WHERE o = 1 AND (z.f IS NULL OR 100 * z.f < {collocations.INSIDE} * a)),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM e JOIN n USING (lang) WHERE rank <= {collocations.TOP}""",
 }
