@@ -39,8 +39,8 @@ LEAST = 10
 TOP = 2000
 #: Percentage of a phrase's count at which a longer phrase stands for it.
 INSIDE = 50
-SHARD_WORDS = 3_000_000
-RANGE_NODES = 4_000_000
+SHARD_WORDS = 1_500_000
+RANGE_NODES = 2_500_000
 MAX_RANGES = 20_000
 SAMPLE = 16_384
 #: Sampled paths per range that the driver sorts.
@@ -127,29 +127,42 @@ class Trie:
         code, v = rank[np.concatenate(shard.codes)], len(words)
         piece = np.concatenate(shard.pieces)
         parent, valid = of_lang[np.concatenate(shard.roots)], np.ones(len(code), bool)
-        above, paths, counts = (np.arange(len(langs)) + 1)[:, None], [], []
+        above, levels = (np.arange(len(langs)) + 1)[:, None].astype(np.int32), []
         for level in range(depth):
             if level:
                 valid = valid[:-1] & (piece[level:] == piece[: len(piece) - level])
                 parent = parent[: len(valid)]
             keys, node, count = np.unique((parent * v + code[level:])[valid], return_inverse=True, return_counts=True)
-            above = np.concatenate([above[keys // v], (keys % v + 1)[:, None]], axis=1).astype(np.int32)
-            paths.append(np.pad(above, ((0, 0), (0, depth - level - 1))))
-            counts.append(count)
+            above = np.concatenate([above[keys // v], (keys % v + 1)[:, None].astype(np.int32)], axis=1)
+            levels.append((above, keys // v, count))
             parent = np.full(len(valid), -1, np.int64)
             parent[valid] = node
-        paths, counts = np.concatenate(paths), np.concatenate(counts)
-        order = np.lexsort(paths.T[::-1])
-        return Trie(langs, words, paths[order], counts[order])
+        # depth-first places: a node comes after its parent and the subtrees of its lesser siblings
+        size, places = np.zeros(0, np.int64), []
+        for _, up, _ in reversed(levels):
+            size = 1 + (size if len(size) == len(up) else np.zeros(len(up), np.int64))
+            places.append(size)
+            size = np.bincount(up, size, len(langs) if len(places) == depth else len(levels[depth - len(places) - 1][1])).astype(np.int64)
+        total = int(size.sum())
+        paths, counts = np.zeros((total, depth + 1), np.int32), np.zeros(total, np.int64)
+        at = np.cumsum(size) - size - 1  # before the first node of each language
+        for level, (rows, up, count) in enumerate(levels):
+            own = places[depth - 1 - level]
+            before = np.cumsum(own) - own
+            first = np.searchsorted(up, up)
+            at = at[up] + 1 + before - before[first]
+            paths[at, : level + 2], counts[at] = rows, count
+        return Trie(langs, words, paths, counts)
 
     def slice(self, lo: int, hi: int) -> Trie:
         """A range of nodes with the words and languages that it needs."""
         paths = self.paths[lo:hi]
-        need, back = np.unique(paths[:, 1:], return_inverse=True)
-        back = back.reshape(paths[:, 1:].shape)
-        if not len(need) or need[0] != 0:
-            need, back = np.concatenate([[0], need]), back + 1
-        return Trie(self.langs, self.words.take(pa.array(need[1:] - 1)), np.concatenate([paths[:, :1], back.astype(np.int32)], axis=1), self.counts[lo:hi])
+        used = np.zeros(len(self.words) + 1, bool)
+        used[paths[:, 1:]] = True
+        used[0] = False
+        new = np.where(used, np.cumsum(used), 0).astype(np.int32)
+        words = self.words.take(pa.array(np.flatnonzero(used) - 1))
+        return Trie(self.langs, words, np.concatenate([paths[:, :1], new[paths[:, 1:]]], axis=1), self.counts[lo:hi])
 
     def dump(self) -> bytes:
         """Arrow bytes: of each node its depth, its last word and its count; the first one's path is whole."""
@@ -216,13 +229,16 @@ class Trie:
 def merged(tries: list[Trie]) -> Trie:
     """Sorted runs into one; equal paths become one node with the sum of their counts."""
     langs = sorted({x for t in tries for x in t.langs})
-    words = pc.unique(pa.chunked_array([t.words for t in tries], pa.binary()))
-    words = words.take(pc.array_sort_indices(words))
-    runs = []
+    coded = pa.concat_arrays([t.words for t in tries]).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    words, rank = coded.dictionary.take(order), np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+    places, runs, at = rank[coded.indices.to_numpy()], [], 0
     for t in tries:
-        own = np.concatenate([[0], pc.index_in(t.words, words).to_numpy() + 1]).astype(np.int32)
+        own = np.concatenate([[0], places[at : at + len(t.words)]]).astype(np.int32)
         own_lang = np.array([0, *[langs.index(x) + 1 for x in t.langs]], np.int32)
         runs.append(np.concatenate([own_lang[t.paths[:, :1]], own[t.paths[:, 1:]]], axis=1))
+        at += len(t.words)
     paths, counts = np.concatenate(runs), np.concatenate([t.counts for t in tries])
     if not len(counts):
         return Trie(langs, words, paths, counts)
