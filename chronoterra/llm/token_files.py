@@ -7,14 +7,15 @@ A file holds ids of a fixed width, the least number of bits that the vocabulary
 A block is BLOCK ids from a whole byte on, so an id range is read by its blocks alone. Eight ids of w
 bits fill w bytes; numpy packs and unpacks them all at once, lane by lane.
 
-``encode`` deals the texts by ranges of doc_id, sorts each range and turns it into ids; the data source
-``packed_ids`` writes a file for each range and reads files back. Every attempt of a task writes under
+``in_order`` deals the texts by ranges of doc_id and sorts each range; the data source ``packed_ids``
+turns a range into ids, writes a file for it, and reads files back. Every attempt of a task writes under
 a name of its own, and only the names that Spark commits get into the manifest, so a lost executor
 leaves at most a file that nobody reads. The driver handles one short line per file.
 
 Words are looked up: a text is cut at spaces, tabs and line ends, which the tokenizer drops and across
-which it never joins, and each distinct word of a batch goes through the tokenizer once. The ids are
-those of the whole text (tested); a tokenizer for which this doesn't hold takes ``by_words=False``.
+which it never joins, and before closing signs, where it never joins either; each distinct word goes
+through the tokenizer once, and a worker process remembers a bounded number of them. The ids are those
+of the whole text (tested); a tokenizer for which this doesn't hold takes ``by_words=False``.
 
 Defined cases: a null or empty text has the end id alone; very long texts are encoded whole; rows
 without doc_id come first; rows of one doc_id stay apart, in order of a digest of their texts; extra
@@ -25,9 +26,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,9 @@ END = 1
 #: Ids that a task of the reader gets, and that it hands on at once.
 READ_IDS, STEP_IDS = 8_000_000, 1_000_000
 #: Words whose ids a task remembers, and bytes of text that it encodes at once.
-MEMORY, STEP_BYTES = 500_000, 4_000_000
+MEMORY, STEP_BYTES = 250_000, 4_000_000
+#: Where a word may be cut: the tokenizer begins a new part at a sign after an ASCII letter or digit.
+_CLOSING = "([0-9A-Za-z])([.,;:!?)])"
 
 
 # ---- packing ---------------------------------------------------------------------------------
@@ -188,27 +193,37 @@ class _Piece(InputPartition):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits = path, bits
+    """Writes (doc_id, ids), or (doc_id, text) if it has a tokenizer."""
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        task = TaskContext.get()
-        shard, out, name = task.partitionId(), None, None
-        for b in iterator:
-            if not b.num_rows:
-                continue
-            if out is None:
-                files, folder = _filesystem(self.path)
-                files.create_dir(folder, recursive=True)
-                name = f"part-{shard:06d}-{uuid.uuid4().hex}.ids"
-                out = FileWriter(files.open_output_stream(f"{folder}/{name}"), self.bits)
-            docs, ids = b.column("doc_id"), b.column("ids")
-            size = pc.fill_null(pc.binary_length(ids), 0).to_numpy().astype(np.int64)
+    def __init__(self, path: str, bits: int, tokenizer: str | None, end: int, by_words: bool):
+        self.path, self.bits, self.tokenizer, self.end, self.by_words = path, bits, tokenizer, end, by_words
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(doc_ids, all ids, ids per document) of a batch, a bounded part at a time."""
+        if self.tokenizer is not None:
+            encoder = Encoder.of(self.tokenizer)
+            for b in by_bytes(batch.select(["doc_id", "text"]), 1, STEP_BYTES):
+                yield b.column(0), *encoder(b.column(1), self.end, self.by_words)
+            return
+        for b in by_bytes(batch.select(["doc_id", "ids"]), 1, STEP_BYTES):
+            ids = b.column(1)
             joined = b"".join(x.as_buffer() if x.is_valid else b"" for x in ids)
-            out.add(pc.fill_null(docs, 0).to_numpy(), docs.is_null().to_numpy(zero_copy_only=False), np.frombuffer(joined, "<u4"), size // 4)
+            yield b.column(0), np.frombuffer(joined, "<u4"), pc.fill_null(pc.binary_length(ids), 0).to_numpy().astype(np.int64) // 4
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        shard, out, name, n_docs = TaskContext.get().partitionId(), None, None, 0
+        for batch in iterator:
+            for docs, ids, lengths in self._parts(batch):
+                if out is None:
+                    files, folder = _filesystem(self.path)
+                    files.create_dir(folder, recursive=True)
+                    name = f"part-{shard:06d}-{uuid.uuid4().hex}.ids"
+                    out = FileWriter(files.open_output_stream(f"{folder}/{name}"), self.bits)
+                out.add(pc.fill_null(docs, 0).to_numpy(), docs.is_null().to_numpy(zero_copy_only=False), ids, lengths)
+                n_docs += len(lengths)
         if out is not None:
             out.close()
-        return _Written(shard, name, sum(map(len, out.docs)) if out else 0, out.ids if out else 0)
+        return _Written(shard, name, n_docs, out.ids if out else 0)
 
     def commit(self, messages: list) -> None:
         files, folder = _filesystem(self.path)
@@ -263,7 +278,7 @@ class _Reader(DataSourceReader):
 
 
 class PackedIds(DataSource):
-    """``spark.read.format("packed_ids").load(path)``; written from (doc_id, ids) by ``write_token_files``."""
+    """``spark.read.format("packed_ids").load(path)``; written by ``write_token_files``."""
 
     @classmethod
     def name(cls) -> str:
@@ -276,54 +291,102 @@ class PackedIds(DataSource):
         return _Reader(self.options["path"], int(self.options.get("ids_per_task", READ_IDS)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options["bits"]))
+        o = self.options
+        return _Writer(o["path"], int(o["bits"]), o.get("tokenizer"), int(o.get("end", END)), o.get("by_words", "true") == "true")
 
 
 # ---- encoding --------------------------------------------------------------------------------
 
 
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _letter_table(tokenizer) -> dict[int, str] | None:
+    """What the tokenizer's byte alphabet makes of Latin letters; None unless all that it does to a word of
+    letters before its model is to lower it and to write its bytes in that alphabet."""
+    parts = json.loads(tokenizer.to_str())
+    steps = lambda x, name: (x or {}).get(name) or [x or {}]
+    lower = [x.get("type") for x in steps(parts["normalizer"], "normalizers")]
+    cuts = steps(parts["pre_tokenizer"], "pretokenizers")
+    if lower != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, alphabet = cuts
+    whole = split["behavior"] == "Removed" and split["invert"] and r"[\p{L}]+" in split["pattern"].get("Regex", "")
+    if not whole or alphabet["add_prefix_space"] or alphabet["use_regex"]:
+        return None
+    from tokenizers import pre_tokenizers
+
+    written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = [chr(c) for c in range(256) if _LETTERS.fullmatch(chr(c)) and chr(c).islower()]
+    return {ord(c): written.pre_tokenize_str(c)[0][0] for c in letters}
+
+
 class Encoder:
-    """A tokenizer with the ids of words that it has met."""
+    """A tokenizer with the ids of words that it has met, in two generations of at most MEMORY words each."""
 
-    def __init__(self, path: str, end: int = END, by_words: bool = True):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+    _kept: dict[str, Encoder] = {}
 
-        self.tokenizer, self.end, self.by_words = Tokenizer.from_file(path), end, by_words
-        self.known: dict[str, np.ndarray] = {}
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder that this worker process has for a file; words that earlier tasks met are known."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _letter_table(self.tokenizer)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32. A word of letters alone goes to the tokenizer's model as it is."""
+        simple = [_LETTERS.fullmatch(t) is not None for t in texts] if self.letters else [False] * len(texts)
+        other = iter(self._encoded([t for t, s in zip(texts, simple, strict=True) if not s]))
+        split, letters = self.model.tokenize, self.letters
+        ids = [[x.id for x in split(t.lower().translate(letters))] if s else next(other) for t, s in zip(texts, simple, strict=True)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        return [flat[4 * a : 4 * b] for a, b in pairwise(accumulate(map(len, ids), initial=0))]
+
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), 5_000):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 5_000], add_special_tokens=False))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        if new := [w for w in words if w not in young]:
+            if len(young) + len(new) > MEMORY:
+                self.old, self.young = young, {}
+                young, old, new = self.young, young, words
+            young.update((w, old[w]) for w in new if w in old)
+            fresh = [w for w in new if w not in old]
+            young.update(zip(fresh, self._ids(fresh), strict=True))
+        return [young[w] for w in words]
+
+    def __call__(self, texts: pa.Array, end: int = END, by_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and their number by text."""
         texts = pc.fill_null(texts, "")
-        if self.by_words:
+        if by_words:
             for c in "\t\n\r":
                 texts = pc.replace_substring(texts, c, " ")
-            lists = pc.split_pattern(texts, " ")
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, _CLOSING, r"\1 \2"), " ")
             of_text, words = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
+            parts = self._words(words.dictionary.to_pylist())
         else:
             of_text, words = np.ones(len(texts), np.int64), texts.dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.known]:
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = distinct
-            for i in range(0, len(new), 10_000):
-                self.known.update(zip(new[i : i + 10_000], self._ids(new[i : i + 10_000]), strict=True))
-        parts = [self.known[w] for w in distinct]
-        if not self.by_words:
-            self.known.clear()
-        size = np.array([len(p) for p in parts], np.int64)
-        flat, first = np.concatenate([*parts, np.array([], np.uint32)]), np.cumsum(size) - size
+            parts = self._ids(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         code = words.indices.to_numpy().astype(np.int64)
         of_word = size[code]
         last = np.cumsum(of_word)
         source = np.arange(last[-1] if len(last) else 0) + np.repeat(first[code] - last + of_word, of_word)
         upto = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(of_text)])]
         lengths = np.diff(upto) + 1
-        out = np.full(int(lengths.sum()), self.end, np.uint32)
+        out = np.full(int(lengths.sum()), end, np.uint32)
         out[np.arange(len(source)) + np.repeat(np.arange(len(texts)), lengths - 1)] = flat[source]
         return out, lengths
 
@@ -339,29 +402,23 @@ def by_bytes(batch: pa.RecordBatch, column: int, step: int) -> Iterator[pa.Recor
         i = j
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", end: int = END, by_words: bool = True) -> DataFrame:
-    """(doc_id, ids) with ids as little-endian uint32, dealt by ranges of doc_id and sorted in each."""
+def in_order(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text) dealt by ranges of doc_id and sorted in each."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # equal doc_ids are told apart by digest and row, so that no number of them makes a range that can't be split
     keyed = own.select("doc_id", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"), "text")
     order = ["doc_id", "digest", "row"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end, by_words)
-        for whole in batches:
-            for b in by_bytes(whole, 1, STEP_BYTES):
-                ids, lengths = encoder(b.column(1))
-                at = np.concatenate([[0], np.cumsum(lengths)]) * 4
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])], ["doc_id", "ids"])
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    return dealt.mapInArrow(run, "doc_id long, ids binary")
 
+def write_token_files(rows: DataFrame, path: str, vocabulary: int, tokenizer: str | None = None, end: int = END, by_words: bool = True) -> None:
+    """A packed file for every partition of ``rows``, in the partitions' order, and the manifest.
 
-def write_token_files(encoded: DataFrame, path: str, vocabulary: int) -> None:
-    """A packed file for every partition of (doc_id, ids), in the partitions' order, and the manifest."""
-    encoded.sparkSession.dataSource.register(PackedIds)
-    encoded.write.format("packed_ids").option("bits", str(width_of(vocabulary))).mode("append").save(path)
+    ``rows`` are (doc_id, ids), ids as little-endian uint32, or with a ``tokenizer`` (doc_id, text).
+    """
+    rows.sparkSession.dataSource.register(PackedIds)
+    options = {"bits": str(width_of(vocabulary)), "end": str(end), "by_words": str(by_words).lower()} | ({"tokenizer": tokenizer} if tokenizer else {})
+    rows.write.format("packed_ids").options(**options).mode("append").save(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids_per_task: int = READ_IDS) -> DataFrame:
@@ -380,5 +437,5 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, text:
     """Encodes, writes and reads back: one row per document, from the files."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_token_files(encode(docs, tokenizer, text, end, by_words), path, max(end + 1, vocabulary_of(tokenizer)))
+    write_token_files(in_order(docs, text), path, max(end + 1, vocabulary_of(tokenizer)), tokenizer, end, by_words)
     return read_token_files(spark, path)
