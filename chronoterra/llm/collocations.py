@@ -39,8 +39,8 @@ LEAST = 10
 TOP = 2000
 #: Percentage of a phrase's count at which a longer phrase stands for it.
 INSIDE = 50
-SHARD_WORDS = 1_500_000
-RANGE_NODES = 2_500_000
+SHARD_WORDS = 800_000
+RANGE_NODES = 1_500_000
 MAX_RANGES = 20_000
 SAMPLE = 16_384
 #: Sampled paths per range that the driver sorts.
