@@ -42,7 +42,9 @@ INSIDE = 50
 SHARD_WORDS = 800_000
 RANGE_NODES = 1_500_000
 MAX_RANGES = 20_000
-SAMPLE = 16_384
+#: Nodes of a row of a serialised trie.
+CHUNK_NODES = 65_536
+SAMPLE = 8192
 #: Sampled paths per range that the driver sorts.
 PER_RANGE = 20
 SALTS = 16
@@ -278,8 +280,8 @@ def shard_tries(docs: DataFrame, text: str = "text", lang: str = "lang", depth:
 
     def told(shard: Shard) -> Iterator[pa.RecordBatch]:
         trie = Trie.of(shard, depth)
-        for lo in range(0, len(trie.counts), RANGE_NODES // 8):
-            part = trie.slice(lo, lo + RANGE_NODES // 8)
+        for lo in range(0, len(trie.counts), CHUNK_NODES):
+            part = trie.slice(lo, lo + CHUNK_NODES)
             spelled = part.spelled(np.arange(SAMPLE // 2, len(part.counts), SAMPLE))
             sample = [[p[0].encode(), *p[1:]] for p in spelled]
             yield pa.RecordBatch.from_arrays([pa.array([part.dump()], pa.binary()), pa.array([len(part.counts)], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.binary())))], ["trie", "nodes", "sample"])
@@ -313,6 +315,7 @@ def shard_tries(docs: DataFrame, text: str = "text", lang: str = "lang", depth:
                 i = j
         if shard.words:
             yield from told(shard)
+        pa.default_memory_pool().release_unused()  # the process lives on between tasks
 
     return own.mapInArrow(run, f"trie binary, nodes long, sample array<{_PATH}>")
 
@@ -376,6 +379,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", depth
                     size = min(size // 2, len(waiting[0].counts) // 2)  # room for as much again
         if waiting:
             yield from settle()
+        pa.default_memory_pool().release_unused()
 
     parts = tries.select("trie").mapInArrow(cut, "part int, trie binary")
     ranges = parts.repartition("part").sortWithinPartitions("part")

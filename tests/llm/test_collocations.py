@@ -61,7 +61,7 @@ def test_collocations_equal_plain_counting(spark, seed):
 
 def test_many_shards_ranges_and_parts(spark, monkeypatch):
     rows = sample(9, 300) + [("new york " * 2000 + ". the of, " * 500, "en")]
-    for name, value in {"SHARD_WORDS": 200, "RANGE_NODES": 90, "SAMPLE": 7, "STEP_BYTES": 500}.items():
+    for name, value in {"SHARD_WORDS": 200, "RANGE_NODES": 90, "CHUNK_NODES": 40, "SAMPLE": 7, "STEP_BYTES": 500}.items():
         monkeypatch.setattr(co, name, value)
     docs = spark.createDataFrame(rows, "text string, lang string")
     bounds = co.prefix_bounds(co.shard_tries(docs))
