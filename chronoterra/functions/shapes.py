@@ -147,7 +147,8 @@ def _close(ring: Column) -> Column:
 
 
 def clip(ring: Column, window: Column) -> Column:
-    """The part of the ring inside a convex window: one half-plane after the other."""
+    """The part of a convex ring inside a convex window: one half-plane after the other. Parts of a concave ring
+    would be joined along the window's edge; operators/overlays takes shapes of any form."""
     return _close(F.aggregate(_edges(window), _open(ring), lambda r, e: _half(r, e["a"], e["b"])))
 
 

@@ -21,7 +21,7 @@ from .spatial import circles
 
 
 def clip(rows: DataFrame, window: Column) -> DataFrame:
-    """(feature_id, ring): the parts of the rings inside a convex window; features outside it are absent."""
+    """(feature_id, ring): the part of each convex ring inside a convex window; features outside it are absent. For other shapes see overlays."""
     return rows.filter(shapes.intersects(F.col("ring"), window)).select("feature_id", shapes.clip(F.col("ring"), window).alias("ring")).filter("size(ring) > 0")
 
 
@@ -105,28 +105,15 @@ def overlapping_pairs(rows: DataFrame, cell: float) -> DataFrame:
     return spatial_join(rows, rows, "intersects", cell).filter("a < b")
 
 
-def union_pieces(rows: DataFrame, cell: float, by: str | None = None) -> DataFrame:
-    """(feature_id, key, rings): disjoint rings that together cover what the convex, counter-clockwise rings cover, per value of ``by``.
-
-    Each feature gives up what features of smaller id (and of the same key) cover; it meets only those
-    whose boxes share a grid cell with its own, so no group is gathered in one place.
-    """
-    own = rows.select("feature_id", (F.col(by) if by else F.lit(None).cast("string")).alias("key"), "ring")
-    pairs = spatial_join(own, own.select("feature_id", "ring", F.col("key").alias("b_key"), F.col("ring").alias("b_ring_")), "intersects", cell, keep=("b_key", "b_ring_")).filter("b < a")
-    met = pairs.join(own.select(F.col("feature_id").alias("a"), "key"), "a").filter(F.col("key").eqNullSafe(F.col("b_key")))
-    before = met.groupBy("a").agg(F.collect_list("b_ring_").alias("before")).withColumnRenamed("a", "feature_id")
-    told = own.join(before, "feature_id", "left")
-    rest = F.aggregate(F.coalesce("before", F.array().cast(f"array<array<{shapes.POINT}>>")), F.array("ring"), lambda pieces, b: F.flatten(F.transform(pieces, lambda p: shapes.difference(p, b))))
-    return told.select("feature_id", "key", rest.alias("rings"))
-
-
 def union_area(rows: DataFrame, cell: float, by: str | None = None) -> DataFrame:
-    """(key, n, area, planar): features, and the area that they cover together, in square metres on the sphere and square degrees; one row of zeros for no features and no key."""
-    pieces = union_pieces(rows, cell, by)
-    add = lambda f: F.aggregate(F.transform("rings", f), F.lit(0.0), lambda s, v: s + v)
-    own = pieces.select("key", add(shapes.sphere_area).alias("area"), add(lambda r: F.abs(shapes.twice_area(r)) / 2).alias("planar"))
-    total = [F.count("*").alias("n"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), F.coalesce(F.sum("planar"), F.lit(0.0)).alias("planar")]
-    return own.groupBy("key").agg(*total) if by else own.agg(*total).select(F.lit(None).cast("string").alias("key"), "*")
+    """(key, n, area, planar): features, and the area that their rings cover together, in square metres on the sphere and square degrees; one row of zeros for no features and no key."""
+    from .overlays import as_shape, covered_area
+
+    own = rows.select((F.col(by) if by else F.lit(None).cast("string")).alias("key"), as_shape(F.col("ring")).alias("shape"))
+    counts = own.groupBy("key").agg(F.count("*").alias("n")) if by else own.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("key"), "n")
+    areas = covered_area(own, cell).withColumnRenamed("key", "of")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("area", "planar")]
+    return counts.join(areas, counts["key"].eqNullSafe(areas["of"]), "left").select("key", "n", *zero)
 
 
 def tiles_of(rows: DataFrame, zoom: int) -> DataFrame:
