@@ -120,7 +120,7 @@ def within(one: Column, other: Column) -> Column:
     return F.forall(one, lambda p: in_ring(p, other)) & ~edges_cross(one, other)
 
 
-def _half(ring: Column, a: Column, b: Column, left: bool = True) -> Column:
+def half_plane(ring: Column, a: Column, b: Column, left: bool = True) -> Column:
     """The part of an open ring on the left (else right) of the line from a to b, as an open ring."""
     sign, none = (1 if left else -1), F.array().cast(f"array<{POINT}>")
 
@@ -141,7 +141,7 @@ def _open(ring: Column) -> Column:
     return F.slice(ring, 1, F.size(ring) - 1)
 
 
-def _close(ring: Column) -> Column:
+def close_ring(ring: Column) -> Column:
     """A closed ring; an empty array where fewer than three corners are left."""
     return _let(ring, lambda r: F.when(F.size(r) > 2, F.concat(r, F.slice(r, 1, 1))).otherwise(F.array().cast(f"array<{POINT}>")))
 
@@ -149,20 +149,20 @@ def _close(ring: Column) -> Column:
 def clip(ring: Column, window: Column) -> Column:
     """The part of a convex ring inside a convex window: one half-plane after the other. Parts of a concave ring
     would be joined along the window's edge; operators/overlays takes shapes of any form."""
-    return _close(F.aggregate(_edges(window), _open(ring), lambda r, e: _half(r, e["a"], e["b"])))
+    return close_ring(F.aggregate(_edges(window), _open(ring), lambda r, e: half_plane(r, e["a"], e["b"])))
 
 
 def difference(ring: Column, window: Column) -> Column:
     """Rings that make up the part outside a convex window: beyond each of its edges, within those before."""
     start = F.struct(_open(ring).alias("rest"), F.array().cast(f"array<array<{POINT}>>").alias("out"))
-    step = lambda s, e: F.struct(_half(s["rest"], e["a"], e["b"]).alias("rest"), F.concat(s["out"], F.array(_half(s["rest"], e["a"], e["b"], left=False))).alias("out"))
+    step = lambda s, e: F.struct(half_plane(s["rest"], e["a"], e["b"]).alias("rest"), F.concat(s["out"], F.array(half_plane(s["rest"], e["a"], e["b"], left=False))).alias("out"))
     pieces = F.aggregate(_edges(window), start, step, lambda s: s["out"])
-    return F.filter(F.transform(pieces, _close), lambda r: (F.size(r) > 0) & (F.abs(twice_area(r)) > 1e-12))
+    return F.filter(F.transform(pieces, close_ring), lambda r: (F.size(r) > 0) & (F.abs(twice_area(r)) > 1e-12))
 
 
 def split(ring: Column, a: Column, b: Column) -> Column:
     """The parts left and right of the line through two positions; one ring if the line misses."""
-    parts = _let(_open(ring), lambda r: F.array(_close(_half(r, a, b)), _close(_half(r, a, b, left=False))))
+    parts = _let(_open(ring), lambda r: F.array(close_ring(half_plane(r, a, b)), close_ring(half_plane(r, a, b, left=False))))
     return F.filter(parts, lambda r: (F.size(r) > 0) & (F.abs(twice_area(r)) > 1e-12))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import shapes
-from .operators import overlays
+from .operators import nearest, overlays
 from .queries import _CUST, _SUPP, _points, query
 
 
@@ -99,3 +99,32 @@ def union_outlines(spark, sf):
     steps = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]))
     border = F.aggregate(F.flatten(F.transform("polygon", steps)), F.lit(0.0), lambda s, v: s + v)
     return out.groupBy("key").agg(F.round(F.sum(overlays.planar_area(F.array("polygon"))), 6).alias("area"), F.round(F.sum(border), 6).alias("border"))
+
+
+# ---- neighbourhoods --------------------------------------------------------------------------
+
+_NEAREST = "row_number() OVER (PARTITION BY a.feature_id ORDER BY sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)), b.feature_id)"
+
+
+@query(f"WITH a AS {_CUST}, b AS {_SUPP}, r AS (SELECT a.feature_id AS a, b.feature_id AS b, sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)) AS d, ({_NEAREST})::INT AS rank FROM a, b) SELECT a, rank, b, round(d, 6) AS d FROM r WHERE rank <= 5")
+def nearest_join(spark, sf):
+    out = nearest.knn_join(_points(spark, sf, "customer", "c"), _points(spark, sf, "supplier", "s"), 5)
+    return out.select("a", "rank", "b", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH a AS {_SUPP}, b AS {_SUPP}, r AS (SELECT a.feature_id AS a, b.feature_id AS b, sqrt(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)) AS d, ({_NEAREST})::INT AS rank FROM a JOIN b ON a.feature_id <> b.feature_id) SELECT a, rank, b, round(d, 6) AS d FROM r WHERE rank <= 3")
+def nearest_others(spark, sf):
+    s = _points(spark, sf, "supplier", "s")
+    return nearest.knn_join(s, s, 3, other=True).select("a", "rank", "b", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH a AS {_CUST}, b AS {_SUPP}, r AS (SELECT a.feature_id AS a, b.feature_id AS b, ({_NEAREST}) AS rank FROM a, b) SELECT a, b FROM r WHERE rank = 1")
+def voronoi_members(spark, sf):
+    """The supplier in whose Voronoi cell each customer lies; SQL asks for the nearest one."""
+    cells = nearest.voronoi(_points(spark, sf, "supplier", "s"), (-180.0, -90.0, 180.0, 90.0))
+    size = 10.0
+    at = lambda v: F.floor(v / size).cast("long")
+    box = shapes.bounds(F.col("ring"))
+    dealt = cells.withColumn("box", box).withColumn("i", F.explode(F.sequence(at(F.col("box.xmin")), at(F.col("box.xmax"))))).withColumn("j", F.explode(F.sequence(at(F.col("box.ymin")), at(F.col("box.ymax")))))
+    p = _points(spark, sf, "customer", "c").select(F.col("feature_id").alias("a"), F.struct(F.col("lng").alias("x"), F.col("lat").alias("y")).alias("p"), at(F.col("lng")).alias("i"), at(F.col("lat")).alias("j"))
+    return p.join(dealt, ["i", "j"]).filter(shapes.in_ring(F.col("p"), F.col("ring"))).select("a", F.col("feature_id").alias("b"))
