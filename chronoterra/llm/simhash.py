@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
+from . import near_copies
 from .common import checkpoint, scratch
 
 SHINGLE = 3
@@ -59,17 +60,16 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, digest: Column | None = None) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long; with a ``digest``, that too."""
-    more = [] if digest is None else ["digest"]
+def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of every row, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([fingerprint(x.as_py(), k) for x in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"), *([] if digest is None else [digest.alias("digest")]))
-    return own.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, fp long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -135,19 +135,19 @@ def simhash_groups(docs: DataFrame, text: str = "text", k: int = SHINGLE, bits:
 BROADCAST_ROWS = 1_000_000
 
 
-def keep_one(docs: DataFrame, text: str = "text", k: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each group: smallest doc_id (null after all others), then smallest digest of the text.
+def keep_one(docs: DataFrame, text: str = "text", k: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """One row of each group of near copies: smallest doc_id (null after all others), then smallest digest of the text.
 
-    Which rows go is decided on (doc_id, digest) alone. Only the rows to leave out are joined to the
-    documents, as a broadcast where their number allows it, so that texts stay where they are. Rows that
-    agree in doc_id and text are one document: one of them stays.
+    Texts whose k-word shingles are as similar as asked are linked (see near_copies). Which rows go is
+    decided on (doc_id, digest) alone. Only the rows to leave out are joined to the documents, as a
+    broadcast where their number allows it, so that texts stay where they are. Rows that agree in doc_id
+    and text are one document: one of them stays.
     """
-    digest = F.xxhash64(F.col(text).cast("string"))
-    own = scratch(fingerprints(docs, text, k, digest), "simhash")
+    own = scratch(near_copies.signatures(docs, text, k), "near")
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
-    rows = own.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
-    fps = own.groupBy("fp").agg(F.min(rank).alias("best"))
-    rooted = fps.join(_rooted(own, bits), "fp", "left")
+    rows = own.groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n"))
+    classes = own.groupBy("class").agg(F.min(rank).alias("best"))
+    rooted = classes.join(near_copies.similar_classes(docs, own, text, k, similarity), "class", "left")
     linked = rooted.filter("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
     best = rooted.filter("root is null").select("best").union(linked).select("best.doc_id", "best.digest", F.lit(True).alias("stays"))
     told = rows.join(best, rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["digest"] == best["digest"]), "left").filter("stays is null or n > 1")
@@ -155,7 +155,8 @@ def keep_one(docs: DataFrame, text: str = "text", k: int = SHINGLE, bits: int =
     n, repeated = told.agg(F.count("*"), F.count_if("_stays")).first()
     if not n:
         return docs
-    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest.alias("_digest"))
+    digest = F.xxhash64(F.col(text).cast("string"))
+    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest.alias("_digest"))
     told = F.broadcast(told) if n <= BROADCAST_ROWS else told.hint("shuffle_hash")
     met = named.join(told, named["_id"].eqNullSafe(told["_d"]) & (named["_digest"] == told["_h"]), "left")
     out = met.filter("_stays is null").select("_row.*")

@@ -15,6 +15,7 @@ from chronoterra.llm import decontamination, language_id, pii, queries, simhash,
 from chronoterra.operators import clusters
 
 from ..oracle import SMALL
+from .test_near_copies import near_groups
 
 
 # ---- simhash ---------------------------------------------------------------------------------
@@ -84,18 +85,19 @@ def test_keep_one_is_exact_per_row(spark, monkeypatch, broadcast):
     long = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
     a, b, c = map(long, range(3))
     rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, b + " more", "x"), (None, c, "y"), (None, long(3), "n"), (None, long(3), "n"), (8, c, "z"), (9, long(4), "p"), (9, long(4), "q"), (10, None, "e"), (11, "", "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
-    fps = [(i, t, slow_fingerprint(t)) for i, t, _ in rows]
-    links = [(u, v) for u, v in combinations({f for *_, f in fps}, 2) if (u ^ v).bit_count() <= 2]
-    root, groups = components(links), {}
-    for i, t, f in fps:
-        groups.setdefault(root.get(f, f), set()).add((i, t))
-    assert len(got) == len(groups)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `f.p` string")
+    kept_rows = simhash.keep_one(docs)
+    assert kept_rows.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept_rows.collect()]
+    groups = {}
+    for (i, t, _), g in zip(rows, near_groups([t for _, t, _ in rows]), strict=True):
+        groups.setdefault(g, set()).add((i, t))
+    assert len(got) == len(groups) == 6
     for members in groups.values():
         known = {i for i, _ in members if i is not None}
         kept = [x for x in got if x in members]
         assert len(kept) == 1 and kept[0][0] == (min(known) if known else None)
+    assert simhash.keep_one(docs.filter("false")).collect() == []
 
 
 @pytest.mark.parametrize("heavy", [50_000, 3])

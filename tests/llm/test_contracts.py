@@ -1,12 +1,12 @@
 """Queries with SQL against it at sf0.001, and the odd cases every operator has to bear."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronoterra.llm import decontamination, html_text, language_id, line_dedup, mixing, pii, queries, simhash, substring_dedup, topk, toxicity
 
 from ..oracle import SMALL, assert_same
+from .test_near_copies import near_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _s string, _p string, h long, k long, score string, keys string, host string"
 LONG = "lorem ipsum dolor " * 20_000
@@ -104,7 +104,7 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     want = mixing.mixing_probabilities(docs).filter("sampled").select("doc_id")
     assert last.select("doc_id").exceptAll(want).count() == 0 == want.exceptAll(last.select("doc_id")).count()
     # what the earlier stages decide holds for their results: nothing left to link or to find
-    groups = simhash.simhash_groups(docs)
-    assert groups.filter(F.col("doc_id") != F.col("component_id")).count() == 0
+    texts = [r.text for r in docs.collect()]
+    assert len(set(near_groups(texts))) == len(texts)
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert decontamination.contamination(docs, bench, shortest=decontamination.FILTER_SHORTEST).filter("contaminated").count() == 0

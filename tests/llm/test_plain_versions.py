@@ -11,10 +11,10 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from chronoterra.llm import decontamination, html_text, language_id, line_dedup, mixing, simhash, toxicity
+from chronoterra.llm import decontamination, html_text, language_id, line_dedup, mixing, toxicity
 
 from ..oracle import SMALL
-from .test_brute_force import components, slow_fingerprint
+from .test_near_copies import near_groups
 
 
 # ---- language --------------------------------------------------------------------------------
@@ -133,13 +133,9 @@ def plain_line_dedup(docs):
 
 
 def plain_near_dedup(docs):
-    fps = [slow_fingerprint(d["text"]) for d in docs]
-    known = sorted(set(fps))
-    root = components([(u, v) for i, u in enumerate(known) for v in known[i + 1 :] if (u ^ v).bit_count() <= simhash.BITS])
     best = {}
     signed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42)  # noqa: E731  any order among texts of one id will do
-    for d, f in zip(docs, fps, strict=True):
-        k = root.get(f, f)
+    for d, k in zip(docs, near_groups([d["text"] for d in docs]), strict=True):
         rank = (d["doc_id"] is None, d["doc_id"] or 0, signed(d["text"]))
         if k not in best or rank < best[k][0]:
             best[k] = rank, d
