@@ -503,4 +503,4 @@ _whole(visible_datasets, " AND c_custkey % 97 = 5")
 _whole(access_levels, "c_custkey % 13 = 0 AND ")
 
 
-from . import more_queries, shape_queries  # noqa: E402, F401  register their own
+from . import log_queries, more_queries, shape_queries  # noqa: E402, F401  register their own
