@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import shapes
-from .operators import nearest, overlays
+from .operators import nearest, overlays, vector_tiles
 from .queries import _CUST, _SUPP, _points, query
 
 
@@ -128,3 +128,23 @@ def voronoi_members(spark, sf):
     dealt = cells.withColumn("box", box).withColumn("i", F.explode(F.sequence(at(F.col("box.xmin")), at(F.col("box.xmax"))))).withColumn("j", F.explode(F.sequence(at(F.col("box.ymin")), at(F.col("box.ymax")))))
     p = _points(spark, sf, "customer", "c").select(F.col("feature_id").alias("a"), F.struct(F.col("lng").alias("x"), F.col("lat").alias("y")).alias("p"), at(F.col("lng")).alias("i"), at(F.col("lat")).alias("j"))
     return p.join(dealt, ["i", "j"]).filter(shapes.in_ring(F.col("p"), F.col("ring"))).select("a", F.col("feature_id").alias("b"))
+
+
+# ---- tiles -----------------------------------------------------------------------------------
+
+_TILED = f"""b AS (SELECT feature_id, seg, (lng + 180) / 360 * 16 AS x0, (lng + 1 + feature_id % 4 + 180) / 360 * 16 AS x1,
+(1 - ln(tan(radians(lat + 1 + feature_id % 3)) + 1 / cos(radians(lat + 1 + feature_id % 3))) / pi()) / 2 * 16 AS y0, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16 AS y1 FROM {_CUST} WHERE lng < 170 AND lat BETWEEN -80 AND 80),
+t AS (SELECT *, unnest(range(floor(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS tx FROM b), u AS (SELECT *, unnest(range(floor(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS ty FROM t),
+p AS (SELECT tx, ty, feature_id, seg, greatest(-64, round((x0 - tx) * 4096)) AS a, greatest(-64, round((y0 - ty) * 4096)) AS b, least(4160, round((x1 - tx) * 4096)) AS c, least(4160, round((y1 - ty) * 4096)) AS d FROM u)"""
+
+
+@query(f"WITH {_TILED} SELECT tx, ty, feature_id, round((c - a) * (d - b), 3)::DOUBLE AS area, seg, feature_id % 7 AS seven FROM p")
+def shape_tiles(spark, sf):
+    """Boxes in the vector tiles of zoom 4, decoded from their bytes."""
+    k, x, y = F.col("feature_id"), F.col("lng"), F.col("lat")
+    boxes = _points(spark, sf, "customer", "c").filter("lng < 170 and lat between -80 and 80").select(
+        "feature_id", F.lit(vector_tiles.POLYGON).alias("kind"), overlays.as_shape(_rect(x, y, x + 1 + k % 4, y + 1 + k % 3)).alias("shape"),
+        F.create_map(F.lit("seg"), F.to_json(F.array("seg")).substr(F.lit(2), F.length("seg") + 2), F.lit("seven"), (k % 7).cast("string")).alias("attributes"),
+    )
+    out = vector_tiles.decoded(vector_tiles.shape_tiles(boxes, 4))
+    return out.select("tx", "ty", "feature_id", F.round("area", 3).alias("area"), F.get_json_object(F.concat(F.lit('{"s":'), F.col("tags")["seg"], F.lit("}")), "$.s").alias("seg"), F.col("tags")["seven"].cast("long").alias("seven"))
