@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoterra-"))
-    return sc.getCheckpointDir()
+    """The shared folder of the cluster; a temporary one only where none is configured and the master is local (tests)."""
+    return shared_folder(spark)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -52,6 +50,11 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, rows)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_name(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has."""
     names, name = {c.lower() for c in df.columns}, base

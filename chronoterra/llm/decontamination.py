@@ -172,8 +172,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     An item of fewer words than ``shortest`` counts where it is the whole document.
     """
     _, passes = _passes(benchmark)
-    clean = docs
-    spark = docs.sparkSession
+    clean = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    spark, schema = docs.sparkSession, clean.schema
     for items in passes:
         short = {tuple(w) for _, t in items if 0 < len(w := words(t)) < shortest}
         held = spark.sparkContext.broadcast((WuManber(items, window, shortest), short))
@@ -188,5 +188,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     keep.append(not engine.search(w)[0] and tuple(w[:shortest]) not in whole)
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        clean = clean.mapInArrow(run, docs.schema)
-    return clean
+        clean = clean.mapInArrow(run, schema)
+    return clean.toDF(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, with_name
+from .common import checkpoint, quoted, with_name
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -60,4 +60,4 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
             text: fresh,
         }
     )
-    return counted.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return counted.select(*[quoted(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

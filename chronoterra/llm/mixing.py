@@ -55,7 +55,7 @@ def tokens(text: Column) -> Column:
 
 def _categories(docs: DataFrame) -> DataFrame:
     """The input as one struct, so that its column names clash with none of ours, and what is raked."""
-    return docs.select(F.struct(*docs.columns).alias("_row")).select(
+    return docs.select(F.struct("*").alias("_row")).select(
         "_row",
         F.coalesce(F.col("_row.source").cast("string"), F.lit("")).alias("_s"),
         F.coalesce(F.col("_row.lang").cast("string"), F.lit("")).alias("_l"),
@@ -121,7 +121,7 @@ def mixing_probabilities(docs: DataFrame, keep: float = KEEP, rounds: int = ROUN
     times = F.coalesce("_rate", F.lit(keep))
     once = F.least(F.lit(1.0), times)
     fresh = {"topic": F.col("topic"), "n_tokens": F.col("n_tokens"), "probability": once, "sampled": draw < once, "copies": F.floor(times) + (draw < times - F.floor(times)).cast("long")}
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
 
 
 def oracle(keep: float = KEEP, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> str:

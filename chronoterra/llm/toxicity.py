@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpoint, slices
+from .common import checkpoint, quoted, slices
 
 MAX_TRAIN = 12_000
 #: Expected number of features that pass by chance.
@@ -344,8 +344,9 @@ def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text:
     cut = best_cut(train, model, weights, base) if weights else 1.0
     held = docs.sparkSession.sparkContext.broadcast((model, weights, base))
     kept = [c for c in (docs.columns if columns is None else columns) if c != "score" or text == "score"]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text in kept else [F.col(f"`{text}`")]))
-    at = own.columns.index(text)
+    names = kept if text in kept else [*kept, text]
+    own = docs.select(*[quoted(c) for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
+    at, fields = names.index(text), own.columns[: len(kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored: dict[str, str] = {}
@@ -353,6 +354,6 @@ def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text:
         for b in batches:
             for part in slices(b):
                 s = [score(raw_score(t.as_py(), *held.value, restored, words), cut) for t in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s, pa.float64())], [*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s, pa.float64())], [*fields, "score"])
 
-    return own.mapInArrow(run, StructType([*own.schema.fields[: len(kept)], StructField("score", DoubleType())]))
+    return own.mapInArrow(run, StructType([*own.schema.fields[: len(kept)], StructField("score", DoubleType())])).toDF(*kept, "score")
