@@ -157,7 +157,7 @@ def convex_hull(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in kept], pa.float64()), pa.array([p[1] for p in kept], pa.float64())], ["x", "y"])
 
     points = rows.filter("lng is not null and lat is not null").select(F.col("lng").cast("double"), F.col("lat").cast("double"))
-    last = points.mapInArrow(corners, "x double, y double").coalesce(1).mapInArrow(corners, "x double, y double")  # corners of hulls alone
+    last = points.mapInArrow(corners, "x double, y double").repartition(1).mapInArrow(corners, "x double, y double")  # corners of hulls alone
     ring = last.agg(F.collect_list(F.struct("x", "y")).alias("ring")).filter("size(ring) > 0")
     return ring.select(F.concat("ring", F.slice("ring", 1, 1)).alias("ring")).withColumn("area", shapes.sphere_area(F.col("ring")))
 
