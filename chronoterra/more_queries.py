@@ -483,10 +483,10 @@ def network_tour(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a, b, round(max(s), 6) AS score FROM (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_cosine_similarity(x.v, y.v) AS s
-FROM v x JOIN v y ON x.id <> y.id WHERE y.id % 100 = 0) WHERE s > 0.5 GROUP BY 1, 2""")
+FROM v x JOIN v y ON x.id <> y.id WHERE y.id % 100 = 0) WHERE s > 0.3 GROUP BY 1, 2""")
 def vector_duplicates(spark, sf):
     v = _vectors(spark, sf)
-    return similarity.duplicates(v, v.filter("id % 100 = 0"), 0.5).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.duplicates(v, v.filter("id % 100 = 0"), 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS a FROM v, range(1, 65) t(i) GROUP BY i)),
@@ -607,12 +607,12 @@ def datasets_of_user(spark, sf):
     return records.visible(n, grants, "BUILDING").select("dataset")
 
 
-@query("""WITH d AS (SELECT n_nationkey AS dataset, n_name AS name FROM nation WHERE n_name ILIKE '%an%' AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY 2, 1 LIMIT 50),
+@query("""WITH d AS (SELECT n_nationkey AS dataset, n_name AS name FROM nation WHERE n_name ILIKE '%1%' AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY 2, 1 LIMIT 50),
 t AS (SELECT c_nationkey AS dataset, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS tags FROM customer GROUP BY 1) SELECT dataset, name, coalesce(tags, '') AS tags FROM d LEFT JOIN t USING (dataset)""")
 def catalog_search(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("dataset"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("description"))
     tags = table(spark, sf, "customer").select(F.col("c_nationkey").alias("dataset"), F.col("c_mktsegment").alias("tag"))
-    return records.catalog_search(n, tags, "an", tag="BUILDING").select("dataset", "name", F.array_join("tags", ",").alias("tags"))
+    return records.catalog_search(n, tags, "1", tag="BUILDING").select("dataset", "name", F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT c_mktsegment AS tag, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import checkpoint
 
+#: Vectors that a pass holds.
+ASKED_AT_ONCE = 20_000
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -59,11 +64,19 @@ def bucket_members(vectors: DataFrame, size: int, k: int = 5, block: int = 1000)
 def duplicates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.95, block: int = 256) -> DataFrame:
     """(a, b, score): vectors more alike to an asked one than the threshold (strict), each unordered pair once.
 
-    ``asked`` is a stated set of vectors, up to 20,000 of them; it is packed into blocks of ``block`` rows
-    and broadcast, so that each task reads it against its own rows and no vector is shuffled.
+    ``asked`` is a stated set of vectors. It is packed into blocks of ``block`` rows and broadcast, so that
+    each task reads it against its own rows and no vector is shuffled; more than ASKED_AT_ONCE of them are
+    asked in further passes over the rows.
     """
-    if asked.count() > 20_000:
-        raise ValueError("ask for 20,000 vectors at most")
+    passes = max(1, -(-asked.count() // ASKED_AT_ONCE))
+    if passes > 1:
+        part = lambda i: asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
+        return reduce(DataFrame.union, [_met(vectors, part(i), threshold, block) for i in range(passes)]).groupBy("a", "b").agg(F.max("score").alias("score"))
+    return _met(vectors, asked, threshold, block)
+
+
+def _met(vectors: DataFrame, asked: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b, score) of one pass."""
     unit = lambda d, i, v: d.select(F.col("id").alias(i), F.col("vec").cast("array<double>").alias(v), F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias(f"{v}_n")).filter(F.col(f"{v}_n") > 0)
     q = unit(asked, "q", "w").withColumn("block", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.hash("q"), F.lit(64))).orderBy("q")) / block))
     packed = q.groupBy(F.pmod(F.hash("q"), F.lit(64)).alias("part"), "block").agg(F.collect_list(F.struct("q", "w", "w_n")).alias("qs"))

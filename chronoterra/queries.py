@@ -273,9 +273,9 @@ def network_components(spark, sf, every=False):
     return network.components(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), _edges(spark, sf, every))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def isolated_junctions(spark, sf):
-    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("from_id"), F.col("o_custkey").alias("to_id"), F.lit(1.0).alias("cost"))
+    edges = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("from_id"), F.col("o_custkey").alias("to_id"), F.lit(1.0).alias("cost"))
     return network.isolated(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), edges)
 
 
