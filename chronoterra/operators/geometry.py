@@ -162,8 +162,8 @@ def convex_hull(rows: DataFrame) -> DataFrame:
     return ring.select(F.concat("ring", F.slice("ring", 1, 1)).alias("ring")).withColumn("area", shapes.sphere_area(F.col("ring")))
 
 
-def simplified_path(path: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker with a stack: positions farther than ``tolerance`` from the chord stay."""
+def kept_places(path: list[tuple[float, float]], tolerance: float) -> list[int]:
+    """Places of the positions that Douglas-Peucker keeps, with a stack: those farther than ``tolerance`` from the chord."""
     keep, stack = {0, len(path) - 1}, [(0, len(path) - 1)]
     while stack:
         a, b = stack.pop()
@@ -179,7 +179,11 @@ def simplified_path(path: list[tuple[float, float]], tolerance: float) -> list[t
         if at >= 0 and far > tolerance * tolerance:
             keep.add(at)
             stack += [(a, at), (at, b)]
-    return [path[i] for i in sorted(keep)]
+    return sorted(keep)
+
+
+def simplified_path(path: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    return [path[i] for i in kept_places(path, tolerance)]
 
 
 _PATH = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.columns import haversine
+from .geometry import kept_places
+from .history import checkpoint
 
 
 def segments(fixes: DataFrame) -> DataFrame:
@@ -36,13 +42,67 @@ def periods(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("traj").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
-def simplify(fixes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """(traj, before, after, path): each trajectory's path by Douglas-Peucker."""
-    from .geometry import simplify as simplify_paths
+#: Fixes of an interval that one task walks, and intervals (about 80 bytes each) up to which they are broadcast.
+WALKED, BROADCAST_INTERVALS = 10_000, 500_000
+
+
+def kept_fixes(fixes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(traj, ts, seq, lng, lat) of the fixes that Douglas-Peucker keeps, for trajectories of any length.
 
+    While intervals of over WALKED fixes are open, a round takes the fix farthest from the chord of each, by
+    one aggregate with map-side combining, and splits it there if that is farther than ``tolerance``
+    (degrees). Shorter intervals are walked by a task each. A fix carries the start of its interval alone.
+    """
+    own = fixes.filter("lng is not null and lat is not null").select("traj", F.struct("ts", "seq").alias("at"), F.col("lng").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    fix = F.struct("at", "x", "y")
+    ends = checkpoint(own.groupBy("traj").agg(F.min_by(fix, "at").alias("a"), F.max_by(fix, "at").alias("b"), (F.count("*") - 2).alias("n")))
+    kept = ends.select("traj", F.explode(F.array("a", "b")).alias("p")).distinct()
+    intervals = ends.select("traj", F.col("a.at").alias("lo"), "a", "b", "n")
+    open_ = own.join(ends.select("traj", F.col("a.at").alias("lo"), F.col("b.at").alias("hi")), "traj").filter("at > lo and at < hi").drop("hi")
+    small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_INTERVALS else d
+    while True:
+        short, long = intervals.filter(F.col("n") <= WALKED), intervals.filter(F.col("n") > WALKED)
+        kept = kept.union(_walked(open_.join(short.filter("n > 0").drop("n"), ["traj", "lo"]), tolerance))
+        if long.isEmpty():
+            return kept.select("traj", "p.at.ts", "p.at.seq", F.col("p.x").alias("lng"), F.col("p.y").alias("lat"))
+        met = open_.join(small(long), ["traj", "lo"])
+        px, py, dx, dy = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y"), F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+        size = dx * dx + dy * dy
+        t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (px * dx + py * dy) / size))).otherwise(0.0)
+        far = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
+        # of equally far fixes the first
+        first = F.struct(far.alias("far"), (-F.col("at.ts")).alias("ts"), (-F.col("at.seq")).alias("seq"))
+        best = met.groupBy("traj", "lo").agg(F.max_by(fix, first).alias("m"), F.max(far).alias("far"))
+        split = checkpoint(best.filter(F.col("far") > tolerance * tolerance).select("traj", "lo", "m"))
+        kept = kept.union(split.select("traj", F.col("m").alias("p")))
+        later = F.when(F.col("at") > F.col("m.at"), F.col("m.at")).otherwise(F.col("lo"))
+        open_ = checkpoint(open_.join(small(split), ["traj", "lo"]).filter(F.col("at") != F.col("m.at")).select("traj", later.alias("lo"), "at", "x", "y"))
+        halves = long.join(split, ["traj", "lo"]).select("traj", F.explode(F.array(F.struct("lo", "a", F.col("m").alias("b")), F.struct(F.col("m.at").alias("lo"), F.col("m").alias("a"), "b"))).alias("h"))
+        counts = open_.groupBy("traj", "lo").agg(F.count("*").alias("n"))
+        intervals = checkpoint(halves.select("traj", "h.lo", "h.a", "h.b").join(counts, ["traj", "lo"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
+
+
+def _walked(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(traj, p) of the fixes kept in intervals (traj, lo, a, b) of bounded length."""
+    fix = F.struct("at", "x", "y")
+    whole = rows.groupBy("traj", "lo").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.array_sort(F.collect_list(fix)).alias("inner"))
+    path = whole.select("traj", F.concat(F.array("a"), "inner", F.array("b")).alias("path"))
+    one = StructType([path.schema["traj"], StructField("places", ArrayType(IntegerType())), path.schema["path"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [kept_places([(q["x"], q["y"]) for q in p], tolerance)[1:-1] for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.list_(pa.int32())), b.column(1)], ["traj", "places", "path"])
+
+    return path.mapInArrow(run, one).select("traj", F.explode(F.transform("places", lambda i: F.get("path", i))).alias("p"))
+
+
+def simplify(fixes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(traj, before, after, path): each trajectory's path by Douglas-Peucker; only what is kept is gathered."""
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("x"), p["lat"].alias("y")))
-    paths = fixes.filter("lng is not null and lat is not null").groupBy(F.col("traj").alias("feature_id")).agg(path.alias("path"))
-    return simplify_paths(paths, tolerance).withColumnRenamed("feature_id", "traj")
+    before = fixes.filter("lng is not null and lat is not null").groupBy("traj").agg(F.count("*").cast("int").alias("before"))
+    after = kept_fixes(fixes, tolerance).groupBy("traj").agg(path.alias("path"))
+    return before.join(after, "traj").select("traj", "before", F.size("path").alias("after"), "path")
 
 
 def nearest_approach(fixes: DataFrame, a: int, b: int) -> DataFrame:
