@@ -14,6 +14,9 @@ Copies are one entry: the index holds distinct fingerprints. A long list (a fami
 not expanded into its pairs: members one bit away from a common value are within two bits of each
 other and are linked to the smallest of them, which gives the same components.
 
+``keep_one`` takes another measure, five-word shingles that agree to 0.8, by the same index, tally and
+verification over longer fingerprints (see near_copies).
+
 Defined cases: null or blank text has the fingerprint zero and is linked like any other; fewer words
 than ``k`` make one shingle; very long texts are read whole, in bounded memory; equal texts always
 share a group; rows with a null doc_id are fingerprinted and grouped but never name the group unless

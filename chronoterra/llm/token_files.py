@@ -49,7 +49,7 @@ END = 1
 #: Ids that a task of the reader gets, and that it hands on at once.
 READ_IDS, STEP_IDS = 8_000_000, 1_000_000
 #: Words whose ids a task remembers, and bytes of text that it encodes at once.
-MEMORY, STEP_BYTES = 250_000, 4_000_000
+MEMORY, STEP_BYTES = 400_000, 4_000_000
 #: Where a word may be cut: the tokenizer begins a new part at a sign after an ASCII letter or digit.
 _CLOSING = "([0-9A-Za-z])([.,;:!?)])"
 
@@ -347,7 +347,7 @@ class Encoder:
         simple = [_LETTERS.fullmatch(t) is not None for t in texts] if self.letters else [False] * len(texts)
         other = iter(self._encoded([t for t, s in zip(texts, simple, strict=True) if not s]))
         split, letters = self.model.tokenize, self.letters
-        ids = [[x.id for x in split(t.lower().translate(letters))] if s else next(other) for t, s in zip(texts, simple, strict=True)]
+        ids = [[x.id for x in split(t.lower() if t.isascii() else t.lower().translate(letters))] if s else next(other) for t, s in zip(texts, simple, strict=True)]
         flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         return [flat[4 * a : 4 * b] for a, b in pairwise(accumulate(map(len, ids), initial=0))]
 
