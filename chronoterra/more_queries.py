@@ -651,3 +651,6 @@ def point_cloud_stats(spark, sf):
 def elevation_profile(spark, sf):
     p = _points(spark, sf, "customer", "c").select(F.col("lng").alias("x"), F.col("lat").alias("y"), F.col("feature_id").cast("double").alias("z"))
     return pointcloud.profile(p, (-100.0, -50.0), (100.0, 50.0), n=20, reach=3.0).select("i", F.round("z", 6).alias("z"))
+
+
+from . import log_queries  # noqa: E402, F401  registers its own, from what is defined above
