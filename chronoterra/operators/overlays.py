@@ -162,12 +162,16 @@ def _united(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of (keys, shape) with runs of equal keys united: within a task and in its order."""
     k = len(keys)
     ordered = rows.select(*keys, "shape")
+    names = [*keys, "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last group so far, as one row
         for whole in batches:
             for part in kernel.in_parts(whole, k):
-                both = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+                if held is None:
+                    both = part
+                else:  # Spark names the elements of its arrays otherwise than the kernel: the values are what counts
+                    both = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b if a.type == b.type else b.cast(a.type)]) for a, b in zip(held.columns, part.columns, strict=True)], names)
                 row = np.zeros(both.num_rows, np.int64)
                 for c in both.columns[:k]:
                     code = c.dictionary_encode().indices.fill_null(-1).to_numpy()
@@ -178,7 +182,7 @@ def _united(rows: DataFrame, keys: list[str]) -> DataFrame:
                 result, _ = kernel.borders(kernel.noded(e), "own", winding=True)
                 shape = kernel.rings_of(result).polygons(int(group[-1]) + 1 if len(group) else 0)
                 first = np.flatnonzero(np.diff(group, prepend=-1))
-                made = pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in both.columns[:k]], shape], both.schema.names)
+                made = pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in both.columns[:k]], shape], names)
                 if made.num_rows > 1:
                     yield made.slice(0, made.num_rows - 1)
                 held = made.slice(max(0, made.num_rows - 1)) if made.num_rows else None

@@ -213,3 +213,17 @@ def test_a_crowded_cell_and_an_empty_table(spark):
     got = overlays.covered_area(many, 1.0).first()
     assert got.planar == pytest.approx(0.25 + 0.16 - 0.0625)
     assert overlays.outlines(many.filter("false"), 1.0).collect() == []
+
+
+def test_unions_of_many_batches(spark):
+    """A group goes on from batch to batch, and Spark's batches name array elements otherwise than the kernel's."""
+    rows = [("k", i, packed([[square(i % 20 * 0.5, i % 7, i % 20 * 0.5 + 1, i % 7 + 1)]])) for i in range(300)]
+    d = spark.createDataFrame(rows, f"key string, n int, shape {kernel.SHAPE_TYPE}").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    try:
+        (r,) = overlays.covered_area(d, 4.0).collect()
+        out = overlays.outlines(d, 4.0).select(F.sum(overlays.planar_area(F.array("polygon")))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert r.planar == pytest.approx(10.5 * 7) and out == pytest.approx(10.5 * 7)
