@@ -67,12 +67,16 @@ def to_column(node: dict, properties: str = "properties", lng: str = "lng", lat:
     if op in ("s_intersects", "s_within"):
         if _name(args[0]) not in ("geometry", "geom"):
             raise FilterError("spatial operators take the geometry")
-        return _polygon(args[1], lng, lat)
+        return _polygon(args[1], lng, lat, sides=op == "s_intersects")
     raise FilterError(f"unknown operator {op!r}")
 
 
-def _polygon(shape: dict, lng: str, lat: str) -> Column:
-    """Point in polygon: the window first, then even-odd crossings of the rings."""
+def _polygon(shape: dict, lng: str, lat: str, sides: bool = True) -> Column:
+    """Point in polygon: the window first, then even-odd crossings of the rings.
+
+    Without ``sides`` the crossings to the left count as well, so that no position on a side is inside,
+    whichever way the side faces; a level lower edge still is.
+    """
     if shape.get("type") != "Polygon":
         raise FilterError("a Polygon is needed")
     rings = shape["coordinates"]
@@ -81,9 +85,12 @@ def _polygon(shape: dict, lng: str, lat: str) -> Column:
             raise FilterError("rings are closed and have four positions at least")
     xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
     x, y = F.col(lng), F.col(lat)
-    inside = F.lit(0)
+    right = left = F.lit(0)
     for r in rings:
         for (x1, y1), (x2, y2) in zip((p[:2] for p in r), (p[:2] for p in r[1:]), strict=False):
             if y1 != y2:
-                inside += (((y >= min(y1, y2)) & (y < max(y1, y2))) & (x < (y - y1) * (float(x2 - x1) / (y2 - y1)) + x1)).cast("int")
-    return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (inside % 2 == 1)
+                level, at = (y >= min(y1, y2)) & (y < max(y1, y2)), (y - y1) * (float(x2 - x1) / (y2 - y1)) + x1
+                right += (level & (x < at)).cast("int")
+                left += (level & (x > at)).cast("int")
+    inside = (right % 2 == 1) if sides else (right % 2 == 1) & (left % 2 == 1)
+    return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & inside

@@ -122,3 +122,10 @@ def test_stream_keeps_the_newest_version(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert sorted((r.feature_id, r.v) for r in spark.table("latest").collect()) == [(1, "new"), (2, "two")]
+
+
+def test_within_has_no_sides(spark):
+    shape = {"type": "Polygon", "coordinates": [[[-8, -2], [8, -2], [0, 6], [-8, 6], [-8, -2]]]}
+    rows = spark.createDataFrame([(1, -8.0, 1.0), (2, 3.0, 3.0), (3, 0.0, 0.0), (4, -8.0, -2.0), (5, -7.0, 6.0), (6, 0.0, -2.0), (7, 2.5, 3.0)], "feature_id long, lng double, lat double")
+    found = rows.filter(cql2.to_column({"op": "s_within", "args": [{"property": "geometry"}, shape]}))
+    assert sorted(r.feature_id for r in found.collect()) == [3, 6, 7]  # a level lower edge belongs to the polygon
