@@ -14,6 +14,8 @@ from .spatial import bbox
 
 #: Codes of Web Mercator and of geographic coordinates, and the codes with latitude first.
 MERCATOR_CODES, DEGREES, LATITUDE_FIRST = (3857, 102100), 4326, (4326, 4258, 4269)
+#: Metres (1e-11 degrees) that rounding moves a projected place, at most; it is under 1e-7 up to 89 degrees of latitude.
+ROUNDING = 1e-6
 CQL2_DEFAULT, CQL2_MOST, RECORDS_MOST = 100, 10_000, 1000
 
 
@@ -43,13 +45,14 @@ def native_window(rows: DataFrame, window: tuple[float, float, float, float], co
     """Rows of a table stored in the projection ``code`` within a window in degrees, with lng and lat.
 
     The window is brought to the table's own projection, so that it is compared with stored columns and
-    reaches their scan; only rows within it are projected back.
+    reaches their scan; only rows within it are projected back. Its edges belong to it, as stored: what
+    rounding moves a place when it is projected (ROUNDING at most) doesn't take it off an edge.
     """
     if code == DEGREES:
         low, high = window[:2], window[2:]
     elif code in MERCATOR_CODES:
         metres = lambda lng, lat: (math.radians(lng) * MERCATOR_RADIUS, math.asinh(math.tan(math.radians(lat))) * MERCATOR_RADIUS)
-        low, high = metres(*window[:2]), metres(*window[2:])
+        low, high = [v - ROUNDING for v in metres(*window[:2])], [v + ROUNDING for v in metres(*window[2:])]
     else:
         raise ValueError(f"no projection {code}")
     inside = rows.filter(F.col(x).between(low[0], high[0]) & F.col(y).between(low[1], high[1]))

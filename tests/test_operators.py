@@ -267,3 +267,18 @@ def test_union_of_convex_rings(spark):
     got = geometry.union_area(d, 1.0).first()
     assert got.n == 4 and got.planar == pytest.approx(1 + 9 * hit / 40_000, rel=0.02)
     assert geometry.union_area(d.limit(0), 1.0).first().planar == 0
+
+
+def test_native_window_has_its_edges(spark):
+    from chronoterra.functions.columns import mercator
+    from chronoterra.operators import requests
+
+    edges = [(-100.0, 7.01), (100.0, -39.99), (33.33, -40.0), (12.0, 60.0), (-100.0, -40.0), (100.0, 60.0)]
+    beside = [(-100.01, 0.0), (100.01, 0.0), (0.0, -40.01), (0.0, 60.01)]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(edges + beside)], "feature_id long, lng double, lat double")
+    x, y = mercator(F.col("lng"), F.col("lat"))
+    # stored places that rounding moved by a few units in the last place
+    for k in (-2, 0, 2):
+        stored = rows.select("feature_id", (x * (1 + k * 2.3e-16)).alias("x"), (y * (1 + k * 2.3e-16)).alias("y"))
+        found = requests.native_window(stored, (-100.0, -40.0, 100.0, 60.0), 3857)
+        assert sorted(r.feature_id for r in found.collect()) == list(range(len(edges)))
