@@ -182,3 +182,35 @@ def voronoi(rows: DataFrame, envelope: tuple[float, float, float, float], start:
         cut = open_.join(more, "id").select("id", "x", "y", _cut_by(F.col("ring"), F.col("near"), F.col("x"), F.col("y")).alias("ring"))
         open_ = checkpoint(cut.filter("size(ring) > 2"))
     raise RuntimeError(f"cells did not settle in {max_rounds} rounds")
+
+
+#: Degrees by which a cell is widened when points are dealt to cells: well over what rounding moves its sides.
+SLACK = 1e-6
+
+
+def cell_members(points: DataFrame, sites: DataFrame, cells: DataFrame) -> DataFrame:
+    """(a, b): the site in whose Voronoi cell each point lies; on a shared side that of the nearest site, then of the smallest id.
+
+    ``cells`` are those of ``sites``. A computed cell is never smaller than the true one but for rounding,
+    so the widened cells of a point have the right one among them, and distances decide between these
+    few. Cells are dealt to a grid as fine as they are many; a large cell uses a coarser level of it.
+    """
+    asks = _points(points, "feature_id")
+    size = _points(sites, "feature_id").select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    box = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxed = cells.select(F.col("feature_id").alias("b"), "ring", *[f(v).alias(f"{n}{c}") for v, c in zip(box, "xy", strict=True) for f, n in ((F.array_min, "low_"), (F.array_max, "high_"))])
+    wide = F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")) + 2 * SLACK
+    leveled = checkpoint(boxed.withColumn("level", F.ceil(F.log2(wide)).cast("int")))  # a box covers two grid cells a side, or three
+    levels = F.broadcast(leveled.select("level").distinct())  # a few dozen at most
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    spans = [F.sequence(at(F.col(f"low_{c}") - SLACK), at(F.col(f"high_{c}") + SLACK)) for c in "xy"]
+    dealt = leveled.withColumn("i", F.explode(spans[0])).withColumn("j", F.explode(spans[1])).select("b", "ring", "level", "i", "j")
+    asked = asks.join(levels).select(F.col("id").alias("a"), "x", "y", "level", at(F.col("x")).alias("i"), at(F.col("y")).alias("j"))
+    met = asked.join(dealt, ["level", "i", "j"])
+    steps = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    # left of every side, or beyond it by SLACK at most
+    side = lambda s: (s["q"]["x"] - s["p"]["x"]) * (F.col("y") - s["p"]["y"]) - (s["q"]["y"] - s["p"]["y"]) * (F.col("x") - s["p"]["x"])
+    long = lambda s: F.abs(s["q"]["x"] - s["p"]["x"]) + F.abs(s["q"]["y"] - s["p"]["y"])
+    near = met.filter(F.forall(steps, lambda s: side(s) >= -SLACK * long(s))).select("a", "b", "x", "y").join(size, "b")
+    d = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
+    return near.groupBy("a").agg(F.min(F.struct(d.alias("d"), "b"))["b"].alias("b"))

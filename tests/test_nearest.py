@@ -83,3 +83,11 @@ def test_voronoi_of_one_site_and_of_a_grid(spark):
     grid = points(spark, [(4 * i + j, i + 0.5, j + 0.5) for i in range(4) for j in range(4)])
     assert {round(area(c.ring), 9) for c in nearest.voronoi(grid, box).collect()} == {1.0}
     assert nearest.voronoi(grid.filter("false"), box).collect() == []
+
+
+def test_members_on_shared_sides(spark):
+    sites = [(3, 1.0, 1.0), (1, 3.0, 1.0), (2, 1.0, 3.0), (0, 3.0, 3.0), (9, 1.0, 1.0)]
+    asked = [(i, i % 9 / 2, i // 9 / 2) for i in range(81)]  # a quarter of them between two sites or four
+    cells = nearest.voronoi(points(spark, sites), (0.0, 0.0, 4.0, 4.0))
+    got = {r.a: r.b for r in nearest.cell_members(points(spark, asked), points(spark, sites), cells).collect()}
+    assert got == {a: min(((sx - x) ** 2 + (sy - y) ** 2, s) for s, sx, sy in sites)[1] for a, x, y in asked}
