@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,19 +86,50 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, cell: float,
     """(a, b, and ``keep`` of the right side): pairs of different features whose rings meet the predicate.
 
     Both sides are dealt to the grid cells of side ``cell`` (degrees) that their boxes cover; a pair is
-    judged once, in the cell of the lower left corner of what the boxes share.
+    judged once, in the cell of the lower left corner of what the boxes share. Two rings that are boxes
+    themselves are judged by their sides; only pairs with another shape take their rings along.
     """
+    rings = [d.select(F.col("feature_id").alias(n), F.col("ring").alias(f"{n}_ring"), *[shapes.bounds(F.col("ring"))[c].alias(f"{n}_{c}") for c in SIDES], *more) for d, n, more in ((left, "a", ()), (right, "b", keep))]
+    a, b = ([d.filter(_is_box(n) == told) for told in (True, False)] for d, n in zip(rings, "ab", strict=True))
+    out = []
+    if predicate in BOX_PREDICATES:
+        out.append(_met(a[0].drop("a_ring"), b[0].drop("b_ring"), cell).filter(BOX_PREDICATES[predicate]))
+        rest = [(x, y) for x, y in ((a[1], rings[1]), (a[0], b[1])) if not (x if x is a[1] else y).isEmpty()]
+    else:
+        rest = [tuple(rings)]
+    out += [_met(x, y, cell).filter(PREDICATES[predicate](F.col("a_ring"), F.col("b_ring"))) for x, y in rest]
+    return reduce(DataFrame.union, [d.select("a", "b", *keep) for d in out])
+
+
+SIDES = ("xmin", "ymin", "xmax", "ymax")
+#: What a predicate says of two boxes, in their sides alone.
+BOX_PREDICATES = {
+    "intersects": "a_xmin <= b_xmax and b_xmin <= a_xmax and a_ymin <= b_ymax and b_ymin <= a_ymax",
+    "within": "a_xmin > b_xmin and a_xmax < b_xmax and a_ymin > b_ymin and a_ymax < b_ymax",
+    "contains": "b_xmin > a_xmin and b_xmax < a_xmax and b_ymin > a_ymin and b_ymax < a_ymax",
+}
+
+
+def _is_box(n: str) -> Column:
+    """Whether the ring is that of its box: four upright and level sides with an area."""
+    r = F.col(f"{n}_ring")
+    x, y = ([r[i][c] for i in range(4)] for c in "xy")
+    turns = lambda u, v: (u[0] == u[1]) & (v[1] == v[2]) & (u[2] == u[3]) & (v[3] == v[0])
+    flat = (F.col(f"{n}_xmin") < F.col(f"{n}_xmax")) & (F.col(f"{n}_ymin") < F.col(f"{n}_ymax")) & (x[0] != x[2]) & (y[0] != y[2])
+    return F.coalesce(F.when(F.size(r) == 5, (r[0] == r[4]) & flat & (turns(x, y) | turns(y, x))), F.lit(False))
+
+
+def _met(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Pairs of different features whose boxes meet, each in one cell, by comparisons of plain numbers."""
     at = lambda v: F.floor(v / cell).cast("long")
 
-    def dealt(d: DataFrame, n: str, more: tuple[str, ...]) -> DataFrame:
-        box = d.select(F.col("feature_id").alias(n), F.col("ring").alias(f"{n}_ring"), shapes.bounds(F.col("ring")).alias(f"{n}_box"), *more)
-        i, j = (F.sequence(at(F.col(f"{n}_box.{c}min")), at(F.col(f"{n}_box.{c}max"))) for c in "xy")
-        return box.withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
+    def dealt(d: DataFrame, n: str) -> DataFrame:
+        i, j = (F.sequence(at(F.col(f"{n}_{c}min")), at(F.col(f"{n}_{c}max"))) for c in "xy")
+        return d.filter(f"{n}_xmin is not null").withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
 
-    met = dealt(left, "a", ()).join(dealt(right, "b", keep), ["i", "j"]).filter("a <> b")
-    corner = [at(F.greatest(F.col(f"a_box.{c}min"), F.col(f"b_box.{c}min"))) for c in "xy"]
-    once = met.filter((F.col("i") == corner[0]) & (F.col("j") == corner[1]))
-    return once.filter(PREDICATES[predicate](F.col("a_ring"), F.col("b_ring"))).select("a", "b", *keep)
+    met = dealt(a, "a").join(dealt(b, "b"), ["i", "j"]).filter("a <> b").filter(BOX_PREDICATES["intersects"])
+    corner = [at(F.greatest(F.col(f"a_{c}min"), F.col(f"b_{c}min"))) for c in "xy"]
+    return met.filter((F.col("i") == corner[0]) & (F.col("j") == corner[1]))
 
 
 def overlapping_pairs(rows: DataFrame, cell: float) -> DataFrame:

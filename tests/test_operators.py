@@ -1,5 +1,6 @@
 """Operators against plain versions on small rows: graph, merge, writes, shapes, tiles, clusters, tours."""
 
+import hashlib
 import json
 import random
 
@@ -282,3 +283,51 @@ def test_native_window_has_its_edges(spark):
         stored = rows.select("feature_id", (x * (1 + k * 2.3e-16)).alias("x"), (y * (1 + k * 2.3e-16)).alias("y"))
         found = requests.native_window(stored, (-100.0, -40.0, 100.0, 60.0), 3857)
         assert sorted(r.feature_id for r in found.collect()) == list(range(len(edges)))
+
+
+@pytest.mark.parametrize("predicate", ["intersects", "within", "contains"])
+def test_boxes_are_joined_by_their_sides(spark, predicate):
+    r = random.Random(predicate)
+    ring = lambda *c: [{"x": float(x), "y": float(y)} for x, y in (*c, c[0])]
+
+    def shape(i):
+        x, y, w, h = r.randrange(12), r.randrange(12), r.randrange(1, 6), r.randrange(1, 6)
+        corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        if i % 3 == 0:
+            return ring(*corners[:3])
+        return ring(*(corners if i % 2 else corners[::-1]))
+
+    boxes = spark.createDataFrame([(i, shape(i)) for i in range(90)], f"feature_id long, ring array<{shapes.POINT}>")
+    a, b = (boxes.select(F.col("feature_id").alias(n), F.col("ring").alias(f"{n}_r")) for n in "ab")
+    every = a.join(b, F.col("a") != F.col("b")).filter(geometry.PREDICATES[predicate](F.col("a_r"), F.col("b_r")))
+    want = sorted((x.a, x.b) for x in every.select("a", "b").collect())
+    assert want and sorted(tuple(x) for x in geometry.spatial_join(boxes, boxes, predicate, 4.0).collect()) == want
+    plan = geometry.spatial_join(boxes.filter("feature_id % 3 <> 0"), boxes.filter("feature_id % 3 <> 0"), predicate, 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_ring" not in plan.split("Join")[0]  # no ring is looked at for a pair
+
+
+def test_loose_rings_are_read_once(spark):
+    rows = spark.createDataFrame([], f"loose array<array<{shapes.POINT}>>")
+    plan = rows.select(shapes.assemble(F.col("loose")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("loose#") == 1
+
+
+def test_vectors_of_a_small_file_are_dealt_to_tasks(spark):
+    assert core.QUERIES["text_embeddings"](spark, SMALL).rdd.getNumPartitions() > 1
+    rows = spark.createDataFrame([("Ä1",), (None,)], "t string")
+    one, none = (x.v for x in rows.select(columns.text_embedding(F.col("t")).alias("v")).collect())
+    assert one[33] == hashlib.sha256("Ä133".encode()).digest()[1] / 255 and none == [None] * 256
+
+
+def test_a_tour_works_out_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def cost(c):
+        seen.add(1)
+        return c
+
+    rows = spark.createDataFrame([(i, (i + 1) % 5, 1.0 + i) for i in range(5)], "from_id long, to_id long, c double")
+    edges = rows.select("from_id", "to_id", cost("c").alias("cost"))
+    assert [s for s, _ in network.tour(edges, [0, 2, 4])] == [0, 2, 4, 0]
+    assert seen.value <= 10  # a checkpoint reads what it keeps twice
