@@ -181,7 +181,10 @@ def densify(path: Column, most: float) -> Column:
 
 def assemble(rings: Column) -> Column:
     """Polygons (outer, holes) from loose rings: clockwise ones are outer, any other is a hole of the first outer that holds its first corner."""
-    outers = F.filter(rings, is_clockwise)
-    holes = F.filter(rings, lambda r: ~is_clockwise(r))
-    owner = lambda h: F.array_position(F.transform(outers, lambda o: in_ring(h[0], o)), True)
-    return F.transform(outers, lambda o, i: F.struct(o.alias("outer"), F.filter(holes, lambda h: owner(h) == i + 1).alias("holes")))
+    owner = lambda outers, h: F.array_position(F.transform(outers, lambda o: in_ring(h[0], o)), True)
+    owned = lambda outers, holes: F.transform(holes, lambda h: F.struct(h.alias("ring"), owner(outers, h).alias("of")))
+    given = lambda outers, holes: F.transform(outers, lambda o, i: F.struct(o.alias("outer"), F.transform(F.filter(holes, lambda h: h["of"] == i + 1), lambda h: h["ring"]).alias("holes")))
+    # turns, rings and owners are each worked out once
+    turned = F.transform(rings, lambda r: F.struct(r.alias("ring"), is_clockwise(r).alias("outer")))
+    of = lambda told, outer: F.transform(F.filter(told, lambda t: t["outer"] if outer else ~t["outer"]), lambda t: t["ring"])
+    return _let(turned, lambda told: _let(of(told, True), lambda outers: _let(owned(outers, of(told, False)), lambda holes: given(outers, holes))))
