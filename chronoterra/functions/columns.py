@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,7 +95,18 @@ def age_days(day: Column, today: Column) -> Column:
 
 def text_embedding(text: Column, size: int = 256) -> Column:
     """Deterministic vector: component i is byte i mod 32 of SHA-256(text, i), over 255."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.conv(F.substring(F.sha2(F.concat(text, i.cast("string")).cast("binary"), 256), i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
-    )
+    suffixes = [(str(i).encode(), i % 32) for i in range(size)]
+
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            start = None if t is None else hashlib.sha256(t.encode())
+            row = bytearray(size)
+            for i, (suffix, place) in enumerate(suffixes if start else ()):
+                h = start.copy()
+                h.update(suffix)
+                row[i] = h.digest()[place]
+            out.append(np.frombuffer(row, np.uint8) / 255.0 if start else [None] * size)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(vectors, "array<double>")(text)

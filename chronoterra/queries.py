@@ -338,6 +338,7 @@ def change_window(spark, sf):
 def text_embeddings(spark, sf):
     v = C.text_embedding(F.col("name"))
     rows = table(spark, sf, "customer").select("c_custkey", F.lower("c_name").alias("name"))
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # names are a small file, their vectors much work
     return rows.select("c_custkey", F.upper(F.md5(F.col("name").cast("binary"))).alias("digest"), *[F.round(v[i], 9).alias(f"v{i}") for i in (0, 1, 33)])
 
 
