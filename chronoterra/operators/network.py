@@ -86,6 +86,7 @@ def tour(edges: DataFrame, stops: list[int]) -> list[tuple[int, float]]:
     Costs between the listed stops come from Spark, one search per stop; the caller bounds the list. Fewer
     than two stops that can be reached give an empty tour.
     """
+    edges = checkpoint(edges)  # every search reads them, so they are worked out once
     costs = {a: {r.id: r.cost for r in costs_from(edges, a).filter(F.col("id").isin(stops)).collect()} for a in stops}
     left = [b for b in dict.fromkeys(stops[1:]) if b != stops[0] and b in costs[stops[0]]] if stops else []
     if not left:
