@@ -23,6 +23,7 @@ don't matter; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +41,7 @@ TOP = 2000
 #: Percentage of a phrase's count at which a longer phrase stands for it.
 INSIDE = 50
 SHARD_WORDS = 800_000
-RANGE_NODES = 1_500_000
+RANGE_NODES = 500_000
 MAX_RANGES = 20_000
 #: Nodes of a row of a serialised trie.
 CHUNK_NODES = 65_536
@@ -209,8 +210,6 @@ class Trie:
     def places(self, bounds: list[tuple]) -> np.ndarray:
         """Of each bound (a spelled path), the first node at or after it."""
         words, langs = self.words.to_pylist(), self.langs
-        from bisect import bisect_left
-
         out = []
         for lang, *path in bounds:
             i = bisect_left(langs, lang)
@@ -342,8 +341,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", depth
         for b in batches:
             for data in b.column(0):
                 trie = Trie.load(data.as_py())
-                at = [0, *trie.places(held.value).tolist(), len(trie.counts)]
-                for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False)):
+                if not len(trie.counts):
+                    continue
+                # only bounds between the first and the last path: a row is a short part of all ranges
+                least, most = trie.spelled(np.array([0, len(trie.counts) - 1]))
+                first = bisect_left(held.value, least)
+                near = held.value[first : bisect_right(held.value, most)]
+                at = [0, *trie.places(near).tolist(), len(trie.counts)]
+                for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False), first):
                     if lo < hi:
                         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([trie.slice(lo, hi).dump()], pa.binary())], ["part", "trie"])
 
