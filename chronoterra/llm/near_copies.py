@@ -13,6 +13,7 @@ Equal texts are one entry. A list of over SHORT texts isn't expanded into its pa
 centres of the list and of its part of it (the text that meets most others in all its lists: a family's
 common source), one more text that differs by list, and its two neighbours in the order of the whole
 fingerprint. First each text's best pair is verified; of the others, only those between different groups.
+Then the pairs of long lists that are still in different groups are all tallied, block by block, and verified.
 
 Defined cases: null texts and texts without words are equal to each other and to nothing else; texts of
 fewer than ``k`` words are one shingle; very long texts are read whole; an empty table has no groups.
@@ -39,6 +40,8 @@ SHORT = 24
 HOT, HOT_LISTS = 1000, 50_000
 #: Texts of a long list, about, that have a centre of their own.
 PART = 1000
+#: Texts of a block of a long list whose groups are compared in full.
+BLOCK_TEXTS = 1000
 #: Texts with a candidate (8 bytes each) up to which their numbers are broadcast to find the texts again.
 BROADCAST_CLASSES = 2_000_000
 _WORDS_KEPT = 200_000
@@ -97,8 +100,8 @@ def signatures(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFra
     return made.select("doc_id", "digest", F.when(F.col("sig").isNull(), F.lit(0).cast("long")).otherwise(F.col("digest")).alias("class"), "sig")
 
 
-def _met(classes: DataFrame) -> DataFrame:
-    """(u, v) of classes (class, sig) that meet in a posting list, u < v."""
+def _lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (at, n, class) of the posting lists of classes (class, sig), and those of long lists with (sig, met, part)."""
     # a key is a number of the place and its bytes; fingerprints stay out of the lists
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", BLOCK * i + 1, BLOCK)) for i in range(BYTES // BLOCK)])
     entries = classes.select("class", F.explode(keys).alias("at"))
@@ -108,13 +111,19 @@ def _met(classes: DataFrame) -> DataFrame:
     crowded = entries.join(F.broadcast(lists.filter(hot)), "at")
     others = entries.join(F.broadcast(lists.filter(hot).select("at")), "at", "left_anti").join(lists.filter(~hot), "at")
     inside = crowded.unionByName(others).select("at", "n", "class")
-    short = inside.filter(F.col("n") <= SHORT).groupBy("at").agg(F.collect_list("class").alias("all"))
-    pairs = short.select("all", F.explode("all").alias("u")).select("u", F.explode(F.filter("all", lambda x: x > F.col("u"))).alias("v"))
     # long lists: the text that meets most others in all its lists is their centre, that of a part is another
     long = inside.filter(F.col("n") > SHORT)
     met = inside.groupBy("class").agg(F.sum("n").alias("met"))
     part = F.pmod(F.xxhash64("class"), F.least(F.ceil(F.col("n") / PART), F.lit(1_000_000)))
     dealt = scratch(long.join(met, "class").join(classes, "class").select("at", "class", F.substring("sig", 1, 16).alias("sig"), "met", part.alias("part")), "long")
+    return inside, dealt
+
+
+def _met(classes: DataFrame, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(u, v) of classes (class, sig) that meet in a posting list, u < v; of long lists, those with centres and neighbours."""
+    inside, dealt = lists or _lists(classes)
+    short = inside.filter(F.col("n") <= SHORT).groupBy("at").agg(F.collect_list("class").alias("all"))
+    pairs = short.select("all", F.explode("all").alias("u")).select("u", F.explode(F.filter("all", lambda x: x > F.col("u"))).alias("v"))
     order = Window.partitionBy("at", "part").orderBy("sig", "class")
     next_ = dealt.select("class", F.lead("class").over(order).alias("other"))
     own = dealt.groupBy("at", "part").agg(F.max(F.struct("met", "class")).alias("most"), F.min_by("class", F.xxhash64("at", "class")).alias("any"))
@@ -124,6 +133,62 @@ def _met(classes: DataFrame) -> DataFrame:
     return pairs.union(far).distinct()
 
 
+def _rest(long: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(u, v), u < v, of all pairs in long lists (at, class) that share LEAST positional bytes and have different roots.
+
+    Pairs within a group say nothing more, so lists of one group are left alone. In the others each group
+    of over BLOCK_TEXTS texts is dealt to blocks of its own, the smaller ones to common blocks; a task holds
+    two blocks at a time, and two blocks of one large group never meet. What is left grows with the texts of
+    a list times those outside its largest group.
+    """
+    named = long.select("at", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("at", "class", F.coalesce("root", "class").alias("root"))
+    mixed = named.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("at")
+    own = scratch(named.join(mixed, "at"), "mixed")
+    groups = own.groupBy("at", "root").agg(F.count("*").alias("n"))
+    small = groups.filter(F.col("n") <= BLOCK_TEXTS).groupBy("at").agg(F.sum("n").alias("all_small"))
+    sized = groups.join(small, "at", "left").withColumn("large", F.col("n") > BLOCK_TEXTS)
+    blocks = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("all_small")) / BLOCK_TEXTS)
+    part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("class")).otherwise(F.col("root"))), F.col("blocks"))
+    placed = own.join(sized.select("at", "root", "large", blocks.alias("blocks")), ["at", "root"])
+    placed = scratch(placed.select("at", "class", "root", F.struct(F.when(F.col("large"), F.col("root")).alias("of"), part.alias("part")).alias("block")), "blocks")
+    if placed.isEmpty():
+        return None
+    of_list = placed.select("at", "block").distinct().groupBy("at").agg(F.collect_list("block").alias("others"))
+    meet = F.filter("others", lambda o: F.col("block.of").isNull() | o["of"].isNull() | (o["of"] != F.col("block.of")))
+    pair = lambda o: F.struct(F.xxhash64("at", F.least("block", o), F.greatest("block", o)).alias("key"), (F.col("block") > o).alias("side"), (F.col("block") == o).alias("same"))
+    rows = placed.join(of_list, "at").select("class", "root", F.explode(F.transform(meet, pair)).alias("p")).join(classes, "class")
+    ordered = rows.select("p.key", "p.side", "p.same", "class", "root", "sig").repartition("key").sortWithinPartitions("key", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            side, same, name, root = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+            sig = np.frombuffer(b"".join(x.as_buffer() for x in t.column(5)), np.uint8).reshape(-1, BYTES)
+            a, b = (np.flatnonzero(~side), np.arange(len(name)) if same[0] else np.flatnonzero(side))
+            for lo in range(0, len(a), 16):
+                i = a[lo : lo + 16]
+                shared = (sig[i][:, None, :] == sig[b][None]).sum(axis=2)
+                x, y = np.nonzero((shared >= LEAST) & (root[i][:, None] != root[b][None]))
+                u, v = name[i[x]], name[b[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+        for b in batches:
+            key = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(key)) + 1
+            for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(key)], strict=True):
+                if held and hi > lo and held[0].column(0)[0].as_py() != int(key[lo]):
+                    yield from settle()
+                    held.clear()
+                if hi > lo:
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from settle()
+
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
 def _tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v, shared): pairs that share LEAST positional bytes or more."""
 
@@ -160,9 +225,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_classes(docs: DataFrame, own: DataFrame, text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(class, root) of the classes of ``own`` (see signatures) that are linked to another."""
     classes = scratch(own.filter("sig is not null").groupBy("class").agg(F.first("sig").alias("sig")), "classes")
-    pairs = scratch(_tallied(_met(classes), classes), "pairs")
-    involved = scratch(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "involved")
-    small = involved.count() <= BROADCAST_CLASSES  # then texts stay where they are
+    lists = _lists(classes)
+    pairs = scratch(_tallied(_met(classes, lists), classes), "pairs")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(k)
@@ -173,14 +237,27 @@ def similar_classes(docs: DataFrame, own: DataFrame, text: str = "text", k: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["class", "set"])
 
     digest = F.xxhash64(F.col(text).cast("string"))
-    # one row of each class: sets are equal, so any will do
-    seen = docs.select(digest.alias("class"), F.col(text).cast("string").cast("binary").alias("text")).join(F.broadcast(involved) if small else involved, "class", "left_semi").mapInArrow(shingled, "class long, set binary")
-    sets = scratch(seen.groupBy("class").agg(F.first("set").alias("set")), "sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = scratch(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "involved")
+        small = involved.count() <= BROADCAST_CLASSES  # then texts stay where they are
+        # one row of each class: sets are equal, so any will do
+        seen = docs.select(digest.alias("class"), F.col(text).cast("string").cast("binary").alias("text")).join(F.broadcast(involved) if small else involved, "class", "left_semi").mapInArrow(shingled, "class long, set binary")
+        return scratch(seen.groupBy("class").agg(F.first("set").alias("set")), "sets")
+
+    sets = sets_of(pairs)
     both = pairs.select("u", "v", "shared").union(pairs.select("v", "u", "shared"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
     first = scratch(_verified(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, similarity), "links")
     roots = scratch(connected_components(first), "roots")
     named = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
     across = pairs.join(named("u"), "u", "left").join(named("v"), "v", "left").filter("coalesce(u_root, u) <> coalesce(v_root, v)")
-    more = _verified(across.select("u", "v"), sets, similarity)
-    return connected_components(first.union(more)).withColumnRenamed("node", "class")
+    links = scratch(first.union(_verified(across.select("u", "v"), sets, similarity)), "links")
+    roots = scratch(connected_components(links), "roots")
+    rest = _rest(lists[1], classes, roots)
+    if rest is None:
+        return roots.withColumnRenamed("node", "class")
+    rest = scratch(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return roots.withColumnRenamed("node", "class")
+    return connected_components(links.union(_verified(rest, sets_of(rest), similarity))).withColumnRenamed("node", "class")

@@ -126,6 +126,30 @@ def test_a_hot_list(spark, monkeypatch):
     assert kept(spark, texts) == sorted(set(near_groups(texts)))
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_members_of_long_lists_all_meet(spark, monkeypatch, block):
+    """All texts share one long list: pairs apart from its centres and neighbours are found as well, each that reaches the tally."""
+    monkeypatch.setattr(near_copies, "SHORT", 2)
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", block)
+    r = np.random.default_rng(5)
+    sigs = []
+    for _ in range(30):  # 30 groups of two, which share 110 bytes or so; groups share the first block alone
+        a = r.integers(0, 256, near_copies.BYTES, dtype=np.uint8)
+        at = np.arange(near_copies.BYTES)  # no other block is shared, and the order in the list is another
+        b = np.where((at % 5 == 2) | (at < 16), r.integers(0, 256, near_copies.BYTES, dtype=np.uint8), a)
+        for x in (a, b):
+            x[: near_copies.BLOCK] = 7
+            sigs.append(bytearray(x.tobytes()))
+    classes = spark.createDataFrame(list(enumerate(sigs)), "class long, sig binary")
+    lists = near_copies._lists(classes)
+    roots = spark.createDataFrame([(0, 0), (1, 0), *((i, 100) for i in range(40, 58))], "node long, root long")
+    root = {x.node: x.root for x in roots.collect()}
+    want = {(i, i + 1) for i in range(0, 60, 2) if root.get(i, i) != root.get(i + 1, i + 1)}
+    met = {(x.u, x.v) for x in near_copies._tallied(near_copies._met(classes, lists), classes).collect()}
+    assert not want <= met  # centres and neighbours alone miss some
+    assert {(x.u, x.v) for x in near_copies._rest(lists[1], classes, roots).collect()} == want
+
+
 def test_all_pairs_helper():
     texts = ["a b c d e f g", "a b c d e f g h", "x y", "x y", "q"]
     sets = [shingles(t) for t in texts]
