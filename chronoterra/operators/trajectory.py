@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -82,6 +84,17 @@ def kept_fixes(fixes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
         intervals = checkpoint(halves.select("traj", "h.lo", "h.a", "h.b").join(counts, ["traj", "lo"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
 
 
+def _kept_inside(paths: pa.ListArray, tolerance: float) -> pa.Array:
+    """Places between the ends that each path keeps; one path at a time is in Python objects, not the whole batch."""
+    flat = paths.flatten()
+    x, y = (pc.struct_field(flat, c).to_numpy() for c in ("x", "y"))
+    ends = np.cumsum(pc.list_value_length(paths).to_numpy())
+    places = []
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        places.append(np.array(kept_places(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)), tolerance)[1:-1], np.int32))
+    return pa.array(places, pa.list_(pa.int32()))
+
+
 def _walked(rows: DataFrame, tolerance: float) -> DataFrame:
     """(traj, p) of the fixes kept in intervals (traj, lo, a, b) of bounded length."""
     fix = F.struct("at", "x", "y")
@@ -91,8 +104,7 @@ def _walked(rows: DataFrame, tolerance: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [kept_places([(q["x"], q["y"]) for q in p], tolerance)[1:-1] for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.list_(pa.int32())), b.column(1)], ["traj", "places", "path"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _kept_inside(b.column(1), tolerance), b.column(1)], ["traj", "places", "path"])
 
     return path.mapInArrow(run, one).select("traj", F.explode(F.transform("places", lambda i: F.get("path", i))).alias("p"))
 

@@ -36,3 +36,21 @@ def test_fixes_of_one_time_and_none(spark):
     fixes = spark.createDataFrame([(1, 0.0, i, float(i), float(i % 2)) for i in range(6)], kind)
     assert [q.x for q in trajectory.simplify(fixes, 0.1).first().path] == [0, 1, 2, 3, 4, 5]
     assert trajectory.simplify(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_a_batch_of_paths_is_not_held_as_objects():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    x, y = r.random(200_000), r.random(200_000)
+    points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    paths = pa.ListArray.from_arrays(pa.array(range(0, 200_001, 100), pa.int32()), points).slice(3)
+    tracemalloc.start()
+    got = trajectory._kept_inside(paths, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [geometry.kept_places(list(zip(x[i : i + 100], y[i : i + 100], strict=True)), 0.5)[1:-1] for i in range(300, 200_000, 100)]
+    assert got.to_pylist() == want and peak < 10_000_000  # all positions as dicts take 48 MB
