@@ -22,3 +22,9 @@ def test_entry_has_a_stable_schema(spark):
 
     assert e.entry(spark).columns == e.entry(spark).columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_orders_of_every_status_are_edges(spark):
+    read = lambda name, c: {r[0] for r in spark.read.parquet(f"{SMALL}/{name}.parquet").select(c).collect()}
+    got = {r.id for r in core.QUERIES["isolated_junctions"](spark, SMALL).collect()}
+    assert got == read("customer", "c_custkey") - read("orders", "o_custkey")
