@@ -13,7 +13,8 @@ Equal texts are one entry. A list of over SHORT texts isn't expanded into its pa
 centres of the list and of its part of it (the text that meets most others in all its lists: a family's
 common source), one more text that differs by list, and its two neighbours in the order of the whole
 fingerprint. First each text's best pair is verified; of the others, only those between different groups.
-Then the pairs of long lists that are still in different groups are all tallied, block by block, and verified.
+Then the pairs of long lists that are still in different groups are all tallied, block by block. What they
+join are families, whose texts meet once more, block by block, with their sets of shingles, and are verified there.
 
 Defined cases: null texts and texts without words are equal to each other and to nothing else; texts of
 fewer than ``k`` words are one shingle; very long texts are read whole; an empty table has no groups.
@@ -42,6 +43,8 @@ HOT, HOT_LISTS = 1000, 50_000
 PART = 1000
 #: Texts of a block of a long list whose groups are compared in full.
 BLOCK_TEXTS = 1000
+#: Bytes of sets of shingles of a block, about: one of long texts has fewer of them.
+BLOCK_BYTES = 16_000_000
 #: Texts with a candidate (8 bytes each) up to which their numbers are broadcast to find the texts again.
 BROADCAST_CLASSES = 2_000_000
 _WORDS_KEPT = 200_000
@@ -133,58 +136,123 @@ def _met(classes: DataFrame, lists: tuple[DataFrame, DataFrame] | None = None) -
     return pairs.union(far).distinct()
 
 
-def _rest(long: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """(u, v), u < v, of all pairs in long lists (at, class) that share LEAST positional bytes and have different roots.
+def _dealt(named: DataFrame, tag: str) -> DataFrame | None:
+    """(class, root, key, side, same): texts of lists (at, class, root, weight) for the pairs of blocks in which they meet those of other roots.
 
-    Pairs within a group say nothing more, so lists of one group are left alone. In the others each group
-    of over BLOCK_TEXTS texts is dealt to blocks of its own, the smaller ones to common blocks; a task holds
-    two blocks at a time, and two blocks of one large group never meet. What is left grows with the texts of
-    a list times those outside its largest group.
+    Lists of one root are left alone. In the others each group of a weight over BLOCK_TEXTS is dealt to blocks
+    of its own, the smaller ones to common blocks; a key holds two blocks (``side``), or one (``same``), and two
+    blocks of one large group never meet. This grows with the texts of a list times those outside its largest group.
     """
-    named = long.select("at", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("at", "class", F.coalesce("root", "class").alias("root"))
     mixed = named.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("at")
     own = scratch(named.join(mixed, "at"), "mixed")
-    groups = own.groupBy("at", "root").agg(F.count("*").alias("n"))
+    groups = own.groupBy("at", "root").agg(F.sum("weight").alias("n"))
     small = groups.filter(F.col("n") <= BLOCK_TEXTS).groupBy("at").agg(F.sum("n").alias("all_small"))
     sized = groups.join(small, "at", "left").withColumn("large", F.col("n") > BLOCK_TEXTS)
     blocks = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("all_small")) / BLOCK_TEXTS)
     part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("class")).otherwise(F.col("root"))), F.col("blocks"))
     placed = own.join(sized.select("at", "root", "large", blocks.alias("blocks")), ["at", "root"])
-    placed = scratch(placed.select("at", "class", "root", F.struct(F.when(F.col("large"), F.col("root")).alias("of"), part.alias("part")).alias("block")), "blocks")
+    placed = scratch(placed.select("at", "class", "root", F.struct(F.when(F.col("large"), F.col("root")).alias("of"), part.alias("part")).alias("block")), tag)
     if placed.isEmpty():
         return None
     of_list = placed.select("at", "block").distinct().groupBy("at").agg(F.collect_list("block").alias("others"))
     meet = F.filter("others", lambda o: F.col("block.of").isNull() | o["of"].isNull() | (o["of"] != F.col("block.of")))
     pair = lambda o: F.struct(F.xxhash64("at", F.least("block", o), F.greatest("block", o)).alias("key"), (F.col("block") > o).alias("side"), (F.col("block") == o).alias("same"))
-    rows = placed.join(of_list, "at").select("class", "root", F.explode(F.transform(meet, pair)).alias("p")).join(classes, "class")
-    ordered = rows.select("p.key", "p.side", "p.same", "class", "root", "sig").repartition("key").sortWithinPartitions("key", "side")
+    return placed.join(of_list, "at").select("class", "root", F.explode(F.transform(meet, pair)).alias("p")).select("class", "root", "p.*")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of a sorted first column, one key at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(key)) + 1
+        for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(key)], strict=True):
+            if held and hi > lo and held[0].column(0)[0].as_py() != int(key[lo]):
+                yield pa.Table.from_batches(held)
+                held.clear()
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows (key, side, same, ..., sig): each text of the first block, and those of the other that share LEAST positional bytes with it."""
+    side, same = (t.column(i).to_numpy() for i in (1, 2))
+    sig = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sig")), np.uint8).reshape(-1, BYTES)
+    a, b = (np.flatnonzero(~side), np.arange(len(side)) if same[0] else np.flatnonzero(side))
+    for lo in range(0, len(a), 16):
+        shared = (sig[a[lo : lo + 16]][:, None, :] == sig[b][None]).sum(axis=2)
+        for i, row in zip(a[lo : lo + 16].tolist(), shared, strict=True):
+            yield i, b[row >= LEAST]
+
+
+def _rest(long: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(u, v), u < v: what the pairs in long lists (at, class) that share LEAST positional bytes and have different roots join, as links.
+
+    The pairs themselves grow with the square of a family; a task hands on no more links than it has texts,
+    from the least text of each family in its two blocks to the others.
+    """
+    named = long.select("at", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("at", "class", F.coalesce("root", "class").alias("root"), F.lit(1).alias("weight"))
+    dealt = _dealt(named, "blocks")
+    if dealt is None:
+        return None
+    ordered = dealt.join(classes, "class").select("key", "side", "same", "class", "root", "sig").repartition("key").sortWithinPartitions("key", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            side, same, name, root = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
-            sig = np.frombuffer(b"".join(x.as_buffer() for x in t.column(5)), np.uint8).reshape(-1, BYTES)
-            a, b = (np.flatnonzero(~side), np.arange(len(name)) if same[0] else np.flatnonzero(side))
-            for lo in range(0, len(a), 16):
-                i = a[lo : lo + 16]
-                shared = (sig[i][:, None, :] == sig[b][None]).sum(axis=2)
-                x, y = np.nonzero((shared >= LEAST) & (root[i][:, None] != root[b][None]))
-                u, v = name[i[x]], name[b[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        for t in _by_key(batches):
+            name, root = (t.column(i).to_numpy() for i in (3, 4))
+            family = np.arange(len(name))
+            for i, met in _shared(t):
+                met = met[root[met] != root[i]]
+                if len(other := np.unique(family[met])) and (len(other) > 1 or other[0] != family[i]):
+                    family[np.isin(family, other)] = family[i]
+            order = np.lexsort((name, family))
+            first = np.flatnonzero(np.diff(family[order], prepend=-1))
+            least = np.repeat(name[order[first]], np.diff(first, append=len(order)))
+            links = least != name[order]
+            yield pa.RecordBatch.from_arrays([pa.array(least[links]), pa.array(name[order][links])], ["u", "v"])
 
-        for b in batches:
-            key = b.column(0).to_numpy()
-            starts = np.flatnonzero(np.diff(key)) + 1
-            for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(key)], strict=True):
-                if held and hi > lo and held[0].column(0)[0].as_py() != int(key[lo]):
-                    yield from settle()
-                    held.clear()
-                if hi > lo:
-                    held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from settle()
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
+def _rest_verified(families: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of all pairs in families (node, root) that share LEAST positional bytes, are of different ``roots`` and as similar as asked.
+
+    Sets of shingles go with their texts to the blocks, not with the pairs; in a task, groups that a link
+    joins are one from then on, so it hands on no more links than it has texts.
+    """
+    heavy = F.ceil(F.length("set") / BLOCK_BYTES * BLOCK_TEXTS)  # so that a block has BLOCK_BYTES of sets, about
+    own = families.select(F.col("root").alias("at"), F.col("node").alias("class")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    named = own.join(sets.select("class", heavy.alias("weight")), "class").select("at", "class", F.coalesce("root", "class").alias("root"), F.greatest(F.lit(1).cast("long"), "weight").alias("weight"))
+    dealt = _dealt(named, "family_blocks")
+    if dealt is None:
+        return families.select(F.col("node").alias("u"), F.col("root").alias("v")).limit(0)
+    ordered = dealt.join(classes, "class").join(sets, "class").select("key", "side", "same", "class", "root", "sig", "set").repartition("key").sortWithinPartitions("key", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches):
+            name, root = t.column(3).to_numpy(), t.column(4).to_numpy().copy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(6)]
+            u, v = [], []
+            for i, met in _shared(t):
+                own = sets[i]
+                met = met[root[met] != root[i]]
+                for lo in range(0, len(met), 64):
+                    some = met[lo : lo + 64]
+                    some = some[root[some] != root[i]]  # what a link of the part before joined is done
+                    if not len(some):
+                        continue
+                    size = np.array([len(sets[j]) for j in some])
+                    other = np.concatenate([sets[j] for j in some])
+                    at = np.searchsorted(own, other)
+                    both = np.add.reduceat((own[np.minimum(at, len(own) - 1)] == other).astype(np.int64), np.cumsum(size) - size)
+                    for j in some[both >= similarity * (len(own) + size - both) - 1e-9].tolist():
+                        if root[j] != root[i]:
+                            u.append(int(min(name[i], name[j])))
+                            v.append(int(max(name[i], name[j])))
+                            root[root == root[j]] = root[i]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
@@ -257,7 +325,9 @@ def similar_classes(docs: DataFrame, own: DataFrame, text: str = "text", k: int
     rest = _rest(lists[1], classes, roots)
     if rest is None:
         return roots.withColumnRenamed("node", "class")
-    rest = scratch(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
+    rest = scratch(rest, "rest")
     if rest.isEmpty():
         return roots.withColumnRenamed("node", "class")
-    return connected_components(links.union(_verified(rest, sets_of(rest), similarity))).withColumnRenamed("node", "class")
+    families = scratch(connected_components(rest), "families")
+    more = scratch(_rest_verified(families, classes, roots, sets_of(rest), similarity), "links")
+    return connected_components(links.union(more)).withColumnRenamed("node", "class")

@@ -150,6 +150,27 @@ def test_members_of_long_lists_all_meet(spark, monkeypatch, block):
     assert {(x.u, x.v) for x in near_copies._rest(lists[1], classes, roots).collect()} == want
 
 
+def test_a_family_of_near_misses_is_no_list_of_pairs(spark, monkeypatch):
+    """All pairs of a long list reach the tally: what is handed on is as many as the texts, and verification loses no link."""
+    monkeypatch.setattr(near_copies, "SHORT", 2)
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 100)
+    r = np.random.default_rng(9)
+    base = r.integers(0, 256, near_copies.BYTES, dtype=np.uint8)
+    n, sigs, sets = 240, [], []
+    for i in range(n):  # texts 2i and 2i + 1 share 85 of 105 shingles, all others 80 of 120
+        sigs.append(bytearray(np.where(np.arange(near_copies.BYTES) % 10 == i % 10, r.integers(0, 256, near_copies.BYTES, dtype=np.uint8), base).astype(np.uint8).tobytes()))
+        own = [*range(80), *(10**6 + i // 2 * 15 + k for k in range(5)), *(10**7 + i * 15 + k for k in range(10))]
+        sets.append((i, bytearray(np.array(own, np.uint32).tobytes())))
+    classes = spark.createDataFrame(list(enumerate(sigs)), "class long, sig binary")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    long = classes.selectExpr("1L as at", "class")
+    rest = near_copies._rest(long, classes, roots)
+    assert n - 1 <= rest.count() <= 8 * n  # of 28,679 pairs
+    families = near_copies.connected_components(rest)
+    got = near_copies._rest_verified(families, classes, roots, spark.createDataFrame(sets, "class long, set binary"), 0.8)
+    assert {(x.u, x.v) for x in got.collect()} == {(i, i + 1) for i in range(2, n, 2)}
+
+
 def test_all_pairs_helper():
     texts = ["a b c d e f g", "a b c d e f g h", "x y", "x y", "q"]
     sets = [shingles(t) for t in texts]
