@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +130,20 @@ def test_tries_are_cut_and_merged_whole(one, two, at):
         assert not set(got) & set(total)
         total.update(got)
     assert total == a + b
+
+
+def test_memory_of_a_shard():
+    """The trie of a full shard and its rows, beside what reads the texts."""
+    r = np.random.default_rng(4)
+    shard = co.Shard()
+    for _ in range(co.SHARD_WORDS // 20_000):
+        words = [f"w{x}" for x in (r.pareto(0.6, 20_000) * 20).astype(np.int64) % 200_000]
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        shard.add(raw, np.array([0, len(raw)]), ["en"])
+    tracemalloc.start()
+    trie = co.Trie.of(shard, co.DEPTH)
+    for lo in range(0, len(trie.counts), co.CHUNK_NODES):
+        trie.slice(lo, lo + co.CHUNK_NODES).dump()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90_000_000
