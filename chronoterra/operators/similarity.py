@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +69,9 @@ def bucket_members(vectors: DataFrame, size: int, k: int = 5, block: int = 1000)
 def duplicates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.95, block: int = 256) -> DataFrame:
     """(a, b, score): vectors more alike to an asked one than the threshold (strict), each unordered pair once.
 
-    ``asked`` is a stated set of vectors. It is packed into blocks of ``block`` rows and broadcast, so that
-    each task reads it against its own rows and no vector is shuffled; more than ASKED_AT_ONCE of them are
-    asked in further passes over the rows.
+    ``asked`` is a stated set of vectors. It is broadcast, so that each task multiplies its own rows with it,
+    ``block`` rows at a time, and no vector is shuffled; more than ASKED_AT_ONCE of them are asked in further
+    passes over the rows. What comes near the threshold is scored once more, component by component in their order.
     """
     passes = max(1, -(-asked.count() // ASKED_AT_ONCE))
     if passes > 1:
@@ -77,9 +82,32 @@ def duplicates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.95, bl
 
 def _met(vectors: DataFrame, asked: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b, score) of one pass."""
-    unit = lambda d, i, v: d.select(F.col("id").alias(i), F.col("vec").cast("array<double>").alias(v), F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias(f"{v}_n")).filter(F.col(f"{v}_n") > 0)
-    q = unit(asked, "q", "w").withColumn("block", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.hash("q"), F.lit(64))).orderBy("q")) / block))
-    packed = q.groupBy(F.pmod(F.hash("q"), F.lit(64)).alias("part"), "block").agg(F.collect_list(F.struct("q", "w", "w_n")).alias("qs"))
-    met = unit(vectors, "id", "v").join(F.broadcast(packed)).select("id", "v", "v_n", F.explode("qs").alias("x")).filter("id <> x.q")
-    score = _dot(F.col("v"), F.col("x.w")) / (F.col("v_n") * F.col("x.w_n"))
-    return met.select(F.least("id", "x.q").alias("a"), F.greatest("id", "x.q").alias("b"), score.alias("score")).filter(F.col("score") > threshold).groupBy("a", "b").agg(F.max("score").alias("score"))
+    unit = lambda d: d.select("id", F.col("vec").cast("array<double>").alias("v"), F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias("n")).filter("n > 0")
+    of_length = defaultdict(list)  # ASKED_AT_ONCE at most; vectors of another length have no score
+    for q in unit(asked).collect():
+        of_length[len(q.v)].append(q)
+    held = vectors.sparkSession.sparkContext.broadcast({k: (np.array([q.id for q in qs], np.int64), np.array([q.v for q in qs]), np.array([q.n for q in qs])) for k, qs in of_length.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, norms, sizes = b.column(0).to_numpy(), b.column(2).to_numpy(), pc.list_value_length(b.column(1)).to_numpy()
+            for size in np.unique(sizes).tolist():
+                if size not in held.value:
+                    continue
+                name, w, w_n = held.value[size]
+                at = np.flatnonzero(sizes == size)
+                v = b.column(1).take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
+                for lo in range(0, len(at), block):
+                    rows = at[lo : lo + block]
+                    far = (v[lo : lo + block] @ w.T) / (norms[rows, None] * w_n) <= threshold - 1e-9  # not where a score is no number
+                    x, y = np.nonzero(~far & (ids[rows, None] != name))
+                    dot = np.zeros(len(x))
+                    for i in range(size):
+                        dot += v[lo + x, i] * w[y, i]
+                    score = dot / (norms[rows[x]] * w_n[y])
+                    keep = ~(score <= threshold)
+                    p, q = ids[rows[x[keep]]], name[y[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(score[keep])], ["a", "b", "score"])
+
+    met = unit(vectors).withColumn("id", F.col("id").cast("long")).mapInArrow(run, "a long, b long, score double")
+    return met.groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from chronoterra.operators import linear
+from chronoterra.operators import linear, similarity
 
 
 @pytest.mark.parametrize("pack", [3, 2048])
@@ -32,3 +32,16 @@ def test_places_on_routes_meet_in_packs(spark, monkeypatch, pack):
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k][1], rel_tol=1e-9, abs_tol=1e-6) for k in got)
     assert "MapInArrow" in out._jdf.queryExecution().toString()  # of a point and a pack one row is left
+
+
+def test_duplicates_are_multiplied_in_tasks(spark):
+    rows = [(i, [math.sin(i * j + j) for j in range(1, 9)]) for i in range(120)] + [(200, [1.0, 2.0]), (201, [2.0, 4.1]), (202, [0.0] * 8), (203, None), (204, [1.0, None])]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(5)
+    out = similarity.duplicates(vectors, vectors.filter("id % 10 = 0"), 0.6, block=7)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+    good = {i: v for i, v in rows if v and None not in v and any(v)}
+    want = {(min(i, j), max(i, j)): s for i in good for j in good if i != j and j % 10 == 0 and len(good[i]) == len(good[j]) and (s := cosine(good[i], good[j])) > 0.6}
+    got = {(r.a, r.b): r.score for r in out.collect()}
+    assert got.keys() == want.keys() and (200, 201) in got
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in got)
+    assert "Generate" not in out._jdf.queryExecution().toString()  # no row for each vector and asked one
