@@ -132,7 +132,8 @@ def overlay_pairs(left: DataFrame, right: DataFrame, cell: float, operation: str
         i, j = (F.sequence(at(F.col(f"{n}_box.{c}min")), at(F.col(f"{n}_box.{c}max"))) for c in "xy")
         return box.filter(f"{n}_box.xmin is not null").withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
 
-    met = dealt(left, "a").join(dealt(right, "b"), ["i", "j"])
+    # dealt by cell whatever the join: a small file is one task, which would overlay all pairs
+    met = dealt(left, "a").join(dealt(right, "b").repartition("i", "j"), ["i", "j"])
     low = [F.greatest(F.col(f"a_box.{c}min"), F.col(f"b_box.{c}min")) for c in "xy"]
     high = [F.least(F.col(f"a_box.{c}max"), F.col(f"b_box.{c}max")) for c in "xy"]
     once = met.filter((F.col("i") == at(low[0])) & (F.col("j") == at(low[1])) & (low[0] < high[0]) & (low[1] < high[1])).select("a", "b", "a_shape", "b_shape")

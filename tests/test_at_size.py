@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from chronoterra.operators import linear, similarity
+from chronoterra.operators import linear, overlays, similarity
 
 
 @pytest.mark.parametrize("pack", [3, 2048])
@@ -45,3 +45,12 @@ def test_duplicates_are_multiplied_in_tasks(spark):
     assert got.keys() == want.keys() and (200, 201) in got
     assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in got)
     assert "Generate" not in out._jdf.queryExecution().toString()  # no row for each vector and asked one
+
+
+def test_pairs_are_overlaid_by_cell_whatever_the_files(spark):
+    box = lambda x, y: [[[(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0), (x, y)]]]
+    rows = lambda n: spark.createDataFrame([(i, box(i * 3.0 % 40, i * 7.0 % 20)) for i in range(n)], f"feature_id long, shape {overlays.kernel.SHAPE_TYPE}").coalesce(1)
+    out = overlays.overlay_pairs(rows(20), rows(30), 4.0)
+    want = {(a, b) for a in range(20) for b in range(30) if abs(a * 3.0 % 40 - b * 3.0 % 40) < 2 and abs(a * 7.0 % 20 - b * 7.0 % 20) < 2}
+    assert {(r.a, r.b) for r in out.select("a", "b").collect()} == want
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()  # before the pairs are there
