@@ -3,7 +3,8 @@
 The asked-for points are dealt to a quadtree that is as deep as they are dense: a node with over LEAF
 points has children. All asking points descend together, a round per depth: each knows the cells that
 may hold its k nearest, and how far its k-th can be at most (the cells that surely hold k points);
-cells beyond that are dropped. In the end it meets the points of the few leaves that are left. No point
+cells beyond that are dropped. In the end it meets the points of the few leaves that are left: both come
+in packs, and a task hands on one row of an asking point and a leaf, with its k nearest there. No point
 meets all others, however crowded a place is, and copies of one position are k rows at most.
 
 A Voronoi cell starts from the nearest neighbours and is cut at their bisectors. A cell is right when no
@@ -16,10 +17,14 @@ diagram share the cell of the smallest id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import shapes
 from .history import checkpoint
@@ -29,6 +34,8 @@ DEPTH, STEP = 26, 6
 #: Nodes of the tree (about 40 bytes each) up to which it is broadcast to the asking points.
 BROADCAST_NODES = 500_000
 COPIES = 16
+#: Asking points of a pack, and parts of a leaf's packs that meet its points in different tasks.
+PACK, PARTS = 2048, 8
 
 
 def _points(rows: DataFrame, name: str) -> DataFrame:
@@ -77,7 +84,7 @@ class Tree:
         depths = [r.d for r in self.nodes.filter("leaf").select("d").distinct().collect()]  # DEPTH numbers at most
         ways = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), *self._cell(d)) for d in depths] or [F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))]))
         dealt = placed.select("id", "x", "y", ways.alias("c")).select("id", "x", "y", "c.*")
-        self.points = dealt.join(self._hint(self.nodes.filter("leaf").select("d", "i", "j")), ["d", "i", "j"]) if depths else dealt
+        self.points = dealt.join(self._hint(self.nodes.filter("leaf").select("d", "i", "j", "n")), ["d", "i", "j"]) if depths else dealt.withColumn("n", F.lit(self.count))
 
     def _cell(self, d: int) -> list[Column]:
         return [F.shiftright(b, DEPTH - d).alias(c) for b, c in (("bi", "i"), ("bj", "j"))]
@@ -86,7 +93,16 @@ class Tree:
         return F.broadcast(nodes) if self.small else nodes
 
     def children(self) -> DataFrame:
-        return self._hint(self.nodes.select((F.col("d") - 1).alias("d"), F.shiftright("i", 1).alias("i"), F.shiftright("j", 1).alias("j"), F.struct("d", "i", "j", "n", "leaf").alias("child")))
+        """(d, i, j, children): a row for each inner node."""
+        one = self.nodes.select((F.col("d") - 1).alias("d"), F.shiftright("i", 1).alias("i"), F.shiftright("j", 1).alias("j"), F.struct("d", "i", "j", "n", "leaf").alias("child"))
+        return self._hint(one.groupBy("d", "i", "j").agg(F.collect_list("child").alias("children")))
+
+    def packs(self) -> DataFrame:
+        """(d, i, j, salt, b, bx, by): the points of a leaf as arrays, by id, for each salt; of a leaf at DEPTH several packs."""
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LEAF)).alias("part")
+        packed = self.points.groupBy("d", "i", "j", part).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("rows"))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("salt")
+        return packed.select("d", "i", "j", salts, F.col("rows.id").alias("b"), F.col("rows.x").alias("bx"), F.col("rows.y").alias("by"))
 
     def reach(self, c: Column) -> tuple[Column, Column]:
         """(least, greatest) distance of (x, y) to the box of a node."""
@@ -108,6 +124,27 @@ def _kept(cells: Column, k: int) -> Column:
     return F.element_at(F.transform(F.array(bound), lambda b: F.filter(cells, lambda c: c["near"] <= b)), 1)
 
 
+def _nearest_of(k: int):
+    """Of packs (a, x, y) and (b, bx, by), the latter by id: (a, near) with the k nearest (d, b) of each a, the first of equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x, y, others, bx, by = (batch.column(c)[i].values for c in range(6))
+                x, y, bx, by = (c.to_numpy() for c in (x, y, bx, by))
+                n = min(k, len(bx))
+                at, far = np.empty((len(x), n), np.int64), np.empty((len(x), n))
+                for lo in range(0, len(x), 256):
+                    dx, dy = x[lo : lo + 256, None] - bx, y[lo : lo + 256, None] - by
+                    d = np.sqrt(dx * dx + dy * dy)
+                    at[lo : lo + 256] = np.argsort(d, axis=1, kind="stable")[:, :n]
+                    far[lo : lo + 256] = np.take_along_axis(d, at[lo : lo + 256], 1)
+                near = pa.StructArray.from_arrays([pa.array(far.ravel()), others.take(pa.array(at.ravel()))], ["d", "b"])
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), near)], ["a", "near"])
+
+    return run
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "feature_id", right_id: str = "feature_id", other: bool = False, tree: Tree | None = None) -> DataFrame:
     """(a, rank, b, d): the k right points nearest to each left one (fewer if there are no more), by planar distance, then id.
 
@@ -117,13 +154,14 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "feature_
     tree = tree or Tree(_few_per_position(_points(right, right_id), want))
     asks = _points(left, left_id)
     if tree.count <= LEAF:
-        found = asks.join(F.broadcast(tree.points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))))  # LEAF rows
+        met = asks.select("id", "x", "y", F.lit(0).alias("d"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
     else:
         cell = lambda c: F.struct(tree.reach(c)[1].alias("far"), tree.reach(c)[0].alias("near"), c["n"].alias("n"), c["d"].alias("d"), c["i"].alias("i"), c["j"].alias("j"), c["leaf"].alias("leaf"))
         open_, done = asks.select("id", "x", "y", F.lit(0).alias("d"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.array().cast("array<struct<far:double,near:double,n:bigint,d:int,i:bigint,j:bigint,leaf:boolean>>").alias("rest")), None
+        children = tree.children()
         for _ in range(DEPTH):
-            # every asking point is one group: its new children and the leaves that it had
-            new = open_.join(tree.children(), ["d", "i", "j"]).groupBy("id", "x", "y").agg(F.collect_list(cell(F.col("child"))).alias("new"), F.first("rest").alias("rest"))
+            # every asking point is one group: its new children and the leaves that it had, which only its first row carries
+            new = open_.join(children, ["d", "i", "j"]).groupBy("id", "x", "y").agg(F.flatten(F.collect_list(F.transform("children", cell))).alias("new"), F.first("rest", ignorenulls=True).alias("rest"))
             state = checkpoint(new.select("id", "x", "y", _kept(F.concat("new", "rest"), want).alias("cells")))
             leaves, inner = F.filter("cells", lambda c: c["leaf"]), F.filter("cells", lambda c: ~c["leaf"])
             over = state.filter(F.size(inner) == 0).select("id", "x", "y", F.explode(leaves).alias("c"))
@@ -131,16 +169,20 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "feature_
             rest = state.filter(F.size(inner) > 0)
             if rest.isEmpty():
                 break
-            open_ = rest.select("id", "x", "y", F.explode(inner).alias("c"), leaves.alias("rest")).select("id", "x", "y", "c.d", "c.i", "c.j", "rest")
+            open_ = rest.select("id", "x", "y", F.posexplode(inner).alias("p", "c"), leaves.alias("rest")).select("id", "x", "y", "c.d", "c.i", "c.j", F.when(F.col("p") == 0, F.col("rest")).alias("rest"))
         else:
             raise RuntimeError("the tree has no end")
         met = done.select("id", "x", "y", "c.d", "c.i", "c.j")
-        found = met.join(tree.points.select("d", "i", "j", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), ["d", "i", "j"])
-    d = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-    near = found.select(F.col("id").alias("a"), "b", d.alias("d"))
-    near = near.filter("a <> b") if other else near
-    order = Window.partitionBy("a").orderBy("d", "b")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("a", "rank", "b", "d")
+    counts = met.groupBy("d", "i", "j").agg(F.ceil(F.count("*") / PACK).alias("packs"))
+    dealt = met.join(tree._hint(counts), ["d", "i", "j"]).withColumn("pack", F.pmod(F.xxhash64("id"), F.col("packs")))
+    packs = dealt.groupBy("d", "i", "j", "pack").agg(F.collect_list(F.struct("id", "x", "y")).alias("rows")).withColumn("salt", F.pmod(F.col("pack"), F.lit(PARTS)))
+    both = packs.join(tree.packs(), ["d", "i", "j", "salt"]).select(F.col("rows.id").alias("a"), F.col("rows.x").alias("x"), F.col("rows.y").alias("y"), "b", "bx", "by")
+    one = StructType([StructField("d", DoubleType()), StructField("b", tree.points.schema["id"].dataType)])
+    found = both.mapInArrow(_nearest_of(want), StructType([StructField("a", asks.schema["id"].dataType), StructField("near", ArrayType(one))]))
+    near = found.groupBy("a").agg(F.flatten(F.collect_list("near")).alias("near"))
+    others = F.filter("near", lambda c: c["b"] != F.col("a")) if other else F.col("near")
+    ranked = near.select("a", F.posexplode(F.slice(F.sort_array(others), 1, k)).alias("n", "c"))
+    return ranked.select("a", (F.col("n") + 1).alias("rank"), "c.b", "c.d")
 
 
 def _cut_by(cell: Column, sites: Column, x: Column, y: Column) -> Column:

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from chronoterra.operators import linear, overlays, similarity
+from chronoterra.operators import linear, nearest, overlays, similarity
 
 
 @pytest.mark.parametrize("pack", [3, 2048])
@@ -54,3 +54,16 @@ def test_pairs_are_overlaid_by_cell_whatever_the_files(spark):
     want = {(a, b) for a in range(20) for b in range(30) if abs(a * 3.0 % 40 - b * 3.0 % 40) < 2 and abs(a * 7.0 % 20 - b * 7.0 % 20) < 2}
     assert {(r.a, r.b) for r in out.select("a", "b").collect()} == want
     assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()  # before the pairs are there
+
+
+@pytest.mark.parametrize("leaf", [4, 10_000])
+def test_neighbours_are_found_in_packs(spark, monkeypatch, leaf):
+    for name, value in (("LEAF", leaf), ("PACK", 3), ("DEPTH", 3)):
+        monkeypatch.setattr(nearest, name, value, raising=False)
+    sites = [(i, i * 37 % 41 / 2.0, i * 23 % 29 / 2.0) for i in range(40)] + [(100 + i, 7.0 + i % 4 / 64, 7.0 + i // 4 / 64) for i in range(20)]  # leaves of over LEAF points
+    asked = [(i, i * 1.7 % 21, i * 2.3 % 15) for i in range(25)] + [(50 + i, 7.0 + i / 128, 7.0) for i in range(8)] + [(90, None, 1.0)]
+    rows = [spark.createDataFrame(r, "feature_id long, lng double, lat double") for r in (asked, sites)]
+    out = nearest.knn_join(*rows, 5)
+    want = {(a, i): (b, d) for a, x, y in asked if x is not None for i, (d, b) in enumerate(sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), b) for b, u, v in sites)[:5], 1)}
+    assert {(r.a, r["rank"]): (r.b, r.d) for r in out.collect()} == want
+    assert "windowspecdefinition(a#" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each asking point and point of a leaf is sorted
