@@ -4,7 +4,8 @@
 polygons with attributes:
 
 1. A feature goes to the tiles that its box covers, is cut to each one with BUFFER units around it
-   (polygons by functions/overlay), and is dropped where it doesn't reach the tile itself.
+   (polygons by functions/overlay), and is dropped where it doesn't reach the tile itself. Features
+   are dealt to tasks before that, as the cutting takes far longer than the reading of a small file.
 2. Keys and values are numbered per tile: values in PARTS parts by their hash, each after those before.
 3. Features are encoded with their commands and tags, joined by (tile, part), and the parts by tile: a
    crowded tile's features are never one group, only their bytes are one row.
@@ -15,12 +16,15 @@ A tile of the same features has the same bytes on every run.
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ from .grids import TILE_UNITS, tile_points, tile_position
 from .history import checkpoint
 
 BUFFER, PARTS = 64, 16
+#: Decoded features of a tile that are handed on at once.
+ROWS = 10_000
 #: The types of features.
 POINT, LINE, POLYGON = 1, 2, 3
 _WORLD = 360.0  # the Web Mercator square's side in the units that shapes are cut in
@@ -92,7 +98,10 @@ def dataset_tiles(versions: DataFrame, changesets: DataFrame, branches: DataFram
 
 
 def _on_tiles(rows: DataFrame, zoom: int, units: int, buffer: int) -> DataFrame:
-    """Rows (feature_id, kind, shape, ...) on the Web Mercator square, and a box of each tile that their box covers."""
+    """Rows (feature_id, kind, shape, ...) on the Web Mercator square, and a box of each tile that their box covers.
+
+    ``inside`` says that the row's box lies within the tile.
+    """
     n = float(1 << zoom)
 
     def placed(p: Column) -> Column:
@@ -101,7 +110,7 @@ def _on_tiles(rows: DataFrame, zoom: int, units: int, buffer: int) -> DataFrame:
 
     flat = F.transform("shape", lambda part: F.transform(part, lambda path: F.transform(path, placed)))
     box = shapes.bounds(F.flatten(F.flatten("shape")))
-    own = rows.filter("size(shape) > 0").withColumn("shape", flat).withColumn("box", box).filter("box.xmin is not null")
+    own = rows.filter("size(shape) > 0").repartition("feature_id", "shape").withColumn("shape", flat).withColumn("box", box).filter("box.xmin is not null")
     last = F.lit((1 << zoom) - 1)
     at = lambda v: F.least(F.greatest(F.floor(v / _WORLD * n), F.lit(0)), last).cast("long")
     spread = own.withColumn("tx", F.explode(F.sequence(at(F.col("box.xmin")), at(F.col("box.xmax"))))).withColumn("ty", F.explode(F.sequence(at(F.col("box.ymin")), at(F.col("box.ymax")))))
@@ -112,7 +121,8 @@ def _on_tiles(rows: DataFrame, zoom: int, units: int, buffer: int) -> DataFrame:
         x1, y1 = ((F.col(c) + 1) * side + more * side for c in ("tx", "ty"))
         return F.array(F.array(F.array(*[shapes.point(a, b) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])))
 
-    return spread.withColumn("frame", frame(0.0)).withColumn("wide", frame(buffer / units)).drop("box")
+    within = [(F.col(f"box.{v}min") >= F.col(c) * side) & (F.col(f"box.{v}max") <= (F.col(c) + 1) * side) for v, c in (("x", "tx"), ("y", "ty"))]
+    return spread.withColumn("inside", within[0] & within[1]).withColumn("frame", frame(0.0)).withColumn("wide", frame(buffer / units)).drop("box")
 
 
 def cut_lines(shape: list, box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
@@ -165,6 +175,21 @@ def commands(kind: int, paths: list[list[tuple[int, int]]]) -> list[int]:
     return out
 
 
+def _unit_paths(shapes_: pa.Array, scale: float, x0: np.ndarray, y0: np.ndarray) -> Iterator[list[list[tuple[int, int]]]]:
+    """The rings of each shape in whole units from (x0, y0)."""
+    polygons = shapes_.flatten()
+    rings = polygons.flatten()
+    points = rings.flatten()
+    of, per, size = (pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in (shapes_, polygons, rings))
+    row = np.repeat(np.repeat(np.arange(len(of)), of), per)
+    at = np.repeat(row, size)
+    xy = [np.rint(points.field(k).to_numpy(zero_copy_only=False) * scale - low[at]).astype(np.int64).tolist() for k, low in enumerate((x0, y0))]
+    corners, ends = list(zip(*xy, strict=True)), np.cumsum(size).tolist()
+    paths = [corners[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    last = np.cumsum(np.bincount(row, minlength=len(of))).tolist()
+    return (paths[a:b] for a, b in zip([0, *last], last, strict=False))
+
+
 def _geometries(spread: DataFrame, zoom: int, units: int) -> DataFrame:
     """(feature_id, kind, tx, ty, attributes, commands) of every feature that reaches a tile."""
     scale = (1 << zoom) * units / _WORLD
@@ -179,11 +204,15 @@ def _geometries(spread: DataFrame, zoom: int, units: int) -> DataFrame:
                 to_units = lambda i, x, y: (round(x * scale - tx[i] * units), round(y * scale - ty[i] * units))
                 if len(places):
                     own = b.filter(polygon)
-                    _, reaches = kernel.overlay(own.column(4), own.column(5), "intersection")
+                    reaches = own.column(8).to_numpy(zero_copy_only=False).copy()
+                    asked = np.flatnonzero(~reaches)
+                    if len(asked):
+                        part = own.take(pa.array(asked))
+                        reaches[asked] = kernel.overlay(part.column(4), part.column(5), "intersection")[1]
                     cut, _ = kernel.overlay(own.column(4), own.column(6), "intersection")
-                    for i, reached, shape in zip(places.tolist(), reaches.tolist(), cut.to_pylist(), strict=True):
+                    for i, reached, paths in zip(places.tolist(), reaches.tolist(), _unit_paths(cut, scale, *(own.column(c).to_numpy() * units for c in (2, 3))), strict=True):
                         if reached:
-                            made[i] = commands(POLYGON, [[to_units(i, p["x"], p["y"]) for p in ring] for part in shape for ring in part])
+                            made[i] = commands(POLYGON, paths)
                 for i, k in enumerate(kinds):
                     if k == POLYGON:
                         continue
@@ -196,7 +225,7 @@ def _geometries(spread: DataFrame, zoom: int, units: int) -> DataFrame:
                         made[i] = commands(LINE, [[to_units(i, *p) for p in path] for path in cut_lines(shape, wide)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(7), pa.array(made, pa.list_(pa.int64()))], ["feature_id", "kind", "tx", "ty", "attributes", "commands"])
 
-    own = spread.select(F.col("feature_id").cast("long").alias("feature_id"), F.col("kind").cast("int").alias("kind"), "tx", "ty", F.col("shape").cast(kernel.SHAPE_TYPE).alias("shape"), "frame", "wide", F.col("attributes").cast("map<string,string>").alias("attributes"))
+    own = spread.select(F.col("feature_id").cast("long").alias("feature_id"), F.col("kind").cast("int").alias("kind"), "tx", "ty", F.col("shape").cast(kernel.SHAPE_TYPE).alias("shape"), "frame", "wide", F.col("attributes").cast("map<string,string>").alias("attributes"), "inside")
     return own.mapInArrow(run, "feature_id long, kind int, tx long, ty long, attributes map<string,string>, commands array<long>").filter("size(commands) > 0")
 
 
@@ -363,14 +392,17 @@ def decoded(tiles: DataFrame) -> DataFrame:
     """(tx, ty, feature_id, kind, area, length, tags) of every feature in encoded tiles, measured in tile units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.string()))
+        names = ["tx", "ty", "feature_id", "kind", "area", "length", "tags"]
         for b in batches:
-            rows = []
-            for tx, ty, data in zip(*(b.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                for f in (f for layer in decode_tile(data) for f in layer["features"]):
-                    pairs = [(p, q) for path in f["paths"] for p, q in zip(path, path[1:], strict=False)]
-                    area = sum(p[0] * q[1] - q[0] * p[1] for p, q in pairs) / 2 if f["kind"] == POLYGON else 0.0
-                    rows.append((tx, ty, f["id"], f["kind"], area, float(sum(np.hypot(p[0] - q[0], p[1] - q[1]) for p, q in pairs)), [(k, json.dumps(v)) for k, v in f["tags"].items()]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows, strict=True)] or [()] * 7, kinds, strict=True)], ["tx", "ty", "feature_id", "kind", "area", "length", "tags"])
+            for tx, ty, data in zip(*(b.column(c) for c in (0, 1, 2)), strict=True):
+                features = (f for layer in decode_tile(data.as_py()) for f in layer["features"])
+                while part := list(islice(features, ROWS)):
+                    rows = []
+                    for f in part:
+                        pairs = [(p, q) for path in f["paths"] for p, q in zip(path, path[1:], strict=False)]
+                        area = sum(p[0] * q[1] - q[0] * p[1] for p, q in pairs) / 2 if f["kind"] == POLYGON else 0.0
+                        rows.append((tx.as_py(), ty.as_py(), f["id"], f["kind"], area, sum((math.hypot(p[0] - q[0], p[1] - q[1]) for p, q in pairs), 0.0), [(k, json.dumps(v)) for k, v in f["tags"].items()]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return tiles.select("tx", "ty", "mvt").mapInArrow(run, "tx long, ty long, feature_id long, kind int, area double, length double, tags map<string,string>")

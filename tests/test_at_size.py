@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from chronoterra.operators import linear, nearest, overlays, similarity
+from chronoterra.operators import linear, nearest, overlays, similarity, vector_tiles
 
 
 @pytest.mark.parametrize("pack", [3, 2048])
@@ -67,3 +67,17 @@ def test_neighbours_are_found_in_packs(spark, monkeypatch, leaf):
     want = {(a, i): (b, d) for a, x, y in asked if x is not None for i, (d, b) in enumerate(sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), b) for b, u, v in sites)[:5], 1)}
     assert {(r.a, r["rank"]): (r.b, r.d) for r in out.collect()} == want
     assert "windowspecdefinition(a#" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each asking point and point of a leaf is sorted
+
+
+def test_features_are_dealt_before_they_are_cut(spark, monkeypatch):
+    box = lambda x, y, w: [[[(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]]]
+    shapes = [(i, i * 37.0 % 300 - 169.7, i * 13.0 % 100 - 59.7, 1.0 + i % 4) for i in range(60)]
+    rows = spark.createDataFrame([(i, vector_tiles.POLYGON, box(x, y, w), {"k": str(i)}) for i, x, y, w in shapes], f"feature_id long, kind int, shape {overlays.SHAPE}, attributes map<string,string>").coalesce(1)
+    spread = vector_tiles._on_tiles(rows, 4, 4096, 64)
+    assert "REPARTITION_BY_COL" in spread._jdf.queryExecution().executedPlan().toString()
+    tiles = {(r.feature_id, r.tx, r.ty): r.inside for r in spread.select("feature_id", "tx", "ty", "inside").collect()}
+    count = {i: sum(k[0] == i for k in tiles) for i, *_ in shapes}
+    assert all(inside == (count[i] == 1) for (i, _, _), inside in tiles.items()) and set(tiles.values()) == {True, False}
+    monkeypatch.setattr(vector_tiles, "ROWS", 2)  # of a crowded tile few decoded features are held at once
+    got = {(r.feature_id, r.tx, r.ty): r.tags["k"] for r in vector_tiles.decoded(vector_tiles.shape_tiles(rows, 4)).collect()}
+    assert got == {k: str(k[0]) for k in tiles}
