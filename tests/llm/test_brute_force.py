@@ -117,6 +117,29 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in clusters.connected_components(edges).collect()} == {0}
 
 
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_rounds_of_a_small_graph_have_few_tasks(spark, broadcast):
+    """However many partitions a shuffle has, rounds over a few links aren't dealt to all of them."""
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc, n = spark.sparkContext, 120
+    edges = [(i, i * 7 % n) for i in range(n)] + [(i, i + 1) for i in range(0, n, 3)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(f"small-graph-{broadcast}", "")
+        got = {x.node: x.root for x in clusters.connected_components(spark.createDataFrame(edges, "u long, v long").coalesce(1)).collect()}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == components([(u, v) for u, v in edges if u != v])
+    of = sc.statusTracker()
+    stages = {s for j in of.getJobIdsForGroup(f"small-graph-{broadcast}") for s in of.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for s in stages if (x := of.getStageInfo(s)))
+    assert 0 < tasks < 400  # some 50 each to find, write, count and read the links of the start; about 500 more a round when its steps shuffled
+
+
 # ---- decontamination -------------------------------------------------------------------------
 
 
