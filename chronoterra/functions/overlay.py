@@ -429,6 +429,60 @@ def overlay(a: pa.Array, b: pa.Array | None, operation: str, winding: bool = Fal
     return rings_of(result).polygons(len(a)), flags
 
 
+def _runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose counts add up to ``most`` at most, or that are single."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _lines(shapes: pa.Array, x: int, y: int) -> tuple[np.ndarray, ...]:
+    """(start, count) by shape, and of its edges (left, right, height at 0, rise, sign), in degrees from (x, y)."""
+    px, py, qx, qy = shapes.flatten().to_numpy().reshape(-1, 4).T - np.array([[x], [y], [x], [y]])
+    n = pc.list_value_length(shapes).to_numpy() // 4
+    rise = (qy - py) / (qx - px)
+    return np.cumsum(n) - n, n, np.minimum(px, qx) / GRID, np.maximum(px, qx) / GRID, py / GRID - px / GRID * rise, rise, np.where(px > qx, 1.0, -1.0)
+
+
+def shared_areas(a: pa.Array, b: pa.Array, i: np.ndarray, j: np.ndarray, x: int, y: int) -> np.ndarray:
+    """The area that a[i] and b[j] share, for each place of i and j; in square degrees.
+
+    Elements are the edges (px, py, qx, qy, ...) of a shape's turned rings on the grid, upright ones left out;
+    (x, y) is a place nearby from which they are counted. A shape is the sum of what lies below its edges,
+    minus where an edge runs to the right; so two shapes share the sum, over pairs of their edges, of what
+    lies below both.
+    """
+    a_start, a_n, a_left, a_right, a_at, a_rise, a_sign = _lines(a, x, y)
+    b_start, b_n, b_left, b_right, b_at, b_rise, b_sign = _lines(b, x, y)
+    area = np.zeros(len(i))
+    for lo, hi in _runs(a_n[i], PAIRS // 8):
+        pair, edge = _spread(a_n[i[lo:hi]])
+        pair += lo
+        edge += a_start[i[pair]]
+        for first, last in _runs(b_n[j[pair]], PAIRS // 8):
+            row, n = _spread(b_n[j[pair[first:last]]])
+            row += first
+            m = edge[row]
+            n += b_start[j[pair[row]]]
+            low, high = np.maximum(a_left[m], b_left[n]), np.minimum(a_right[m], b_right[n])
+            both = np.flatnonzero(low < high)
+            row, m, n, low, high = row[both], m[both], n[both], low[both], high[both]
+            at, rise, other_at, other_rise = a_at[m], a_rise[m], b_at[n], b_rise[n]
+            one, two = at + low * rise, other_at + low * other_rise
+            one_end, two_end = at + high * rise, other_at + high * other_rise
+            left, right = np.minimum(one, two), np.minimum(one_end, two_end)
+            below = left + right
+            d, f = one - two, one_end - two_end
+            cross = np.flatnonzero(d * f < 0)  # the lower one changes at t
+            if len(cross):
+                t = d[cross] / (d[cross] - f[cross])
+                below[cross] = t * left[cross] + (1 - t) * right[cross] + one[cross] + t * (one_end - one)[cross]
+            area += np.bincount(pair[row], a_sign[m] * b_sign[n] * below * (high - low), len(i)) / 2
+    return area
+
+
 def in_parts(batch: pa.RecordBatch, *shapes: int, most: int = EDGES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` positions in the shape columns."""
     total = np.zeros(batch.num_rows, np.int64)

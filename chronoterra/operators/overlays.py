@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions import overlay as kernel
 from ..functions import shapes
@@ -33,6 +34,8 @@ SHAPE = kernel.SHAPE_TYPE
 SALTS = 16
 #: Cells over which a ring's box is spread in the join of holes with outer rings, at most.
 BOX_CELLS = 4096
+#: Features of a pack, features of a cell's right side that one task meets (a fuller cell is dealt to several), and the least area shared.
+PACK, CROWD, LEAST_AREA = 512, 4096, 1e-9
 
 
 def as_shape(ring: Column) -> Column:
@@ -143,6 +146,97 @@ def overlay_pairs(left: DataFrame, right: DataFrame, cell: float, operation: str
     return both.select("a", "b", F.col("result").alias("shape"))
 
 
+def _spans(rows: DataFrame, name: str) -> DataFrame:
+    """(name, x0, y0, x1, y1, edges): of every shape with area its box and upright-free edges (px, py, qx, qy, ...), on the kernel's grid and turned as in ``repaired``."""
+    own = rows.select(F.col("feature_id").alias(name), F.col("shape").cast(SHAPE).alias("shape")).repartition(name)  # a small file is one task
+    box = [StructField(c, LongType()) for c in ("x0", "y0", "x1", "y1")]
+    schema = StructType([own.schema[name], *box, StructField("edges", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in kernel.in_parts(whole, 1):
+                e = kernel.edges_of(kernel.overlay(part.column(1), None, "own")[0])
+                if not len(e):
+                    continue
+                first = np.flatnonzero(np.diff(e.own, prepend=-1))
+                sides = [f.reduceat(c, first) for c, f in ((e.px, np.minimum), (e.py, np.minimum), (e.px, np.maximum), (e.py, np.maximum))]
+                kept = e.take(e.px != e.qx)
+                ends = np.searchsorted(kept.own, e.own[first], side="right")
+                edges = pa.ListArray.from_arrays(pa.array(np.append(0, ends * 4).astype(np.int32)), pa.array(np.column_stack(kept.columns()[2:]).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(e.own[first])), *map(pa.array, sides), edges], schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
+def _packed(dealt: DataFrame, name: str, *keys: str) -> DataFrame:
+    """(keys, name and the columns of _spans as arrays): runs of PACK features of one key at most, or of kernel.EDGES numbers of edges."""
+    columns = [name, "x0", "y0", "x1", "y1", "edges"]
+    ordered = dealt.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+    k = len(keys)
+    schema = StructType([*ordered.schema.fields[:k], *[StructField(f"{name}_{f.name}", ArrayType(f.dataType)) for f in ordered.schema.fields[k:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in batch.columns[:k]:
+                new[1:] |= np.diff(c.to_numpy()) != 0
+            run_start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            size = np.cumsum(pc.list_value_length(batch.column(k + 5)).to_numpy())
+            full = size // kernel.EDGES
+            new |= (np.arange(len(new)) - run_start) % PACK == 0
+            new[1:] |= np.diff(full) != 0
+            starts = np.flatnonzero(new)
+            offsets = pa.array(np.append(starts, len(new)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(starts)) for c in batch.columns[:k]], *[pa.ListArray.from_arrays(offsets, c) for c in batch.columns[k:]]], schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def overlay_areas(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(a, b, area): the planar area that every left and right feature (feature_id, shape) share, of LEAST_AREA at least.
+
+    As overlay_pairs, for whom the area is enough: a shape is read once, not once for each pair, and pairs
+    are found and summed up by packs of the features of a cell. A crowded cell is dealt to several tasks.
+    """
+    step = int(round(cell * kernel.GRID))
+
+    def dealt(d: DataFrame, unit: int = step) -> DataFrame:
+        i, j = (F.sequence(*[F.floor(F.col(f"{c}{n}") / unit).cast("long") for n in "01"]) for c in "xy")
+        return d.withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
+
+    a, b = dealt(_spans(left, "a")), dealt(_spans(right, "b"))
+    box = right.select(shape_bounds(F.col("shape")).alias("box")).filter("box.xmin is not null")
+    rough = dealt(box.select(*[F.col(f"box.{c}{n}").alias(f"{c}{k}") for c in "xy" for k, n in enumerate(("min", "max"))]), cell)
+    crowded = rough.groupBy("i", "j").agg(F.ceil(F.count("*") / CROWD).alias("salts")).filter("salts > 1")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    spread = lambda d: d.join(F.broadcast(crowded), ["i", "j"], "left")  # noqa: E731 - a row for CROWD features
+    b_salted = spread(b).withColumn("salt", F.pmod(F.xxhash64("b"), salts))
+    a_packed = spread(_packed(a, "a", "i", "j")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    # no side goes through the driver, however small its file is: a pack is larger than what the planner guesses
+    met = a_packed.join(_packed(b_salted, "b", "i", "j", "salt").hint("merge"), ["i", "j", "salt"])
+    schema = StructType([left.select(F.col("feature_id").alias("a")).schema[0], right.select(F.col("feature_id").alias("b")).schema[0], StructField("area", DoubleType())])
+    columns = [f"{n}_{c}" for n in "ab" for c in (n, "x0", "y0", "x1", "y1", "edges")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j = (batch.column(c)[r].as_py() * step for c in (0, 1))
+                one, two = ([batch.column(c)[r].values for c in range(lo, lo + 6)] for lo in (2, 8))
+                (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = ([c.to_numpy() for c in side[1:5]] for side in (one, two))
+                col = lambda v: v[:, None]
+                # in the cell of the lower left corner of what the boxes share, which is not below either's
+                meet = (col(ax0) < bx1) & (bx0 < col(ax1)) & (col(ay0) < by1) & (by0 < col(ay1)) & (col(ax0 >= i) | (bx0 >= i)) & (col(ay0 >= j) | (by0 >= j))
+                p, q = np.nonzero(meet)
+                area = kernel.shared_areas(one[5], two[5], p, q, i, j)
+                keep = area >= LEAST_AREA
+                yield pa.RecordBatch.from_arrays([one[0].take(pa.array(p[keep])), two[0].take(pa.array(q[keep])), pa.array(area[keep])], schema.names)
+
+    return met.select("i", "j", *columns).mapInArrow(run, schema)
+
+
 def repaired(rows: DataFrame, shape: str = "shape") -> DataFrame:
     """(feature_id, shape): every shape with simple, closed, properly turned rings and the same inside (even-odd).
 

@@ -1,5 +1,6 @@
 """Overlay of shapes of any form against probes, and unions against counted cells."""
 
+import math
 import random
 
 import pyarrow as pa
@@ -227,3 +228,30 @@ def test_unions_of_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert r.planar == pytest.approx(10.5 * 7) and out == pytest.approx(10.5 * 7)
+
+
+@pytest.mark.parametrize(("pack", "crowd"), [(512, 4096), (2, 3)])
+def test_shared_areas_are_those_of_the_overlaid_pairs(spark, monkeypatch, pack, crowd):
+    monkeypatch.setattr(overlays, "PACK", pack)
+    monkeypatch.setattr(overlays, "CROWD", crowd)
+    monkeypatch.setattr(overlays.kernel, "PAIRS", 40 * pack)  # a pair's edges are summed up in several parts
+    r = random.Random(pack)
+    star = lambda x, y: [[[(x + d * math.cos(t), y + d * math.sin(t)) for t, d in ((k * math.pi / 5, r.uniform(0.3, 2)) for k in range(10))]]]
+    closed = lambda shape: [[[*ring, ring[0]] for ring in polygon] for polygon in shape]
+    some = lambda n: [(i, closed(star(r.uniform(-4, 4), r.uniform(-4, 4)))) for i in range(n)]
+    tie, turned_round = [[[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]], [[square(-3, -3, 3, 3)[::-1]]]
+    left, right = some(15) + [(50, RING), (51, tie), (52, None), (53, CUP)], some(20) + [(70, turned_round), (71, CUP), (72, [[square(2, 0, 3, 1)]]), (73, [[square(0, 1, 1, 2)], [square(5, 5, 6, 6)]])]
+    left, right = (frame(spark, d).repartition(3) for d in (left, right))
+    want = {(x.a, x.b): x.area for x in overlays.overlay_pairs(left, right, 1.5).select("a", "b", overlays.planar_area(F.col("shape")).alias("area")).collect()}
+    rows = overlays.overlay_areas(left, right, 1.5)
+    got = {(x.a, x.b): x.area for x in rows.collect()}
+    assert rows.count() == len(got) > 50 and got.keys() == {k for k, v in want.items() if v >= overlays.LEAST_AREA}
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-7) for k in got)
+    assert (51, 72) not in got and got[51, 70] == 2.0
+
+
+def test_overlaid_pairs_overlays_no_single_pair(spark):
+    from chronoterra import shape_queries
+
+    plan = shape_queries.overlaid_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_shape" not in plan and "b_edges" in plan and plan.count("strategy=merge") >= 1
