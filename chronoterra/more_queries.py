@@ -483,10 +483,9 @@ def network_tour(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a, b, round(max(s), 6) AS score FROM (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_cosine_similarity(x.v, y.v) AS s
-FROM v x JOIN v y ON x.id <> y.id WHERE y.id % 100 = 0) WHERE s > 0.3 GROUP BY 1, 2""")
+FROM v x JOIN v y ON x.id <> y.id) WHERE s > 0.3 GROUP BY 1, 2""")
 def vector_duplicates(spark, sf):
-    v = _vectors(spark, sf)
-    return similarity.duplicates(v, v.filter("id % 100 = 0"), 0.3).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.similar_pairs(_vectors(spark, sf), 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS a FROM v, range(1, 65) t(i) GROUP BY i)),
