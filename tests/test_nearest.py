@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from chronoterra import shape_queries
 from chronoterra.operators import nearest
 
 
@@ -91,3 +92,30 @@ def test_members_on_shared_sides(spark):
     cells = nearest.voronoi(points(spark, sites), (0.0, 0.0, 4.0, 4.0))
     got = {r.a: r.b for r in nearest.cell_members(points(spark, asked), points(spark, sites), cells).collect()}
     assert got == {a: min(((sx - x) ** 2 + (sy - y) ** 2, s) for s, sx, sy in sites)[1] for a, x, y in asked}
+
+
+def test_cells_that_reach_beyond_their_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", 8)
+    monkeypatch.setattr(nearest, "HALO", 20, raising=False)  # some leaves have more around them
+    r = random.Random(5)
+    sites = [(i, r.uniform(0, 10), r.uniform(0, 10)) for i in range(25)] + [(50 + i, 7 + r.random(), 7 + r.random()) for i in range(15)]
+    sites += [(100 + i, 1.0, i / 4) for i in range(9)] + [(200, 40.0, 5.0), (201, 5.0, -25.0), (202, sites[0][1], sites[0][2])]
+    rows = points(spark, sites).repartition(3)
+    cells = nearest.voronoi(rows, (0.0, 0.0, 10.0, 10.0), start=3)
+    rings = {c.feature_id: c.ring for c in cells.collect()}
+    assert len(rings) == cells.count() and 202 not in rings and sum(map(area, rings.values())) == pytest.approx(100, abs=1e-6)
+    asked = [(i, r.uniform(0, 10), r.uniform(0, 10)) for i in range(300)]
+    want = {a: min(((sx - x) ** 2 + (sy - y) ** 2, s) for s, sx, sy in sites)[1] for a, x, y in asked}
+    assert all(inside(rings[want[a]], x, y) for a, x, y in asked)
+    assert {m.a: m.b for m in nearest.cell_members(points(spark, asked), rows, cells).collect()} == want
+
+
+def test_most_cells_are_not_asked_about_and_no_table_goes_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", 16)
+    r, asks, join = random.Random(3), [], nearest.knn_join
+    monkeypatch.setattr(nearest, "knn_join", lambda left, *rest, **named: asks.append(left.count()) or join(left, *rest, **named))
+    sites = points(spark, [(i, r.uniform(0, 10), r.uniform(0, 10)) for i in range(400)])
+    cells = nearest.voronoi(sites, (0.0, 0.0, 10.0, 10.0))
+    assert cells.count() == 400 and sum(asks) < 200  # of about 2400 corners
+    plan = shape_queries.voronoi_members(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
